@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, transport_stream
+from . import line_windows, mixing, packing, quality_rules, secrets, transport_stream
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,49 @@ def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.read_media(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_windows.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_removed"), F.col("text").alias("kept_text"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir), ["doc_id"])
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_transport_stream": op4_transport_stream,
+    "op5_line_windows": op5_line_windows,
+    "op8_mixing": op8_mixing,
+    "op9_secrets": op9_secrets,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i)
+), runs AS (
+  SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS run
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth
+  FROM runs WHERE run IS NOT NULL AND len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 8
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM ranked, (VALUES (0), (1), (2)) AS t(k) WHERE nth > 1
+)
+SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS n_removed,
+       coalesce(string_agg(CASE WHEN c.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept_text
+FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.i = c.i
+GROUP BY l.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_windows": _LINES_SQL}

@@ -18,7 +18,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -220,7 +222,7 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with about `limit` bytes in `column`: what one Python step holds is bounded."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     lo = 0
     while lo < len(sizes):
@@ -232,7 +234,7 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterato
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """The documents with one more column: the padded text stored as a transport stream."""
     names = docs.columns
-    schema = docs.schema.add(media, "binary")
+    schema = T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_windows, mixing, packing, quality_rules, secrets, toxicity, transport_stream
+from . import line_windows, mixing, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_transport_stream": op4_transport_stream,
     "op5_line_windows": op5_line_windows,
     "op6_toxicity": op6_toxicity,
+    "op7_quality_net": op7_quality_net,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,

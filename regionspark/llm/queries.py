@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, line_windows, mixing, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
+from . import language_model, line_windows, mixing, near_dedup, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     stored = transport_stream.media_column(docs).select("doc_id", "n_bytes", "media")
@@ -60,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op3_near_dedup": op3_near_dedup,
     "op4_transport_stream": op4_transport_stream,
     "op5_line_windows": op5_line_windows,
     "op6_toxicity": op6_toxicity,

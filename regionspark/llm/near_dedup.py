@@ -6,11 +6,13 @@ consistent weighted sampling draws `bands * rows` samples of (shingle, level) pe
 band share a bucket. Candidates are verified by exact weighted Jaccard similarity of their whole shingle sets, and
 linked texts form classes (connected components).
 
-A bucket is not turned into all its pairs. First every member is held against the bucket's least member. From then on
-only buckets whose members are not all of one class go on: members outside the bucket's largest class become pivots, a
-few at first, four times as many in each round, and are held against the members of other classes, except where the
-triangle inequality of the Jaccard distance, through the bucket's first pivot, rules a link out. A member that was a
-pivot has met all others, so when none is left no link between two members is missing.
+A bucket is not turned into all its pairs. First every member is held against the bucket's least member; this links most
+copies. Buckets of more than two members that are not all of one class then go on in blocks of two chunks of members:
+a block compares marks (four bits of each sample) and, by the triangle inequality of the Jaccard distance, the distances
+to the first pivot, to find who may still have a link to another class; those members' shingles then meet in blocks,
+where the exact similarities of all of them are one matrix product, and a block gives out a spanning forest of new links.
+Chunks have a fixed size, so no bucket, however large, is held by one task. Two texts meet only if enough samples agree:
+fewer agree for linked texts with a probability below `lost` a pair, far below what banding loses.
 
 Equal texts (known by a 64-bit hash) are one text throughout. Texts of fewer words than a shingle are one shingle.
 Defined cases: null and empty texts are equal texts; rows equal in all columns are members of one class; null doc_ids
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .language_model import expand, squeeze
 from .learning import task_sums
 from .tables import write_stage
 from .words import Block, blocks, hash_spans, mix, windows, word_spans
@@ -40,7 +43,22 @@ class Settings:
     bands: int = 10
     rows: int = 3
     slots: int = 1 << 20
-    first_pivots: int = 4
+    chunk: int = 1024
+    lost: float = 5e-4
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def least_agreeing(self) -> int:
+        """The most samples of which linked texts agree in fewer with a probability of at most `lost`."""
+        total, m = 0.0, 0
+        while True:
+            total += comb(self.samples, m) * self.similarity**m * (1 - self.similarity) ** (self.samples - m)
+            if total > self.lost:
+                return m
+            m += 1
 
 
 _DRAWS = 1 << 16
@@ -87,11 +105,15 @@ def slot_weights(frequencies: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log((n + 1) / (np.minimum(frequencies, n) + 1)) / np.log(n + 2)).astype(np.float32)
 
 
-def band_keys(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, settings: Settings) -> np.ndarray:
-    """A key for each document and band; documents without shingles have none that matter."""
+MARKS = 15  # samples in one number, four bits of each
+
+
+def band_keys(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each document and band, and four bits of each sample; of documents without shingles neither matters."""
     out = np.zeros((n_docs, settings.bands), np.uint64)
+    marks = np.zeros((n_docs, -(-settings.samples // MARKS)), np.uint64)
     if not len(doc):
-        return out
+        return out, marks
     r, inverse, beta, ln_c = _draws()
     begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     owner = doc[begins]
@@ -110,25 +132,39 @@ def band_keys(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int,
             of = np.searchsorted(begins, least, "right") - 1
             first = np.concatenate([[True], of[1:] != of[:-1]])  # of ties the least key: keys are in order
             chosen = least[first]
-            joint = mix(joint * np.uint64(0xD6E8FEB86659FD93) + mix(key[chosen] + (level[chosen].astype(np.int64).view(np.uint64) << np.uint64(1))))
+            sample = mix(key[chosen] + (level[chosen].astype(np.int64).view(np.uint64) << np.uint64(1)))
+            joint = mix(joint * np.uint64(0xD6E8FEB86659FD93) + sample)
+            marks[owner, k // MARKS] |= (sample & np.uint64(15)) << np.uint64(4 * (k % MARKS))
         out[owner, band] = joint
-    return out
+    return out, marks
+
+
+def agree(a: str, b: str, settings: Settings) -> Column:
+    """Whether enough samples agree, by the marks in columns `a` and `b`."""
+    apart = F.lit(0)
+    for i in range(-(-settings.samples // MARKS)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x0111111111111111))
+        apart = apart + F.bit_count(x)
+    return apart <= settings.samples - settings.least_agreeing
 
 
 def sketch_table(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, tid, bands): bands of texts without words are empty."""
+    """(doc_id, tid, bands, marks): bands of texts without words are empty."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column("text")):
                 doc, key, times = shingles(b, settings.words)
-                bands = band_keys(doc, key, times * weights[(key % np.uint64(settings.slots)).astype(np.int64)], b.docs, settings)
+                bands, marks = band_keys(doc, key, times * weights[(key % np.uint64(settings.slots)).astype(np.int64)], b.docs, settings)
                 some = np.bincount(doc, minlength=b.docs) > 0
                 ends = np.concatenate([[0], np.cumsum(some * settings.bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs), batch.column("tid").slice(b.lo, b.docs), lists], names=["doc_id", "tid", "bands"])
+                said = pa.ListArray.from_arrays(pa.array(np.arange(b.docs + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs), batch.column("tid").slice(b.lo, b.docs), lists, said], names=["doc_id", "tid", "bands", "marks"])
 
-    return docs.select("doc_id", text_id().alias("tid"), "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, bands array<long>")
+    return docs.select("doc_id", text_id().alias("tid"), "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, bands array<long>, marks array<long>")
 
 
 def text_id():
@@ -143,8 +179,8 @@ def vector_table(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
             for b in blocks(batch.column("text")):
                 doc, key, times = shingles(b, settings.words)
                 cuts = np.searchsorted(doc, np.arange(b.docs + 1))
-                keys = [key[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
-                counts = [times[a:z].astype("<u4").tobytes() for a, z in zip(cuts, cuts[1:])]
+                keys = [squeeze(key[a:z], True) for a, z in zip(cuts, cuts[1:])]
+                counts = [squeeze(times[a:z].astype("<u4")) for a, z in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("tid").slice(b.lo, b.docs), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["tid", "keys", "times"])
 
     own = docs.select("doc_id", text_id().alias("tid"), "text")
@@ -178,9 +214,9 @@ def verify(pairs: DataFrame, vectors: DataFrame, weights: np.ndarray, block: int
         for batch in batches:
             out: list[list] = [[], [], []]
             for p, member, tid, keys, times in zip(batch.column("pivot").to_pylist(), batch.column("member").to_pylist(), batch.column("tid").to_pylist(), batch.column("keys"), batch.column("times")):
-                vector = (np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(times.as_buffer(), "<u4"))
+                vector = (expand(keys.as_py(), "u8", True), expand(times.as_py(), "u4"))
                 if not member:
-                    pivot, held = p, (vector[0].copy(), vector[1].copy())
+                    pivot, held = p, vector
                 elif p == pivot:
                     for column, x in zip(out, (p, tid, weighted_jaccard(held, vector, weights))):
                         column.append(x)
@@ -190,67 +226,183 @@ def verify(pairs: DataFrame, vectors: DataFrame, weights: np.ndarray, block: int
     return together.mapInArrow(check, "pivot long, tid long, similarity double")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(tid, label): the least text id of each linked text's component, by label spreading with jumps."""
     both = links.select(F.col("pivot").alias("a"), F.col("tid").alias("b"))
     edges = write_stage(both.union(both.select("b", "a")).where("a != b").distinct(), "edges")
     labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("tid"), "label")
     labels = write_stage(labels, "labels")
     while True:
-        near = edges.join(labels, F.col("b") == F.col("tid")).groupBy("a").agg(F.min("label").alias("near"))
-        own = labels.join(near, F.col("tid") == F.col("a"), "left").select("tid", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select(F.col("tid").alias("_j"), F.col("label").alias("far"))
-        new = own.join(jump, F.col("label") == F.col("_j"), "left").select("tid", "before", F.least("label", F.coalesce("far", "label")).alias("label"))
+        new = labels.select("tid", "label", F.col("label").alias("before"))
+        for _ in range(2):
+            near = edges.join(new.select(F.col("tid").alias("_n"), F.col("label").alias("near")), F.col("b") == F.col("_n")).groupBy("a").agg(F.min("near").alias("near"))
+            new = new.join(near, F.col("tid") == F.col("a"), "left").select("tid", "before", F.least("label", F.coalesce("near", "label")).alias("label"))
         new = write_stage(new, "labels")
         if not new.where("label != before").limit(1).count():
             return new.select("tid", "label")
-        labels = new.select("tid", "label")
+        jump = new.select(F.col("tid").alias("_j"), F.col("label").alias("far"))
+        labels = new.join(jump, F.col("label") == F.col("_j"), "left").select("tid", F.least("label", F.coalesce("far", "label")).alias("label"))
 
 
 def linked_texts(sketch: DataFrame, docs: DataFrame, weights: np.ndarray, settings: Settings) -> DataFrame | None:
     """(tid, label) of the texts that have a link; None if there are no candidates."""
-    texts = sketch.where(F.size("bands") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    placed = texts.select("tid", "doc_id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("tid").alias("pivot"), F.max("tid").alias("_other")).where("pivot != _other").select(F.col("bucket").alias("_b"), "pivot")
-    members = write_stage(placed.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "pivot", "tid", "doc_id"), "members")
+    texts = sketch.where(F.size("bands") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    placed = texts.select("tid", "doc_id", "marks", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min(F.struct("tid", "marks")).alias("_m"), F.max("tid").alias("_other")).where("_m.tid != _other")
+    shared = shared.select(F.col("bucket").alias("_b"), F.col("_m.tid").alias("pivot"), F.col("_m.marks").alias("_marks"))
+    near = agree("marks", "_marks", settings).alias("near")
+    members = write_stage(placed.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "pivot", "tid", "doc_id", "marks", near), "members")
     wanted = members.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
     vectors = write_stage(vector_table(docs, wanted, settings), "vectors")
-    ordered = lambda a, b: [F.least(a, b).alias("pivot"), F.greatest(a, b).alias("tid")]
-    pairs = members.where("tid != pivot").select("pivot", "tid").distinct()
+    pairs = members.where("tid != pivot and near").select("pivot", "tid").distinct()
     checked = write_stage(verify(pairs, vectors, weights), "checked")
-    if not checked.limit(1).count():
+    if not members.limit(1).count():
         return None
-    # Each member with its similarity to its bucket's first pivot.
+    # Each member with its distance to its bucket's first pivot, where they met.
     first = checked.select(F.col("pivot").alias("_p"), F.col("tid").alias("_t"), "similarity")
     known = members.join(first, (F.col("pivot") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left")
-    known = write_stage(known.select("bucket", "tid", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("far")), "known")
-    limit = 1 - settings.similarity
-    pivots_left = settings.first_pivots
-    used = None
+    known = write_stage(known.select("bucket", "tid", "marks", F.when(F.col("tid") == F.col("pivot"), 0.0).otherwise(1 - F.col("similarity")).alias("far")), "known")
     links = checked.where(F.col("similarity") >= settings.similarity).select("pivot", "tid")
-    while True:
-        labels = components(links)
-        label = known.join(labels.select(F.col("tid").alias("_l"), "label"), F.col("tid") == F.col("_l"), "left").select("bucket", "tid", "far", F.coalesce("label", "tid").alias("label"))
-        sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select(F.col("bucket").alias("_b"), F.col("most.label").alias("main"))
-        open_ = label.join(main, F.col("bucket") == F.col("_b")).select("bucket", "tid", "far", "label", "main")
-        aside = open_.where("label != main")
-        if used is not None:
-            aside = aside.join(used.select(F.col("bucket").alias("_ub"), F.col("tid").alias("_ut")), (F.col("bucket") == F.col("_ub")) & (F.col("tid") == F.col("_ut")), "left_anti")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("tid"))
-        turn = write_stage(aside.withColumn("_n", nth).where(F.col("_n") <= pivots_left).select("bucket", "tid", "far", "label"), "turn")
-        if not turn.limit(1).count():
-            return labels
-        left = turn.select(F.col("bucket").alias("_b"), F.col("tid").alias("p"), F.col("far").alias("_f"), F.col("label").alias("_l"))
-        met = open_.select("bucket", "tid", "far", "label").join(left, (F.col("bucket") == F.col("_b")) & (F.col("label") != F.col("_l")) & (F.abs(F.col("far") - F.col("_f")) <= limit + 1e-9))
-        new = met.select(*ordered(F.col("p"), F.col("tid"))).distinct()
-        done = checked.select(F.col("pivot").alias("_p"), F.col("tid").alias("_t"))
-        new = new.join(done, (F.col("pivot") == F.col("_p")) & (F.col("tid") == F.col("_t")), "left_anti")
-        more = write_stage(verify(new, vectors, weights), "checked")
-        checked = checked.unionByName(more)
-        links = checked.where(F.col("similarity") >= settings.similarity).select("pivot", "tid")
-        used = turn.select("bucket", "tid") if used is None else used.unionByName(turn.select("bucket", "tid"))
-        pivots_left *= 4
+    labels = components(links)
+    label = known.join(labels.select(F.col("tid").alias("_l"), "label"), F.col("tid") == F.col("_l"), "left").select("bucket", "tid", "far", "marks", F.coalesce("label", "tid").alias("label"))
+    label = write_stage(label, "label")
+    several = label.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_z")).where("_n > 2 and _a != _z")
+    open_ = label.join(several.select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b")).select("bucket", "tid", "far", "marks", "label")
+    found = _in_blocks(open_, settings.chunk * 2, ["tid", "far", "marks", "label"], _may_link(settings), "bucket long, tid long, label long")
+    maybe = write_stage(found.distinct(), "maybe")
+    v = vectors.select(F.col("tid").alias("_v"), "keys", "times")
+    added = _in_blocks(maybe, settings.chunk, ["tid", "label", "keys", "times"], _links(settings, weights), "pivot long, tid long", v)
+    added = write_stage(added.distinct(), "links")
+    return components(links.unionByName(added)) if added.limit(1).count() else labels
+
+
+def _in_blocks(members: DataFrame, chunk: int, columns: list[str], work, schema: str, vectors: DataFrame | None = None) -> DataFrame:
+    """`work` on every two chunks of each bucket: rows (bucket, lo, hi, side) in order, side 0 for chunk lo, 1 for hi."""
+    parts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")).withColumnRenamed("bucket", "_b")
+    dealt = members.join(parts, F.col("bucket") == F.col("_b")).withColumn("own", F.pmod(F.xxhash64("tid", F.lit(1)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    if vectors is not None:
+        dealt = dealt.join(vectors, F.col("tid") == F.col("_v"))
+    dealt = dealt.select("bucket", "lo", "hi", "side", *columns)
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_groups(work), schema)
+
+
+def _groups(work):
+    """A function for mapInArrow that gives `work` the rows of one (bucket, lo, hi) after another as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                now = tuple(key[:, lo])
+                if held and now != last:
+                    yield from work(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = now
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _may_link(settings: Settings):
+    """Members of two chunks with a pair of other classes whose marks and distances to the pivot allow a link."""
+    most = settings.samples - settings.least_agreeing
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, tid, label = (np.asarray(t[c]) for c in ("side", "tid", "label"))
+        far = np.asarray(t["far"].combine_chunks().fill_null(np.nan) if t["far"].null_count else t["far"], float)
+        marks = np.asarray(t["marks"].combine_chunks().flatten()).view(np.uint64).reshape(len(tid), -1)
+        same = t["lo"][0] == t["hi"][0]
+        rows = np.flatnonzero(side == 0)
+        others = rows if same else np.flatnonzero(side == 1)
+        some = np.zeros(len(tid), bool)
+        for lo in range(0, len(rows), 256):
+            own = rows[lo : lo + 256]
+            apart = np.zeros((len(own), len(others)), np.uint8)
+            for k in range(marks.shape[1]):
+                x = marks[own, k][:, None] ^ marks[others, k][None]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                apart += np.bitwise_count(x & np.uint64(0x0111111111111111))
+            with np.errstate(invalid="ignore"):
+                out = np.abs(far[own][:, None] - far[others][None]) > 1 - settings.similarity + 1e-9
+            met = (far[own] == 0)[:, None] | (far[others] == 0)[None]  # the pivot has met all
+            ok = (apart <= most) & ~out & ~met & (label[own][:, None] != label[others][None])
+            some[own] |= ok.any(1)
+            some[others] |= ok.any(0)
+        hit = np.flatnonzero(some)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), t["bucket"][0].as_py())), pa.array(tid[hit]), pa.array(label[hit])], names=["bucket", "tid", "label"])
+
+    return work
+
+
+def _links(settings: Settings, weights: np.ndarray):
+    """A spanning forest of the links between classes among the members of two chunks."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, tid, label = (np.asarray(t[c]) for c in ("side", "tid", "label"))
+        if len(np.unique(label)) < 2:
+            return
+        doc, key = [], []
+        for i, (k, n) in enumerate(zip(t["keys"], t["times"])):
+            keys, times = expand(k.as_py(), "u8", True), expand(n.as_py(), "u4").astype(np.int64)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            # A shingle that is there n times is n elements; the first keeps its key.
+            key.append(np.where(nth > 0, mix(np.repeat(keys, times) + nth.astype(np.uint64)), np.repeat(keys, times)))
+            doc.append((np.full(len(nth), i), weights[(np.repeat(keys, times) % np.uint64(len(weights))).astype(np.int64)]))
+        owner, weight = np.concatenate([d[0] for d in doc]), np.concatenate([d[1] for d in doc]).astype(float)
+        total = np.bincount(owner, weights=weight, minlength=len(tid))
+        _, element, count = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        keep = count[element] > 1
+        owner, column, root = owner[keep], number[element[keep]], np.sqrt(weight[keep])
+        rows = np.flatnonzero(side == 0)
+        others = rows if t["lo"][0] == t["hi"][0] else np.flatnonzero(side == 1)
+        place = np.zeros(len(tid), np.int64)
+        place[rows] = np.arange(len(rows))
+        place2 = np.zeros(len(tid), np.int64)
+        place2[others] = np.arange(len(others))
+        is_row, is_other = np.zeros(len(tid), bool), np.zeros(len(tid), bool)
+        is_row[rows], is_other[others] = True, True
+        common = np.zeros((len(rows), len(others)), np.float32)
+        by = np.argsort(column, kind="stable")
+        owner, column, root = owner[by], column[by], root[by]
+        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+            part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            a, z = np.zeros((len(rows), 4096), np.float32), np.zeros((len(others), 4096), np.float32)
+            o, c, r = owner[part], column[part] - lo, root[part]
+            a[place[o[is_row[o]]], c[is_row[o]]] = r[is_row[o]]
+            z[place2[o[is_other[o]]], c[is_other[o]]] = r[is_other[o]]
+            common += a @ z.T
+        similarity = common / np.maximum(total[rows][:, None] + total[others][None] - common, 1e-9)
+        ok = (similarity >= settings.similarity - 1e-6) & (label[rows][:, None] != label[others][None])
+        parent: dict[int, int] = {}
+
+        def root_of(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(ok)):
+            p, q = root_of(int(label[rows[i]])), root_of(int(label[others[j]]))
+            if p != q:
+                parent[p] = q
+                out.append((int(tid[rows[i]]), int(tid[others[j]])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["pivot", "tid"])
+
+    return work
 
 
 def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

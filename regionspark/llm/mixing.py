@@ -157,7 +157,7 @@ def mixture(docs: DataFrame, settings: Mix = Mix(), keep_text: bool = True) -> M
     per_shard = draw(np.array(quotas, np.int64), settings) if totals else np.zeros((0, 0), np.int64)
     shards = spark.range(0, len(per_shard), 1, max(1, min(len(per_shard), 4096)))
     slots = shards.mapInArrow(_slots(per_shard, n_blocks, settings), SLOTS)
-    spans = slots.join(placed, ["source_id", "block"]).select("shard", "slot", "pass", "_row", "word", "n_words")
+    spans = slots.hint("merge").join(placed, ["source_id", "block"]).select("shard", "slot", "pass", "_row", "word", "n_words")
     return Mixture(marked, spans)
 
 

@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 
 
-def task_sums(docs: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], shape: tuple[int, ...], dtype: str, fan_in: int = 16) -> np.ndarray:
+def task_sums(docs: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], shape: tuple[int, ...], dtype: str, fan_in: int = 8) -> np.ndarray:
     """The sum over all tasks of an array of fixed shape that `add` fills batch by batch.
 
     Tasks' arrays are added in a tree on the executors; one array reaches the driver, whatever the input.

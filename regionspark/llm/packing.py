@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,7 +56,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not _PLAIN.search(text):
-            return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
+            return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 

@@ -97,11 +97,11 @@ def resolve(gt: dict[int, str], pred: dict[int, str], raw: dict[str, dict[int, s
     return rows
 
 
-MATCHES = "source_file string, kind string, gt_ixs array<long>, pred_ixs array<long>, similarity double, matched_by string"
+MATCHES = "kind string, gt_ixs array<long>, pred_ixs array<long>, similarity double, matched_by string"
 
 
 def matches(gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_whitespace: bool = True, judged: DataFrame | None = None, on_failure: str = "auto") -> DataFrame:
-    """All matches of all files, columns as in MATCHES: kinds pair, merge, split and uncertain (deferred, counted).
+    """All matches of all files, source_file and columns as in MATCHES: kinds pair, merge, split and uncertain (deferred, counted).
 
     `judged` holds verdicts (gt, pred, same) on raw texts; without it deferred pairs stay unmatched.
     """
@@ -134,7 +134,7 @@ def matches(gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_white
     both = left.join(right.select(F.col("source_file").alias("_f")).distinct(), F.col("source_file") == F.col("_f"), "left_semi")
     # Fresh names on one side: both may come from the same table.
     fresh = lambda df, *names: df.select(F.col("source_file").alias("_file"), *[F.col(n).alias(n) for n in names])
-    found = both.select("source_file", "ix", "raw", "norm", "verdicts").groupBy("source_file").cogroup(fresh(right, "ix", "raw", "norm").groupBy("_file")).applyInPandas(rest, MATCHES)
+    found = both.select("source_file", "ix", "raw", "norm", "verdicts").groupBy("source_file").cogroup(fresh(right, "ix", "raw", "norm").groupBy("_file")).applyInPandas(rest, f"source_file {gt.schema['source_file'].dataType.simpleString()}, {MATCHES}")
     array = lambda c: F.array(F.col(c).cast("long"))
     exact = exact.select("source_file", F.lit("pair").alias("kind"), array("gt_ix").alias("gt_ixs"), array("pred_ix").alias("pred_ixs"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("matched_by"))
     return exact.unionByName(found)

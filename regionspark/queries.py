@@ -236,8 +236,7 @@ def corpus_cer_exact(spark, sf_dir):
     return _sum(exact_items(spark, sf_dir).join(sources, "source_file"), "source")
 
 
-@query(_PER_FILE_SQL + f", j AS (SELECT files.*, lang, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS quality FROM files JOIN documents d ON d.doc_id = source_file JOIN labels l ON l.doc_id = d.doc_id),
-s AS (SELECT coalesce(lang, 'all') AS lang, coalesce(quality, 'all') AS quality, {_SUMS} FROM j GROUP BY ROLLUP (lang, quality)) SELECT *, {_RATES} FROM s")
+@query(_PER_FILE_SQL + f", j AS (SELECT files.*, lang, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS quality FROM files JOIN documents d ON d.doc_id = source_file JOIN labels l ON l.doc_id = d.doc_id), s AS (SELECT coalesce(lang, 'all') AS lang, coalesce(quality, 'all') AS quality, {_SUMS} FROM j GROUP BY ROLLUP (lang, quality)) SELECT *, {_RATES} FROM s")
 def per_lang_source_cer(spark, sf_dir):
     """Rates by language and quality label with their subtotals."""
     of = documents(spark, sf_dir).select(F.col("doc_id").alias("source_file"), "lang").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_file"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("quality")), "source_file")

@@ -32,19 +32,24 @@ def unmatched(regions: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 def structural_groups(whole: dict[int, str], parts: dict[int, str], rules: Align, joint: str) -> list[tuple[int, list[int], float]]:
     """(container, its parts in order of place, similarity): containers longest first, each part claimed once."""
     found, claimed = [], set()
+    pairs_of = {p: [part[i : i + 2] for i in range(len(part) - 1)] for p, part in parts.items()}
     for c in sorted(whole, key=lambda i: (-len(whole[i]), i)):
         text = whole[c]
         if not text:
             continue
+        own = {text[i : i + 2] for i in range(len(text) - 1)}
         placed = []
         for p, part in parts.items():
             if p in claimed or len(part) < max(rules.min_group_part, 1):
                 continue
             at = text.find(part)
             if at < 0 and rules.group_tolerance > 0:
-                distance, end = infix_of(part, text)
-                if distance <= max(rules.group_floor, int(len(part) * rules.group_tolerance)):
-                    at = max(0, end - len(part))
+                most = max(rules.group_floor, int(len(part) * rules.group_tolerance))
+                # An edit touches two neighbouring pairs at most, so enough pairs of a part that is present stay.
+                if sum(q in own for q in pairs_of[p]) >= len(part) - 1 - 2 * most:
+                    distance, end = infix_of(part, text)
+                    if distance <= most:
+                        at = max(0, end - len(part))
             if at >= 0:
                 placed.append((at, p))
         if len(placed) > 1:

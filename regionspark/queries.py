@@ -115,7 +115,7 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$&()
 
 @query(f"WITH {PRED_SQL}" + rf""", two AS (SELECT gt.doc_id, gt.ix, regexp_extract_all(gt.raw, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]') AS a, regexp_extract_all(pred.raw, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]') AS b FROM gt JOIN pred ON gt.doc_id = pred.doc_id AND gt.ix = pred.ix),
 v AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS vocab FROM two)
-SELECT doc_id AS source_file, ix, levenshtein(array_to_string(list_transform(a, t -> substr('{_LETTERS}', list_position(vocab, t), 1)), ''), array_to_string(list_transform(b, t -> substr('{_LETTERS}', list_position(vocab, t), 1)), '')) AS distance FROM v""")
+SELECT doc_id AS source_file, ix, levenshtein(array_to_string(list_transform(a, lambda t: substr('{_LETTERS}', list_position(vocab, t), 1)), ''), array_to_string(list_transform(b, lambda t: substr('{_LETTERS}', list_position(vocab, t), 1)), '')) AS distance FROM v""")
 def token_edit_distance(spark, sf_dir):
     g, p = sides(spark, sf_dir)
     both = g.join(p.select("source_file", "ix", F.col("raw").alias("b")), ["source_file", "ix"])
@@ -316,7 +316,7 @@ def merge_split_counts(spark, sf_dir):
 @query()
 def credit_flag_variants(spark, sf_dir):
     g, p = sides(spark, sf_dir)
-    found = align.matches(g, p)
+    found = align.matches(g, p).persist()  # four variants read it
     files = g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi")
     g = g.join(files, "source_file", "left_semi")
     out = None

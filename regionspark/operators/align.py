@@ -139,7 +139,10 @@ def matches(gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_white
     both = left.join(right.select(F.col("source_file").alias("_f")).distinct(), F.col("source_file") == F.col("_f"), "left_semi")
     # Fresh names on one side: both may come from the same table.
     fresh = lambda df, *names: df.select(F.col("source_file").alias("_file"), *[F.col(n).alias(n) for n in names])
-    found = both.select("source_file", "ix", "raw", "norm", "verdicts").groupBy("source_file").cogroup(fresh(right, "ix", "raw", "norm").groupBy("_file")).applyInPandas(rest, f"source_file {gt.schema['source_file'].dataType.simpleString()}, {MATCHES}")
+    # The work grows with the product of a file's sides, not with bytes: partitions are not to be merged by size.
+    n = int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("source_file", "ix", "raw", "norm", "verdicts").repartition(n, "source_file")
+    found = both.groupBy("source_file").cogroup(fresh(right, "ix", "raw", "norm").repartition(n, "_file").groupBy("_file")).applyInPandas(rest, f"source_file {gt.schema['source_file'].dataType.simpleString()}, {MATCHES}")
     array = lambda c: F.array(F.col(c).cast("long"))
     exact = exact.select("source_file", F.lit("pair").alias("kind"), array("gt_ix").alias("gt_ixs"), array("pred_ix").alias("pred_ixs"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("matched_by"))
     return exact.unionByName(found)

@@ -72,13 +72,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps on the penalised log loss."""
+    x = x.astype(np.float32, copy=False)
     n, d = x.shape
-    a = np.hstack([x, np.ones((n, 1))])
-    step = 4 / (np.linalg.norm(a, 2) ** 2 + 4 * penalty)
-    w = v = np.zeros(d + 1)
-    shrink = np.append(np.full(d, penalty), 0)
+    u = np.ones(d, np.float32)
+    for _ in range(30):  # the largest eigenvalue of x'x by power steps
+        u = x.T @ (x @ u)
+        top = float(np.linalg.norm(u))
+        u /= max(top, 1e-9)
+    step = 4 / (1.1 * top + n + 4 * penalty)
+    w, b = np.zeros(d), 0.0
+    v, c = w, b
     for k in range(rounds):
-        new = v - step * (a.T @ (sigmoid(a @ v) - y) + shrink * v)
-        v = new + k / (k + 3) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
+        g = (sigmoid(x @ v.astype(np.float32) + c) - y).astype(np.float32)
+        new, new_b = v - step * (x.T @ g + penalty * v), c - step * float(g.sum())
+        v, c = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b)
+        w, b = new, new_b
+    return w, b

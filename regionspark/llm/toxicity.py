@@ -28,7 +28,7 @@ END, OTHER, LETTERS = 0, 27, 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*~'"
 STEP_COSTS = {"letter": 0.0, "leet": 0.7, "dropped repeat": 0.3, "dropped separator": 0.2, "kept mark": 12.0}
-LEXICON, LEAST_DOCS, LONGEST = 1024, 4, 48
+LEXICON, LEAST_DOCS, LONGEST = 512, 4, 48
 
 
 def _codes() -> np.ndarray:
@@ -245,11 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                     lists[i].append(k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs).cast(pa.int64()), batch.column("label").slice(b.lo, b.docs), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "label", "slots"])
 
+    if not len(words):
+        return Model(log_p, words, np.zeros(0), float(np.log(n[1] / n[0])))
     gathered = sample.mapInArrow(rows_of, "doc_id long, label int, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.zeros((len(gathered), len(words)))
+    x = np.zeros((len(gathered), len(words)), np.float32)
     for i, slots in enumerate(gathered["slots"]):
         x[i, np.asarray(slots, int)] = 1
-    weights, intercept = fit_logistic(x, gathered["label"].to_numpy(float), penalty=0.2)
+    weights, intercept = fit_logistic(x, gathered["label"].to_numpy(float), penalty=0.2, rounds=600)
     return Model(log_p, words, weights, intercept)
 
 

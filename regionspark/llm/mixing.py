@@ -125,7 +125,7 @@ def _slots(per_shard: np.ndarray, n_blocks: list[int], settings: Mix):
 
 @dataclass
 class Mixture:
-    """documents: the rows as given with _row, size, source_size and target; spans: which words of them each slot takes
+    """documents: the rows as given with _row, _size, _source_size and _target; spans: which words of them each slot takes
     (shard, slot, pass, _row, word, n_words)."""
 
     documents: DataFrame
@@ -135,19 +135,19 @@ class Mixture:
 def mixture(docs: DataFrame, settings: Mix = Mix(), keep_text: bool = True) -> Mixture:
     """The mixture of `docs` (doc_id, source, text). Without keep_text the written table holds no texts."""
     spark = docs.sparkSession
-    kept = docs if keep_text else docs.select("doc_id", "source", "text")
-    numbered = kept.withColumns({"size": word_count(), "_hash": F.xxhash64("text"), "_source": key_of("source"), "_row": F.monotonically_increasing_id()})
+    kept = docs if keep_text else docs.select("doc_id", "source", "text")  # names that begin with _ are this module's
+    numbered = kept.withColumns({"_size": word_count(), "_hash": F.xxhash64("text"), "_source": key_of("source"), "_row": F.monotonically_increasing_id()})
     table = write_stage(numbered if keep_text else numbered.drop("text"), "mix")
-    totals = table.groupBy("source", "_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    totals = table.groupBy("source", "_source").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["n"]) for r in totals]
     wanted = targets(sizes, settings)
     n_blocks = [-(-n // settings.block_words) for n in sizes]
     quotas = [min(round(t / settings.block_words), int(settings.most) * n) for t, n in zip(wanted, n_blocks)]
-    ids = spark.createDataFrame([(r["_source"], i, sizes[i], float(wanted[i])) for i, r in enumerate(totals)], "_source string, source_id int, source_size long, target double")
+    ids = spark.createDataFrame([(r["_source"], i, sizes[i], float(wanted[i])) for i, r in enumerate(totals)], "_source string, _source_id int, _source_size long, _target double")
     marked = table.join(ids, "_source")  # one row per source
     n_rows = sum(r["rows"] for r in totals)
-    ordered = prefix_sums(marked.where("size > 0").select("_row", "doc_id", "_hash", "source_id", "size"), "source_id", ["_hash", "doc_id"], "size", "_at", n_rows)
+    ordered = prefix_sums(marked.where("_size > 0").select("_row", "doc_id", "_hash", F.col("_source_id").alias("source_id"), F.col("_size").alias("size")), "source_id", ["_hash", "doc_id"], "size", "_at", n_rows)
     width = F.lit(settings.block_words)
     block = F.explode(F.sequence((F.col("_at") / width).cast("long"), ((F.col("_at") + F.col("size") - 1) / width).cast("long")))
     placed = ordered.select("_row", "source_id", "_at", "size", block.alias("block"))
@@ -166,7 +166,7 @@ def taken_words(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     made = mixture(docs.select("doc_id", "source", "text"), settings, keep_text=False)
     taken = made.spans.groupBy("_row").agg(F.sum("n_words").alias("taken"))
     joined = made.documents.join(taken, "_row", "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _cut(names: list[str]):

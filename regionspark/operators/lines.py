@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import basename, strip
+from ..functions.text import strip
 
 SUFFIX, STATUS = " (Manual Revision Needed)", "Manual Revision Needed"
 LINES = "array<struct<line_id:int,text:string>>"
@@ -27,6 +27,7 @@ def json_body(reply: Column) -> Column:
 def repair(text: str) -> str | None:
     """JSON from nearly-JSON: control characters, trailing commas, unclosed strings and brackets; None if hopeless."""
     text = re.sub(r"[\x00-\x1f\x7f]", " ", text)
+    text = text[min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=0) :]
     closing, inside, escaped = [], False, False
     for c in text:
         if escaped:
@@ -128,10 +129,6 @@ def simplify(stage2: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
     return out.orderBy("file_name")
 
 
-def file_name_of(path: Column) -> Column:
-    return basename(path)
-
-
 def coverage_share(rows: DataFrame) -> DataFrame:
     """Distinct covered ids over all ids, by variant (columns variant, line_ids, covered_ids)."""
     return rows.groupBy("variant").agg((F.sum(F.size(F.array_intersect("line_ids", "covered_ids"))) / F.sum(F.size("line_ids"))).alias("coverage"))

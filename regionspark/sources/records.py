@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Input
 from ..functions.text import LINE_ENDS, basename, strip
@@ -18,7 +17,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     Lines may end in commas; blank lines and lone brackets are skipped; another line that is no JSON raises.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    parsed = whole.select("path", "value", F.try_parse_json("value").alias("v"))
+    # The parser stops after a first value, so a text whose first line is a value of its own is taken line by line.
+    full = F.filter(F.transform(F.split("value", r"\r?\n"), strip), lambda x: x != "")
+    by_lines = (F.size(full) > 1) & F.try_parse_json(F.regexp_replace(F.get(full, 0), ",+$", "")).isNotNull()
+    parsed = whole.select("path", "value", F.when(~F.coalesce(by_lines, F.lit(False)), F.try_parse_json("value")).alias("v"))
     kind = F.schema_of_variant("v")
     items = F.when(kind.startswith("ARRAY"), F.col("v").cast("array<variant>"))
     items = items.when(F.try_variant_get("v", "$.items", "array<variant>").isNotNull(), F.try_variant_get("v", "$.items", "array<variant>"))
@@ -34,7 +36,6 @@ def present(record: Column, key: str) -> Column:
 
 def first_present(record: Column, keys: tuple[str, ...]) -> Column:
     """The variant under the first key that the record has; a JSON null counts as present."""
-    found = F.lit(None).cast("string")
     found = F.try_variant_get(record, f"$.{keys[-1]}", "variant")
     for key in reversed(keys[:-1]):
         found = F.when(present(record, key), F.try_variant_get(record, f"$.{key}", "variant")).otherwise(found)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .learning import SAMPLE_ROWS, fold, labelled_sample, sigmoid, task_sums
 from .words import LOWER, Block, blocks, hash_spans, word_spans
 
-SLOTS, SHAPES, DIM, NONZERO = 4096, 512, 64, 6
+SLOTS, SHAPES, DIM, NONZERO = 2048, 512, 64, 6
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
-STEP = 1 << 17
+DOCS = 2048  # pooled at a time
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
@@ -75,25 +75,24 @@ def slots_and_shapes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_contexts(index: np.ndarray):
-    """A function that adds to each slot's and shape's row the index vectors around its words."""
+    """A function that adds to each slot's and shape's row the index vectors around its words.
+
+    Neighbours are counted in (slot, slot) and (slot, shape) tables first; one product with the index vectors follows.
+    """
+    r = index.astype(np.float64)
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        near, own = np.zeros((SLOTS, SLOTS)), np.zeros((SLOTS, SHAPES))
         for b in blocks(batch.column("text")):
-            docs, slots, shapes = slots_and_shapes(b)
-            for lo in range(0, len(slots), STEP):
-                a, z = max(0, lo - 2), min(len(slots), lo + STEP + 2)
-                doc, slot, shape = docs[a:z], slots[a:z], shapes[a:z]
-                r = index[slot]
-                near = index[shape].copy()
-                for back in (1, 2):
-                    same = (doc[back:] == doc[:-back])[:, None]
-                    near[back:] += r[:-back] * same
-                    near[:-back] += r[back:] * same
-                inner = slice(lo - a, lo - a + min(STEP, len(slots) - lo))
-                for of, what in ((slot[inner], near[inner]), (shape[inner], r[inner])):
-                    order = np.argsort(of, kind="stable")
-                    begins = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))
-                    total[of[order][begins]] += np.add.reduceat(what[order].astype(np.int32), begins, axis=0)
+            doc, slot, shape = slots_and_shapes(b)
+            pairs = []
+            for back in (1, 2):
+                same = doc[back:] == doc[:-back]
+                pairs.append(slot[:-back][same] * SLOTS + slot[back:][same])
+            near += np.bincount(np.concatenate(pairs), minlength=SLOTS * SLOTS).reshape(near.shape)
+            own += np.bincount(slot * SHAPES + shape - SLOTS, minlength=SLOTS * SHAPES).reshape(own.shape)
+        total[:SLOTS] += np.rint((near + near.T) @ r[:SLOTS] + own @ r[SLOTS:]).astype(total.dtype)
+        total[SLOTS:] += np.rint(own.T @ r[:SLOTS]).astype(total.dtype)
 
     return add
 
@@ -111,12 +110,13 @@ def pooled(b: Block, vectors: np.ndarray) -> np.ndarray:
     docs, slots, shapes = slots_and_shapes(b)
     counts = np.bincount(docs, minlength=b.docs)
     sums = np.zeros((b.docs, 2 * DIM))
-    for lo in range(0, len(slots), STEP):
-        part = slice(lo, lo + STEP)
-        doc = docs[part]
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(doc) > 0]))
-        for k, of in enumerate((slots[part], shapes[part])):
-            sums[doc[begins], k * DIM : (k + 1) * DIM] += np.add.reduceat(vectors[of], begins, axis=0)
+    for lo in range(0, b.docs, DOCS):
+        n = min(DOCS, b.docs - lo)
+        part = slice(*np.searchsorted(docs, [lo, lo + n]))
+        doc = docs[part] - lo
+        for k, (of, first, size) in enumerate(((slots, 0, SLOTS), (shapes, SLOTS, SHAPES))):
+            seen = np.bincount(doc * size + of[part] - first, minlength=n * size).reshape(n, size)
+            sums[lo : lo + n, k * DIM : (k + 1) * DIM] = seen.astype(np.float32) @ vectors[first : first + size]
     repeats = np.bincount(docs, weights=(shapes - SLOTS) % 4 > 0, minlength=b.docs)
     marks = np.bincount(docs, weights=(shapes - SLOTS) // 16 % 4 == 3, minlength=b.docs)
     one = np.maximum(counts, 1)[:, None]

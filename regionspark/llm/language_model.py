@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import fold
-from .tables import write_stage
+from .tables import map_arrow, write_stage
 from .words import _Q, LOWER, blocks, hash_spans, mix, word_spans
 
 FOLDS, HELD_OUT_FOLD, DEV_FOLD = 7, 2, 3
@@ -101,7 +101,7 @@ def chunk_table(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     """Tokens of all documents, in chunks: columns as in CHUNK."""
     remainder = fold(FOLDS)
     role = F.when(remainder == HELD_OUT_FOLD, HELD_OUT).when(remainder == DEV_FOLD, DEV).otherwise(FIT)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role")).mapInArrow(_chunks(chunk_tokens), CHUNK)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role")), _chunks(chunk_tokens), CHUNK)
 
 
 @dataclass
@@ -304,7 +304,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1 << 20, bucket_tokens:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n["all"] // bucket_tokens))
 
     def exchanged(source: DataFrame, send, with_cells: bool, name: str) -> DataFrame:
-        return write_stage(source.mapInArrow(send, SENT).groupBy("bucket").applyInPandas(_merge(n["fit"], with_cells), RETURNED), name)
+        return write_stage(map_arrow(source, send, SENT).groupBy("bucket").applyInPandas(_merge(n["fit"], with_cells), RETURNED), name)
 
     def returned(table: DataFrame, name: str) -> DataFrame:
         counts = table.where(F.col("kind") == _COUNTS).select(F.col("chunk").alias(f"_{name}"), F.struct("bucket", "fit", "dev").alias("part"))
@@ -317,4 +317,4 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1 << 20, bucket_tokens:
     cells = bigrams.where(F.col("kind") == _CELL).groupBy("cell").agg(F.sum("weight").alias("n"), F.sum("sum2").alias("a"), F.sum("sum1").alias("b")).orderBy("cell").collect()
     weights = fit_weights(np.array([[r["cell"], r["n"], r["a"], r["b"]] for r in cells], float).reshape(-1, 4), vocabulary)
     whole = with_words.join(returned(bigrams, "bigrams"), F.col("chunk") == F.col("_bigrams")).drop("_bigrams")
-    return whole.mapInArrow(_score(weights, n["fit"] + n["dev"], vocabulary), SCORED)
+    return map_arrow(whole, _score(weights, n["fit"] + n["dev"], vocabulary), SCORED)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
+
 #: Labelled rows that a model is fitted on, at most: the rows of least hash.
 SAMPLE_ROWS = 12_000
 
@@ -55,7 +57,7 @@ def task_sums(docs: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None]
             total += np.frombuffer(blob, dtype)
         return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
-    parts = docs.mapInArrow(fill, "part long, sums binary")
+    parts = map_arrow(docs, fill, "part long, sums binary")
     left = docs.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // fan_in)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import map_arrow
 from .words import blocks, hash_spans, line_spans, windows, word_spans
 
 LINES, MIN_WORDS = 3, 8
@@ -51,7 +52,7 @@ def window_table(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS
     """(window, doc_id, _hash, line) of every window that says something."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
-    return keyed.mapInArrow(_windows(lines, min_words), f"window long, doc_id {kind}, _hash long, line int")
+    return map_arrow(keyed, _windows(lines, min_words), f"window long, doc_id {kind}, _hash long, line int")
 
 
 def later_lines(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -100,7 +101,7 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS,
     extra = ["_lines", "_lost"] if counts else []
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in extra]])
     source = joined.select(*docs.columns, "covered")
-    out = source.mapInArrow(_remove([*docs.columns, *extra], lines, "text"), schema)
+    out = map_arrow(source, _remove([*docs.columns, *extra], lines, "text"), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import key_of, prefix_sums, write_stage
+from .tables import key_of, map_arrow, prefix_sums, write_stage
 from .words import blocks, mix, word_spans
 
 
@@ -102,7 +102,7 @@ SLOTS = "shard long, slot long, source_id int, pass int, block long"
 
 
 def _slots(per_shard: np.ndarray, n_blocks: list[int], settings: Mix):
-    """A function for mapInArrow from shard numbers to their slots."""
+    """A function for map_arrow from shard numbers to their slots."""
     before = np.cumsum(per_shard, 0) - per_shard
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def mixture(docs: DataFrame, settings: Mix = Mix(), keep_text: bool = True) -> M
     placed = placed.select("_row", "source_id", "block", (lo - F.col("_at")).alias("word"), (hi - lo).alias("n_words"))
     per_shard = draw(np.array(quotas, np.int64), settings) if totals else np.zeros((0, 0), np.int64)
     shards = spark.range(0, len(per_shard), 1, max(1, min(len(per_shard), 4096)))
-    slots = shards.mapInArrow(_slots(per_shard, n_blocks, settings), SLOTS)
+    slots = map_arrow(shards, _slots(per_shard, n_blocks, settings), SLOTS)
     spans = slots.hint("merge").join(placed, ["source_id", "block"]).select("shard", "slot", "pass", "_row", "word", "n_words")
     return Mixture(marked, spans)
 
@@ -209,4 +209,4 @@ def mix_documents(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     made = mixture(docs, settings)
     spans = made.spans.groupBy("_row", "pass").agg(F.collect_list(F.struct("word", "n_words")).alias("_spans"))
     names = docs.columns
-    return made.documents.join(spans, "_row").select(*names, "_spans").mapInArrow(_cut(names), docs.schema)
+    return map_arrow(made.documents.join(spans, "_row").select(*names, "_spans"), _cut(names), docs.schema)

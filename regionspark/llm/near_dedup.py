@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .language_model import expand, squeeze
 from .learning import task_sums
-from .tables import write_stage
+from .tables import map_arrow, write_stage
 from .words import Block, blocks, hash_spans, mix, windows, word_spans
 
 
@@ -164,7 +164,7 @@ def sketch_table(docs: DataFrame, weights: np.ndarray, settings: Settings = Sett
                 said = pa.ListArray.from_arrays(pa.array(np.arange(b.docs + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs), batch.column("tid").slice(b.lo, b.docs), lists, said], names=["doc_id", "tid", "bands", "marks"])
 
-    return docs.select("doc_id", text_id().alias("tid"), "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, bands array<long>, marks array<long>")
+    return map_arrow(docs.select("doc_id", text_id().alias("tid"), "text"), sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, bands array<long>, marks array<long>")
 
 
 def text_id():
@@ -186,7 +186,7 @@ def vector_table(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
     own = docs.select("doc_id", text_id().alias("tid"), "text")
     one = wanted.select(F.col("tid").alias("_t"), F.col("doc_id").alias("_d"))
     found = own.join(one, (F.col("tid") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("tid", "text")
-    return found.mapInArrow(vectors, "tid long, keys binary, times binary").dropDuplicates(["tid"])
+    return map_arrow(found, vectors, "tid long, keys binary, times binary").dropDuplicates(["tid"])
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
@@ -223,7 +223,7 @@ def verify(pairs: DataFrame, vectors: DataFrame, weights: np.ndarray, block: int
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["pivot", "tid", "similarity"])
 
     together = pivots.unionByName(members).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
-    return together.mapInArrow(check, "pivot long, tid long, similarity double")
+    return map_arrow(together, check, "pivot long, tid long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,11 +285,11 @@ def _in_blocks(members: DataFrame, chunk: int, columns: list[str], work, schema:
     if vectors is not None:
         dealt = dealt.join(vectors, F.col("tid") == F.col("_v"))
     dealt = dealt.select("bucket", "lo", "hi", "side", *columns)
-    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_groups(work), schema)
+    return map_arrow(dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"), _groups(work), schema)
 
 
 def _groups(work):
-    """A function for mapInArrow that gives `work` the rows of one (bucket, lo, hi) after another as a table."""
+    """A function for map_arrow that gives `work` the rows of one (bucket, lo, hi) after another as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

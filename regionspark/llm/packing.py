@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import prefix_sums, write_stage
+from .tables import map_arrow, prefix_sums, write_stage
 
 SIZE, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: in
             if rows[0]:
                 yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return map_arrow(docs.select("doc_id", "text"), cut, PIECES + ", ids array<int>" * with_ids)
 
 
 @dataclass(frozen=True)
@@ -248,7 +248,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                 sequence[own], offset[own] = firsts[run] + rank[own] - begins[run], offsets[run]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranked.select(*names, "_rank"), place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SIZE) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import SAMPLE_ROWS, fold, labelled_sample, sigmoid, task_sums
+from .tables import map_arrow
 from .words import LOWER, Block, blocks, hash_spans, word_spans
 
 SLOTS, SHAPES, DIM, NONZERO = 2048, 512, 64, 6
@@ -202,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.docs + 1, dtype=np.int32) * FEATURES), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs).cast(pa.int64()), batch.column("label").slice(b.lo, b.docs), lists], names=["doc_id", "label", "x"])
 
-    got = labelled_sample(docs, labels, "quality", rows).mapInArrow(rows_of, "doc_id long, label int, x array<double>").toPandas()
+    got = map_arrow(labelled_sample(docs, labels, "quality", rows), rows_of, "doc_id long, label int, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
     return Model(vectors, fit(x, got["label"].to_numpy(float)))
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
                 out[b.lo : b.hi] = model.network.scores(pooled(b, model.vectors))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], names=[*names, "score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{kept}, score double")
+    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, f"{kept}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

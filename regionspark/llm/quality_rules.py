@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import write_stage
+from .tables import map_arrow, write_stage
 from .words import LOWER, SPACE, blocks, group_sizes, hash_spans, line_spans, totals, windows, word_spans
 
 # Frequent function words of the reference languages.
@@ -130,7 +130,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_features(docs: DataFrame) -> DataFrame:
     """Base counts and both histograms of every document: columns as in FEATURES."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(_features, FEATURES)
+    return map_arrow(docs.select("doc_id", lang.alias("lang"), "text"), _features, FEATURES)
 
 
 def _base_failed(limits: Limits):
@@ -182,7 +182,7 @@ def with_distances(features: DataFrame, references: dict[str, tuple[np.ndarray,
                 nearest = [names[i] for i in best]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(by_class), pa.array(by_word), pa.array(nearest, pa.string())], names=[*columns, "class_distance", "word_distance", "nearest_lang"])
 
-    return features.mapInArrow(add, f"{FEATURES}, class_distance double, word_distance double, nearest_lang string")
+    return map_arrow(features, add, f"{FEATURES}, class_distance double, word_distance double, nearest_lang string")
 
 
 def trimmed_references(features: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[np.ndarray, np.ndarray]]:

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import map_arrow
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -182,4 +184,4 @@ def find_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
             made = [pa.array(r, pa.int64() if i < 3 else pa.string()) for i, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *made], names=[*keep, *_COLUMNS])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(find, f"{kept}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(docs.select(*dict.fromkeys([*keep, text])), find, f"{kept}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

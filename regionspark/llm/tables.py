@@ -1,12 +1,16 @@
-"""Shared storage and exact ranks: written stage tables and distributed prefix sums."""
+"""Shared storage, Arrow passes and exact ranks: written stage tables, map_arrow and distributed prefix sums."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -35,6 +39,24 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(work, schema); workers outlive their tasks, so each task gives its freed memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def key_of(column: str | Column) -> Column:
     """A never-null string key that tells null from every value."""
     c = F.col(column) if isinstance(column, str) else column

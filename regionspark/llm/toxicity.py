@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import SAMPLE_ROWS, fit_logistic, fold, labelled_sample, sigmoid, task_sums
+from .tables import map_arrow
 from .words import LOWER, SPACE, Block, Words, blocks, group_sizes, hash_spans, word_spans
 
 END, OTHER, LETTERS = 0, 27, 28
@@ -229,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     n = {r["label"]: r["n"] for r in sizes}
     if not n.get(1) or not n.get(0):
         return Model(log_p, np.zeros(0, np.uint64), np.zeros(0), 0.0, False)
-    counts = sample.select("text", "label").mapInArrow(seen, "word long, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
+    counts = map_arrow(sample.select("text", "label"), seen, "word long, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
     bad, good = F.col("bad"), F.col("all") - F.col("bad")
     odds = F.log((bad + 0.5) / (good + 0.5) * F.lit(n[0] / n[1]))
     told = counts.where((bad >= LEAST_DOCS) & (odds > 0)).orderBy((bad * odds).desc(), "word").limit(LEXICON)
@@ -247,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     if not len(words):
         return Model(log_p, words, np.zeros(0), float(np.log(n[1] / n[0])))
-    gathered = sample.mapInArrow(rows_of, "doc_id long, label int, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
+    gathered = map_arrow(sample, rows_of, "doc_id long, label int, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
     x = np.zeros((len(gathered), len(words)), np.float32)
     for i, slots in enumerate(gathered["slots"]):
         x[i, np.asarray(slots, int)] = 1
@@ -265,7 +266,7 @@ def score(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
             made = pa.array(model.scores(batch.column("text"), decoder))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], names=[*names, "score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{kept}, score double")
+    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, f"{kept}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

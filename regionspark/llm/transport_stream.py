@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import map_arrow
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private PES data
@@ -242,7 +244,7 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> D
                 made = pa.array([mux(padded(t)) for t in _texts(part.column(text))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*names, media])
 
-    return docs.mapInArrow(store, schema)
+    return map_arrow(docs, store, schema)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets long, continuity_errors long, pts array<long>, random_access array<long>, error string"
@@ -270,4 +272,4 @@ def read_media(stored: DataFrame, keep: list[str], media: str = "media") -> Data
                 rows = pa.RecordBatch.from_pylist([features_of(m) for m in _texts(part.column(media))], schema=_ARROW)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *rows.columns], names=[*keep, *_ARROW.names])
 
-    return stored.mapInArrow(read, f"{kept}, {FEATURES}")
+    return map_arrow(stored, read, f"{kept}, {FEATURES}")

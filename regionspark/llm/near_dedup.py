@@ -15,8 +15,8 @@ Chunks have a fixed size, so no bucket, however large, is held by one task. Two
 fewer agree for linked texts with a probability below `lost` a pair, far below what banding loses.
 
 Equal texts (known by a 64-bit hash) are one text throughout. Texts of fewer words than a shingle are one shingle.
-Defined cases: null and empty texts are equal texts; rows equal in all columns are members of one class; null doc_ids
-keep a row of their own; an empty table gives an empty table; extra columns pass through `drop_near_duplicates`.
+Defined cases: null and empty texts are equal texts; rows equal in all columns are members of one class; a class of null
+doc_ids only keeps one row, whatever other classes have no doc_id or the same one; an empty table gives an empty table; extra columns pass through `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -406,26 +406,27 @@ def _links(settings: Settings, weights: np.ndarray):
 
 
 def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, tid, class_id, class_size) of every document: class_id is the least doc_id of its class."""
+    """(doc_id, tid, label, class_id, class_size) of every document: label, the least text id of its class, is the class'
+    identity; class_id is its least doc_id, which classes without doc_ids or with equal ones share."""
     n = docs.count()
     weights = slot_weights(document_frequencies(docs, settings), n)
     sketch = write_stage(sketch_table(docs, weights, settings), "sketch")
     labels = linked_texts(sketch, docs, weights, settings)
     texts = sketch.groupBy("tid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     if labels is None:
-        classes = texts.select(F.col("tid").alias("_t"), F.col("least").alias("class_id"), F.col("n").alias("class_size"))
+        classes = texts.select(F.col("tid").alias("_t"), F.col("tid").alias("label"), F.col("least").alias("class_id"), F.col("n").alias("class_size"))
     else:
         of = texts.join(labels.select(F.col("tid").alias("_l"), "label"), F.col("tid") == F.col("_l"), "left").select("tid", "least", "n", F.coalesce("label", "tid").alias("label"))
         of = write_stage(of, "classes")
         sums = of.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).withColumnRenamed("label", "_c")
-        classes = of.join(sums, F.col("label") == F.col("_c")).select(F.col("tid").alias("_t"), "class_id", "class_size")
-    return sketch.select("doc_id", "tid").join(classes, F.col("tid") == F.col("_t")).select("doc_id", "tid", "class_id", "class_size")
+        classes = of.join(sums, F.col("label") == F.col("_c")).select(F.col("tid").alias("_t"), "label", "class_id", "class_size")
+    return sketch.select("doc_id", "tid").join(classes, F.col("tid") == F.col("_t")).select("doc_id", "tid", "label", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each class: a row of its least doc_id."""
+    """One document of each class: a row of its least doc_id, or of a null one if it has no other."""
     found = near_duplicate_classes(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Of a class' rows with the least doc_id, the one with the least text id, once.
-    kept = found.groupBy("class_id").agg(F.min("tid").alias("_t")).withColumnRenamed("class_id", "_d")
+    kept = found.groupBy("label").agg(F.min(F.struct("tid", "doc_id")).alias("_k")).select(F.col("_k.tid").alias("_t"), F.col("_k.doc_id").alias("_d"))
     marked = docs.withColumn("_tid", text_id()).join(kept, (F.col("_tid") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     return marked.dropDuplicates(["doc_id", "_tid"]).select(*docs.columns)

@@ -23,7 +23,7 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", F.col("label").alias("class_label"))
 
 
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

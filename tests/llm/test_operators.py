@@ -112,6 +112,16 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_duplicate_classes(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
 
 
+def test_near_dedup_classes_that_share_doc_ids(spark):
+    """Unlike texts stay apart where their doc_ids are null or equal; copies among them are one."""
+    rows = [(None, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (9, prose(4, 60)), (7, prose(5, 60)), (None, prose(5, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicate_classes(df).collect()
+    assert len(got) == 8 and len({r.label for r in got}) == 5
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(df).collect())
+    assert kept == collections.Counter([(None, prose(1, 60)), (None, prose(2, 60)), (5, prose(3, 60)), (5, prose(4, 60)), (7, prose(5, 60))])
+
+
 def test_near_dedup_chains_and_groups(spark):
     """Graded copies of one text: classes are those of the links at 0.8, with shingles of nearly equal weight."""
     rng = random.Random(3)

@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character language model (trigrams over letters and word ends, counted over all documents) is the source; leetspeak,
-spacing and repetition are the channel. Words that show one of the three become a lattice of readings, Viterbi decoding
-finds the likeliest, and documents are scored on their restored words by a logistic model over the words that tell
+spacing and repetition are the channel. Words that show one of the three, and runs of words of one character, become a
+lattice of readings, in which a separator may be a word end; Viterbi decoding finds the likeliest, and documents are scored on their restored words by a logistic model over the words that tell
 labelled toxic documents of a bounded sample from clean ones.
 
 Defined cases: null and empty texts get the model's score of a document without words; with no labelled rows every score
@@ -29,7 +29,8 @@ END, OTHER, LETTERS = 0, 27, 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*~'"
 STEP_COSTS = {"letter": 0.0, "leet": 0.7, "dropped repeat": 0.3, "dropped separator": 0.2, "kept mark": 12.0}
-LEXICON, LEAST_DOCS, LONGEST = 512, 4, 48
+LEXICON, LEAST_DOCS = 512, 4
+LONGEST, SETTLED = 48, 1024  # characters of what is kept once decoded; after which a path is settled
 
 
 def _codes() -> np.ndarray:
@@ -80,72 +81,110 @@ def _code(c: str) -> int:
 
 
 class Decoder:
-    """Viterbi decoding of one obfuscated word at a time."""
+    """Viterbi decoding of one obfuscated word, or of a run of words of one character, at a time."""
 
     def __init__(self, log_p: np.ndarray):
         self.log_p = log_p.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
+
+    def readings(self, raw: str) -> set[str]:
+        """The words behind `raw`: with and without the marks at its ends, as one word and, at separators, as several."""
+        found: set[str] = set()
+        for text in {raw.strip(".,;:?\"()[]{}<>#%&*"), _ENDS.sub("", raw)}:
+            found.update(_WORD.findall(self.restore(text)))
+            if any(c in SEPARATORS for c in text):
+                found.update(_WORD.findall(self.restore(text, True)))
+        return found
 
-    def restore(self, word: str) -> str:
-        """The likeliest letters behind `word`; words over LONGEST characters are decoded in parts of that length."""
+    def restore(self, word: str, apart: bool = False) -> str:
+        """The likeliest letters behind `word`; with `apart` separators may be word ends, which become spaces."""
         if len(word) > LONGEST:
-            return "".join(self.restore(word[i : i + LONGEST]) for i in range(0, len(word), LONGEST))
-        found = self.known.get(word)
+            return self._viterbi(word.lower(), apart)
+        found = self.known.get((word, apart))
         if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = self._viterbi(word.lower())
+            found = self.known[word, apart] = self._viterbi(word.lower(), apart)
         return found
 
-    def _viterbi(self, word: str) -> str:
+    def _viterbi(self, word: str, apart: bool) -> str:
         log_p, cost = self.log_p, STEP_COSTS
-        best: dict[tuple[int, int, str], tuple[float, str]] = {(END, END, ""): (0.0, "")}
+        done: list[str] = []
+        best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(END, END, ""): (0.0, None)}
         for at, c in enumerate(word):
+            if at and at % SETTLED == 0:  # the likeliest path so far is settled, so memory is bounded; its word goes on
+                state, (score, text) = max(best.items(), key=lambda x: x[1][0])
+                done.append(_spelled(text))
+                best = {state: (score, None)}
             run = at and word[at - 1] == c
             readings = [(r, cost["leet"]) for r in LEET.get(c, "")]
             if c.isalpha():
                 readings.append((c, cost["letter"]))
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, last), (score, text) in best.items():
-                options = [((b, _code(r), r), score + log_p[a][b][_code(r)] - k, text + r) for r, k in readings]
+                options = [((b, _code(r), r), score + log_p[a][b][_code(r)] - k, (text, r)) for r, k in readings]
                 if run:
                     options.append(((a, b, last), score - cost["dropped repeat"], text))
                 if c in SEPARATORS:
                     options.append(((a, b, last), score - cost["dropped separator"], text))
+                    if apart and b != END:
+                        options.append(((END, END, ""), score + log_p[a][b][END] - cost["dropped separator"], (text, " ")))
                 elif not c.isalpha():
                     options.append(((a, b, last), score - cost["kept mark"], text))
                 for state, s, t in options:
-                    if state not in new or (s, t) > new[state]:
+                    if state not in new or s > new[state][0]:
                         new[state] = (s, t)
             best = new
-        ended = ((score + log_p[a][b][END], text) for (a, b, _), (score, text) in best.items())
-        return max(ended, default=(0.0, ""))[1]
+        _, text = max(((score + (log_p[a][b][END] if b != END else 0.0), text) for (a, b, _), (score, text) in best.items()), key=lambda x: x[0])
+        return "".join([*done, _spelled(text)])
+
+
+def _spelled(text: tuple | None) -> str:
+    """The characters of (the characters before, a character)."""
+    out = []
+    while text is not None:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
 
 
-def suspects(b: Block, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, last word) of what looks obfuscated: marks before or between letters, spelled-out or repeated letters."""
+def suspects(b: Block, w: Words) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(first word, last word) of the words that look obfuscated and of the runs of words of one character.
+
+    Words with a letter and with marks beside letters, repeated letters or separators between single characters; runs
+    with a letter of three words or more that are a letter, with punctuation or without, or a mark.
+    """
+    none = np.zeros(0, np.int64)
     if not len(w.starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    d = b.data
-    letter, low = _IS_LETTER[d], LOWER[d]
-    mark = _IS_MARK[d]
-    hit = np.zeros(len(d), bool)
-    hit[:-1] |= mark[:-1] & letter[1:]
+        return (none, none), (none, none)
+    d, starts, ends = b.data, w.starts, w.ends
+    letter, low, mark = _IS_LETTER[d], LOWER[d], _IS_MARK[d]
     digit = (d >= 48) & (d < 58)
-    hit[1:] |= digit[1:] & letter[:-1]
-    hit[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:] & (d[2:] < 0x80)
-    split = np.zeros(len(d), bool)
-    split[1:-1] = _IS_SEPARATOR[d[1:-1]] & letter[:-2] & letter[2:]
-    hit[3:] |= split[1:-2] & split[3:]
-    at = np.searchsorted(w.starts, np.flatnonzero(hit & ~SPACE[d]), "right") - 1
-    single = (w.ends - w.starts == 1) & letter[w.starts]
+    found = []
+
+    def add(hit: np.ndarray, size: int) -> None:
+        """Words that hold `size` bytes from a hit on."""
+        at = np.flatnonzero(hit)
+        word = np.searchsorted(starts, at, "right") - 1
+        found.append(word[(word >= 0) & (at + size <= ends[word])])
+
+    add(mark[:-1] & letter[1:], 2)
+    add(letter[:-1] & (mark | digit)[1:], 2)
+    add((low[1:] == low[:-1]) & letter[1:] & (d[1:] < 0x80), 2)
+    split = _IS_SEPARATOR[d[1:-1]] & (letter | mark)[:-2] & (letter | mark)[2:]
+    add(split[:-2] & split[2:], 5)
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([starts, ends])], axis=0)[0]
+    letters, digits, size = count(letter & _KEEP[d]), count(digit), ends - starts
+    words = np.unique(np.concatenate(found))
+    words = words[letters[words] > 0]
+    single = ((letters == 1) & (digits == 0) & (size <= 4)) | ((size == 1) & mark[starts])
     doc = w.doc
     joined = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     edges = np.flatnonzero(np.diff(np.concatenate([[0], joined.astype(np.int8), [0]])))
     first, last = edges[::2], edges[1::2]
-    keep = last - first >= 2
-    words = np.unique(at)
-    return np.concatenate([words, first[keep]]), np.concatenate([words, last[keep]])
+    so_far = np.concatenate([[0], np.cumsum(letters)])
+    keep = (last - first >= 2) & (so_far[last + 1] > so_far[first])
+    return (words, words), (first[keep], last[keep])
 
 
 def _strip(b: Block, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +196,7 @@ def _strip(b: Block, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+_ENDS = re.compile(r"\A[\W\d_]+|[\W\d_]+\Z")
 
 
 def restored_words(b: Block, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
@@ -164,20 +204,22 @@ def restored_words(b: Block, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
     w = word_spans(b)
     starts, ends, own = _strip(b, w)
     doc, key = w.doc[own], hash_spans(LOWER[b.data], starts, ends)
-    first, last = suspects(b, w)
-    extra_docs, extra = [], []
-    word_doc = w.doc
-    for i, j in zip(first, last):
-        raw = b.data[w.starts[i] : w.ends[j]].tobytes().decode("utf-8", "replace")
-        for x in set(_WORD.findall(decoder.restore(raw.strip(".,;:?\"()[]{}<>#%&*")))):
-            extra_docs.append(word_doc[i])
-            extra.append(x.encode())
-    if extra:
-        sizes = np.array([len(x) for x in extra])
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        added = hash_spans(np.frombuffer(b" ".join(extra), np.uint8), begin, begin + sizes)
-        doc, key = np.concatenate([doc, np.array(extra_docs)]), np.concatenate([key, added])
-    return doc, key
+    docs, keys, word_doc = [doc], [key], w.doc
+    for first, last in suspects(b, w):
+        # What a block holds several times is decoded once.
+        _, one, which = np.unique(hash_spans(b.data, w.starts[first], w.ends[last]), return_index=True, return_inverse=True)
+        made = [sorted(decoder.readings(b.data[w.starts[first[k]] : w.ends[last[k]]].tobytes().decode("utf-8", "replace"))) for k in one]
+        flat = [x.encode() for found in made for x in found]
+        if flat:
+            sizes = np.array([len(x) for x in flat])
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            hashes = hash_spans(np.frombuffer(b" ".join(flat), np.uint8), begin, begin + sizes)
+            n = np.array([len(found) for found in made])
+            times = n[which]
+            place = np.arange(times.sum()) + np.repeat((np.cumsum(n) - n)[which] - (np.cumsum(times) - times), times)
+            docs.append(np.repeat(word_doc[first], times))
+            keys.append(hashes[place])
+    return np.concatenate(docs), np.concatenate(keys)
 
 
 @dataclass(frozen=True)

@@ -229,6 +229,17 @@ def test_toxicity(spark, docs, labels, none):
     assert all(scores[i] == i % 2 for i in range(80))
 
 
+def test_toxicity_spacing_with_leetspeak_ends_and_doubles(spark):
+    rows = [(i, prose(i // 2, 40) + " such a thing" + (["", " moron", "", " idiot"][i % 4])) for i in range(160)]
+    forms = ["m 0 r 0 n", "m.0.r.0.n", "i d 1 o t", "a m o r o n", "m o r o n.", "m o r o n i d i o t " * 12, "morron", "idio+", "m0ron!!"]
+    rows += [(100 + k, prose(k, 40) + " such " + form) for k, form in enumerate(forms)] + [(200, prose(9, 40) + " 4 5 5 a - b 1.2.3 (see)"), (201, prose(8, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    scores = {r.doc_id: r.predicted for r in toxicity.score_documents(df, marks).collect()}
+    assert {form: scores[100 + k] for k, form in enumerate(forms)} == dict.fromkeys(forms, 1)
+    assert [scores[i] for i in (200, 201)] == [0, 0]
+
+
 def test_quality_net(spark, docs, labels, none):
     got = quality_net.score_documents(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)

@@ -72,21 +72,35 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+class Ones:
+    """A sparse matrix of zeros and ones: rows and columns of the ones; with products by vectors."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.shape = rows.astype(np.int32), columns.astype(np.int32), shape
+
+    @property
+    def T(self) -> Ones:
+        return Ones(self.columns, self.rows, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=v[self.columns], minlength=self.shape[0])
+
+
+def fit_logistic(x: Ones, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps on the penalised log loss."""
-    x = x.astype(np.float32, copy=False)
     n, d = x.shape
-    u = np.ones(d, np.float32)
+    xt = x.T
+    u = np.ones(d)
     for _ in range(30):  # the largest eigenvalue of x'x by power steps
-        u = x.T @ (x @ u)
+        u = xt @ (x @ u)
         top = float(np.linalg.norm(u))
         u /= max(top, 1e-9)
     step = 4 / (1.1 * top + n + 4 * penalty)
     w, b = np.zeros(d), 0.0
     v, c = w, b
     for k in range(rounds):
-        g = (sigmoid(x @ v.astype(np.float32) + c) - y).astype(np.float32)
-        new, new_b = v - step * (x.T @ g + penalty * v), c - step * float(g.sum())
+        g = sigmoid(x @ v + c) - y
+        new, new_b = v - step * (xt @ g + penalty * v), c - step * float(g.sum())
         v, c = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b)
         w, b = new, new_b
     return w, b

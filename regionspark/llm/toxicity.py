@@ -2,8 +2,8 @@
 
 A character language model (trigrams over letters and word ends, counted over all documents) is the source; leetspeak,
 spacing and repetition are the channel. Words that show one of the three, and runs of words of one character, become a
-lattice of readings, in which a separator may be a word end; Viterbi decoding finds the likeliest, and documents are scored on their restored words by a logistic model over the words that tell
-labelled toxic documents of a bounded sample from clean ones.
+lattice of readings, in which a separator may be a word end; Viterbi decoding finds the likeliest, and documents are scored on their restored words by a logistic model over all words that tell
+labelled toxic documents of a bounded sample from clean ones; its design matrix is sparse.
 
 Defined cases: null and empty texts get the model's score of a document without words; with no labelled rows every score
 is 0; equal texts get equal scores; an empty table gives an empty table; extra columns are ignored.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import SAMPLE_ROWS, fit_logistic, fold, labelled_sample, sigmoid, task_sums
+from .learning import SAMPLE_ROWS, Ones, fit_logistic, fold, labelled_sample, sigmoid, task_sums
 from .tables import map_arrow
 from .words import LOWER, SPACE, Block, Words, blocks, group_sizes, hash_spans, word_spans
 
@@ -29,7 +29,7 @@ END, OTHER, LETTERS = 0, 27, 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*~'"
 STEP_COSTS = {"letter": 0.0, "leet": 0.7, "dropped repeat": 0.3, "dropped separator": 0.2, "kept mark": 12.0}
-LEXICON, LEAST_DOCS = 512, 4
+LEAST_DOCS = 4
 LONGEST, SETTLED = 48, 1024  # characters of what is kept once decoded; after which a path is settled
 
 
@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     counts = map_arrow(sample.select("text", "label"), seen, "word long, label int").groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all"))
     bad, good = F.col("bad"), F.col("all") - F.col("bad")
     odds = F.log((bad + 0.5) / (good + 0.5) * F.lit(n[0] / n[1]))
-    told = counts.where((bad >= LEAST_DOCS) & (odds > 0)).orderBy((bad * odds).desc(), "word").limit(LEXICON)
+    told = counts.where((bad >= LEAST_DOCS) & (odds > 0))
     words = np.sort(np.array([r["word"] for r in told.select("word").collect()], np.int64).view(np.uint64))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,17 +283,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             for b in blocks(batch.column("text")):
                 doc, slot = _hits(b, decoder, words)
-                lists: list[list[int]] = [[] for _ in range(b.docs)]
-                for i, k in zip(doc.tolist(), slot.tolist()):
-                    lists[i].append(k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs).cast(pa.int64()), batch.column("label").slice(b.lo, b.docs), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "label", "slots"])
+                cuts = np.searchsorted(doc, np.arange(b.docs + 1))
+                held = slot.astype("<i4")
+                lists = [held[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs).cast(pa.int64()), batch.column("label").slice(b.lo, b.docs), pa.array(lists, pa.binary())], names=["doc_id", "label", "slots"])
 
     if not len(words):
         return Model(log_p, words, np.zeros(0), float(np.log(n[1] / n[0])))
-    gathered = map_arrow(sample, rows_of, "doc_id long, label int, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.zeros((len(gathered), len(words)), np.float32)
-    for i, slots in enumerate(gathered["slots"]):
-        x[i, np.asarray(slots, int)] = 1
+    gathered = map_arrow(sample, rows_of, "doc_id long, label int, slots binary").toPandas().sort_values("doc_id", kind="stable")
+    slots = [np.frombuffer(x, "<i4") for x in gathered["slots"]]
+    x = Ones(np.repeat(np.arange(len(slots)), [len(k) for k in slots]), np.concatenate(slots), (len(slots), len(words)))
     weights, intercept = fit_logistic(x, gathered["label"].to_numpy(float), penalty=0.2, rounds=600)
     return Model(log_p, words, weights, intercept)
 

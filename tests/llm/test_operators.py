@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -240,6 +241,16 @@ def test_toxicity_spacing_with_leetspeak_ends_and_doubles(spark):
     assert [scores[i] for i in (200, 201)] == [0, 0]
 
 
+def test_toxicity_keeps_every_word_that_tells(spark):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(5)) for _ in range(620)})
+    rows = [(i, prose(i // 2, 30) + (" " + " ".join(words[(i // 2 * 12 + k) % len(words)] for k in range(12)) if i % 2 else "")) for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(1300)], "doc_id long, toxic int"))
+    scores = model.scores(pa.array(["", *words]), toxicity.Decoder(model.log_p))
+    assert len(words) > 600 and (scores[1:] > scores[0]).all()
+
+
 def test_quality_net(spark, docs, labels, none):
     got = quality_net.score_documents(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)

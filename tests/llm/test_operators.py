@@ -217,6 +217,14 @@ def test_line_windows(docs, none):
     assert out.columns == docs.columns and line_windows.dedup_lines(none).count() == 0
 
 
+def test_pipeline_counts_windows_of_few_words(spark):
+    import corpus_pipeline
+
+    short = "Titionly.\nOr so.\n漢字仮名\nEnd."
+    df = spark.createDataFrame([(1, "first\n" + short), (2, short + "\nlast"), (3, "a\n\n\n\n\n\nb")], "doc_id long, text string")
+    assert dict(corpus_pipeline.dedup_lines(spark, df, "").collect()) == {1: "first\n" + short, 2: "last", 3: "a\n\n\n\n\n\nb"}
+
+
 def test_toxicity(spark, docs, labels, none):
     got = toxicity.score_documents(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)

@@ -1,42 +1,19 @@
-"""Shared storage, Arrow passes and exact ranks: written stage tables, map_arrow and distributed prefix sums."""
+"""Arrow passes and exact ranks: map_arrow and distributed prefix sums. Written stages are those of regionspark.stages."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..stages import drop_stage, fresh, shared_dir, write_stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; only where unset, a folder of our own (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        folder = checkpoint or tempfile.mkdtemp(prefix="regionspark-")
-        if not checkpoint:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` once into the shared folder and return it as a scan: lineage ends, every reader sees the same rows.
-
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_stage", "fresh", "give_back", "key_of", "kept_schema", "map_arrow", "prefix_sums", "shared_dir", "write_stage"]
 
 
 def give_back() -> None:
@@ -47,7 +24,9 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def map_arrow(
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
     """df.mapInArrow(work, schema); workers outlive their tasks, so each task gives its freed memory back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +36,12 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def kept_schema(df: DataFrame, names: list[str]) -> str:
+    """DDL of these columns of `df`."""
+    fields = {f.name: f for f in df.schema}
+    return ", ".join(f"`{n.replace('`', '``')}` {fields[n].dataType.simpleString()}" for n in names)
+
+
 def key_of(column: str | Column) -> Column:
     """A never-null string key that tells null from every value."""
     c = F.col(column) if isinstance(column, str) else column
@@ -69,16 +54,21 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], weight: str, out: s
     `rows` is the number of rows of `df`. Groups are dealt over hash buckets of about `bucket_rows` rows, so a group
     that holds most rows is still spread; bucket totals are summed in two levels. `group` must not be null. The order
     is (hash of `order`, `order`): the same for every run. Rows equal in `order` get their places in either order.
+    Column names that begin with `_p` or `_t` are taken.
     """
     buckets = max(1, -(-rows // bucket_rows))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
     d = df.withColumn("_pb", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("long"))
     totals = d.groupBy(F.col(group).alias("_pg"), F.col("_pb").alias("_pk")).agg(F.sum(weight).alias("_pw"))
     totals = totals.withColumn("_ph", (F.col("_pk") / 256).cast("long"))
     tops = totals.groupBy("_pg", "_ph").agg(F.sum("_pw").alias("_pt"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col("_pg").alias("_tg"), F.col("_ph").alias("_th"), F.coalesce(F.sum("_pt").over(before(Window.partitionBy("_pg").orderBy("_ph"))), F.lit(0)).alias("_tb"))
-    inner = totals.withColumn("_pi", F.coalesce(F.sum("_pw").over(before(Window.partitionBy("_pg", "_ph").orderBy("_pk"))), F.lit(0)))
-    base = inner.join(tops, (F.col("_pg") == F.col("_tg")) & (F.col("_ph") == F.col("_th"))).select("_pg", "_pk", (F.col("_pi") + F.col("_tb")).alias("_p0"))
-    own = d.withColumn("_pr", F.coalesce(F.sum(weight).over(before(Window.partitionBy(group, "_pb").orderBy(*order))), F.lit(0)))
+    tops = tops.select(
+        F.col("_pg").alias("_tg"), F.col("_ph").alias("_th"), running("_pt", Window.partitionBy("_pg").orderBy("_ph")).alias("_tb")
+    )
+    inner = totals.withColumn("_pi", running("_pw", Window.partitionBy("_pg", "_ph").orderBy("_pk")))
+    base = inner.join(tops, (F.col("_pg") == F.col("_tg")) & (F.col("_ph") == F.col("_th")))
+    base = base.select("_pg", "_pk", (F.col("_pi") + F.col("_tb")).alias("_p0"))
+    own = d.withColumn("_pr", running(weight, Window.partitionBy(group, "_pb").orderBy(*order)))
     joined = own.join(base, (F.col(group) == F.col("_pg")) & (F.col("_pb") == F.col("_pk")))
     return joined.withColumn(out, (F.col("_pr") + F.col("_p0")).cast("long")).drop("_pb", "_pg", "_pk", "_p0", "_pr")

@@ -1,14 +1,22 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Words, without what is no letter at their ends, fall into a fixed number of hashed slots; each word also has a shape
-(case, length, marks, repetition of the words before). Every slot has a sparse ternary index vector from its number;
-a slot's context vector is the sum of the index vectors around its words over all documents. A document is the mean
-vector of its words, of its shapes, and a few lengths. A two-layer network is fitted in numpy on a bounded sample of
-labelled rows, and a temperature fitted on a part of them that the network has not seen calibrates its probabilities.
+Every word, lower-cased and without what is no letter at its ends, has a sparse ternary index vector drawn from its
+64-bit hash; each word also has a shape (case, length, marks, repetition of the words before) with an index vector of its
+own. A word's context vector is the sum, over all its places in all documents, of the index vectors of the two words on
+either side and of its shape. Context vectors of all words are kept in a count sketch: a table of `SLOTS` rows of fixed
+number, to whose row for the word's hash a sum is added with the word's sign, and from which it is read with that sign;
+other words in the row add noise of either sign. A table of one row for each word would move several times the corpus
+(README has the figures); the sketch moves one table for each task. A document is the mean vector of its words, of its
+shapes, and a few lengths. A two-layer network is fitted in numpy on a bounded sample of labelled rows, and a temperature
+fitted on a part of them that the network has not seen calibrates its probabilities.
+
+Texts are read twice: for the context vectors, and to pool every document's features, which are written once; training
+and scoring read those.
 
 Defined cases: null and empty texts get the score of a document without words; with fewer than two labels known every
-score is the known label's (0 without any); equal texts get equal scores; an empty table gives an empty table; extra
-columns are ignored.
+score is the known label's (0 without any); equal texts get equal scores, so ties stay ties; repeated rows are scored one
+by one, and of labelled rows that share a doc_id the text of least hash is learned from; an empty table gives an empty
+table; extra columns are ignored, whatever their names; a long text takes about 25 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -21,22 +29,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import SAMPLE_ROWS, fold, labelled_sample, sigmoid, task_sums
-from .tables import map_arrow
-from .words import LOWER, Block, blocks, hash_spans, word_spans
+from .learning import SAMPLE_ROWS, fold, labelled_ids, sigmoid, task_sums
+from .tables import kept_schema, map_arrow, write_stage
+from .words import LOWER, Block, blocks, hash_spans, mix, word_spans
 
-SLOTS, SHAPES, DIM, NONZERO = 2048, 512, 64, 6
+SLOTS, SHAPES, DIM, NONZERO = 1 << 18, 512, 64, 8
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
-DOCS = 2048  # pooled at a time
+WORDS, DOCS = 1 << 16, 2048  # pooled at a time
+UNIT = 1024  # vectors of length one are integers of this length, so sums do not depend on their order
+FEATURES = 2 * DIM + 3
 
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """A sparse ternary vector for every slot and shape."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    r = np.zeros((SLOTS + SHAPES, DIM), np.int8)
-    for row in r:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
-    return r
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """A ternary vector for every 64-bit key: in each of NONZERO equal parts one place is 1 or -1; then a 1, to count."""
+    part = DIM // NONZERO
+    h = mix(keys)
+    out = np.zeros((len(keys), DIM + 1), np.int8)
+    out[:, DIM] = 1
+    rows = np.arange(len(keys))
+    for k in range(NONZERO):
+        bits = h >> np.uint64(8 * k)
+        place = (bits & np.uint64(127)).astype(np.int64) % part + k * part
+        out[rows, place] = 1 - 2 * ((bits >> np.uint64(7)) & np.uint64(1)).astype(np.int8)
+    return out
+
+
+def shape_vectors() -> np.ndarray:
+    """The shapes' index vectors, which do not count."""
+    out = index_vectors(np.arange(1, SHAPES + 1, dtype=np.uint64) << np.uint64(40))
+    out[:, DIM] = 0
+    return out
+
+
+def slots_and_signs(keys: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch's row and sign of words by their hashes."""
+    h = mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return ((h >> np.uint64(1)) % np.uint64(slots)).astype(np.int64), 1 - 2 * (h & np.uint64(1)).astype(np.int8)
 
 
 _LETTER = np.zeros(256, bool)
@@ -45,13 +73,13 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
-def slots_and_shapes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, slot, SLOTS + shape) of every word of a block."""
+def words_and_shapes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word hash, shape) of every word of a block."""
     w = word_spans(b)
     n = len(w.starts)
     doc = w.doc
     if not n:
-        return doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return doc, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     letters = np.flatnonzero(_LETTER[b.data])
     lo, hi = np.searchsorted(letters, w.starts), np.searchsorted(letters, w.ends)
     starts, ends = w.starts.copy(), w.ends.copy()
@@ -71,60 +99,91 @@ def slots_and_shapes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         again = np.zeros(n, bool)
         again[back:] = (whole[back:] == whole[:-back]) & (doc[back:] == doc[:-back])
         same[again] = back
-    shape = ((case * 4 + mark) * 4 + size) * 4 + same
-    return doc, (key >> np.uint64(40)).astype(np.int64) % SLOTS, SLOTS + shape
-
-
-def count_contexts(index: np.ndarray):
-    """A function that adds to each slot's and shape's row the index vectors around its words.
-
-    Neighbours are counted in (slot, slot) and (slot, shape) tables first; one product with the index vectors follows.
-    """
-    r = index.astype(np.float64)
-
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        near, own = np.zeros((SLOTS, SLOTS)), np.zeros((SLOTS, SHAPES))
-        for b in blocks(batch.column("text")):
-            doc, slot, shape = slots_and_shapes(b)
-            pairs = []
-            for back in (1, 2):
-                same = doc[back:] == doc[:-back]
-                pairs.append(slot[:-back][same] * SLOTS + slot[back:][same])
-            near += np.bincount(np.concatenate(pairs), minlength=SLOTS * SLOTS).reshape(near.shape)
-            own += np.bincount(slot * SHAPES + shape - SLOTS, minlength=SLOTS * SHAPES).reshape(own.shape)
-        total[:SLOTS] += np.rint((near + near.T) @ r[:SLOTS] + own @ r[SLOTS:]).astype(total.dtype)
-        total[SLOTS:] += np.rint(own.T @ r[:SLOTS]).astype(total.dtype)
-
-    return add
-
-
-def word_vectors(contexts: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Unit context vectors with a little of the own index vector, so that words of equal context stay apart."""
-    mean = contexts.sum(0) / max(contexts.sum(), 1)
-    c = contexts - contexts.sum(1, keepdims=True) * mean
-    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return (c + index / np.sqrt(NONZERO)).astype(np.float32)
+    return doc, key, ((case * 4 + mark) * 4 + size) * 4 + same
+
+
+def row_sums(rows: np.ndarray, place: np.ndarray, groups: int, often: int = 48) -> np.ndarray:
+    """The sums of the rows of each group: place says which group a row is in, and every group has one."""
+    order = np.argsort(place, kind="stable")
+    sizes = np.bincount(place, minlength=groups)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    out = np.zeros((groups, rows.shape[1]), np.int32)
+    for g in np.flatnonzero(sizes > often):
+        out[g] = rows[order[begins[g] : ends[g]]].sum(0, dtype=np.int32)
+    left = np.flatnonzero(sizes <= often)
+    for k in range(often):  # the k-th rows of all groups at once
+        left = left[sizes[left] > k]
+        if not len(left):
+            break
+        out[left] += rows[order[begins[left] + k]]
+    return out
+
+
+def contexts(doc: np.ndarray, key: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, place of each word among them, their index vectors, their summed context vectors)."""
+    distinct, place = np.unique(key, return_inverse=True)
+    own = index_vectors(distinct)
+    each = own[place]
+    around = shape_vectors()[shape]
+    for back in (1, 2):
+        apart = np.flatnonzero(doc[back:] != doc[:-back])
+        for near, at in ((each[:-back], slice(back, None)), (each[back:], slice(None, -back))):
+            around[at] += near
+            around[at][apart] -= near[apart]
+    return distinct, place, own, row_sums(around, place, len(distinct))
+
+
+def add_contexts(total: np.ndarray, batch: pa.RecordBatch) -> None:
+    """Add a batch's context vectors to the sketch's rows, and to each shape's row the index vectors of its words."""
+    slots = len(total) - SHAPES
+    for b in blocks(batch.column("text")):
+        doc, key, shape = words_and_shapes(b)
+        if not len(key):
+            continue
+        distinct, place, own, sums = contexts(doc, key, shape)
+        slot, sign = slots_and_signs(distinct, slots)
+        rows, group = np.unique(slot, return_inverse=True)
+        total[rows] += row_sums(sums * sign[:, None], group, len(rows))
+        times, n = np.unique(shape * len(distinct) + place, return_counts=True)
+        rows, group = np.unique(times // len(distinct), return_inverse=True)
+        total[slots + rows] += row_sums(own[times % len(distinct)] * n[:, None], group, len(rows))
+
+
+def unit_vectors(total: np.ndarray) -> np.ndarray:
+    """Of each row what it has beyond as many words of the corpus taken at random, at length UNIT, in whole numbers."""
+    everything = total[-SHAPES:].sum(0)
+    mean = everything[:DIM] / max(int(everything[DIM]), 1)
+    out = np.zeros((len(total), DIM), np.int16)
+    for lo in range(0, len(total), 1 << 14):
+        c = total[lo : lo + (1 << 14)].astype(np.float64)
+        c = c[:, :DIM] - c[:, DIM:] * mean
+        out[lo : lo + len(c)] = np.rint(c * (UNIT / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)))
+    return out
 
 
 def pooled(b: Block, vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each document of a block."""
-    docs, slots, shapes = slots_and_shapes(b)
-    counts = np.bincount(docs, minlength=b.docs)
-    sums = np.zeros((b.docs, 2 * DIM))
+    """A row of features for each document of a block: mean word vector, mean shape vector, lengths, repeats and marks."""
+    doc, key, shape = words_and_shapes(b)
+    counts = np.bincount(doc, minlength=b.docs)
+    ends = np.cumsum(counts)
+    slots = len(vectors) - SHAPES
+    sums = np.zeros((b.docs, 2 * DIM), np.int64)
+    for lo in range(0, len(key), WORDS):
+        slot, sign = slots_and_signs(key[lo : lo + WORDS], slots)
+        own = vectors[slot] * sign[:, None]
+        for i in np.unique(doc[lo : lo + WORDS]):
+            a, z = max(ends[i] - counts[i] - lo, 0), ends[i] - lo
+            sums[i, :DIM] += own[a:z].sum(0, dtype=np.int32)
     for lo in range(0, b.docs, DOCS):
         n = min(DOCS, b.docs - lo)
-        part = slice(*np.searchsorted(docs, [lo, lo + n]))
-        doc = docs[part] - lo
-        for k, (of, first, size) in enumerate(((slots, 0, SLOTS), (shapes, SLOTS, SHAPES))):
-            seen = np.bincount(doc * size + of[part] - first, minlength=n * size).reshape(n, size)
-            sums[lo : lo + n, k * DIM : (k + 1) * DIM] = seen.astype(np.float32) @ vectors[first : first + size]
-    repeats = np.bincount(docs, weights=(shapes - SLOTS) % 4 > 0, minlength=b.docs)
-    marks = np.bincount(docs, weights=(shapes - SLOTS) // 16 % 4 == 3, minlength=b.docs)
+        part = slice(*np.searchsorted(doc, [lo, lo + n]))
+        seen = np.bincount((doc[part] - lo) * SHAPES + shape[part], minlength=n * SHAPES).reshape(n, SHAPES)
+        sums[lo : lo + n, DIM:] = np.rint(seen.astype(np.float64) @ vectors[slots:].astype(np.float64))
+    repeats = np.bincount(doc, weights=shape % 4 > 0, minlength=b.docs)
+    marks = np.bincount(doc, weights=shape // 16 % 4 == 3, minlength=b.docs)
     one = np.maximum(counts, 1)[:, None]
-    return np.hstack([sums / one, np.log1p(counts)[:, None] / 5, np.stack([repeats, marks], 1) / one])
-
-
-FEATURES = 2 * DIM + 3
+    return np.hstack([sums / (one * UNIT), np.log1p(counts)[:, None] / 5, np.stack([repeats, marks], 1) / one])
 
 
 @dataclass(frozen=True)
@@ -178,7 +237,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     if len(held):
         logits = net.logits(x[held])
         loss = lambda s: -np.mean(np.log(np.where(y[held] == 1, s, 1 - s) + 1e-12))
-        grid = np.exp(np.linspace(-1.5, 2.5, 81))
+        grid = np.exp(np.linspace(-4, 2.5, 131))
         best = min(grid, key=lambda k: loss(sigmoid(logits / k)))
         net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), float(best))
     return net
@@ -190,40 +249,61 @@ class Model:
     network: Network
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Word vectors from all documents, the network from at most `rows` labelled ones."""
-    index = index_vectors()
-    vectors = word_vectors(task_sums(docs.select("text"), count_contexts(index), index.shape, "int64").astype(float), index)
+def word_vectors(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """The sketch of all words' context vectors, then the shapes' rows."""
+    return task_sums(docs.select("text"), add_contexts, (slots + SHAPES, DIM + 1), unit_vectors)
+
+
+def features(docs: DataFrame, vectors: np.ndarray, names: list[str], out: str = "x") -> DataFrame:
+    """Columns `names` of every document and its features. The vectors are a table of fixed size, sent once."""
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column("text")):
-                x = pooled(b, vectors)
-                flat = pa.array(x.reshape(-1))
+                flat = pa.array(pooled(b, shared.value).astype(np.float32).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.docs + 1, dtype=np.int32) * FEATURES), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.docs).cast(pa.int64()), batch.column("label").slice(b.lo, b.docs), lists], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(b.lo, b.docs) for n in names], lists], names=[*names, out])
+
+    own = docs.select(*dict.fromkeys([*names, "text"]))
+    return map_arrow(own, run, f"{kept_schema(docs, names)}, `{out}` array<float>")
 
-    got = map_arrow(labelled_sample(docs, labels, "quality", rows), rows_of, "doc_id long, label int, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
+
+def train_network(table: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
+    """The network from the features (doc_id, x) of at most `rows` labelled documents."""
+    picked = labelled_ids(labels, "quality", rows)
+    own = table.select("doc_id", "x").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    one = own.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.x", "r.label")
+    got = one.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
-    return Model(vectors, fit(x, got["label"].to_numpy(float)))
+    return fit(x, got["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """Columns `names` of every document and its score."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Word vectors from all documents, the network from at most `rows` labelled ones."""
+    vectors = word_vectors(docs)
+    return Model(vectors, train_network(features(docs, vectors, ["doc_id"]), labels, rows))
+
+
+def network_scores(table: DataFrame, network: Network, names: list[str], x: str = "x", out: str = "score") -> DataFrame:
+    """Columns `names` of a table of features and the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for b in blocks(batch.column("text")):
-                out[b.lo : b.hi] = model.network.scores(pooled(b, model.vectors))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], names=[*names, "score"])
+            held = np.asarray(batch.column(x).flatten()).reshape(-1, FEATURES)
+            made = pa.array(network.scores(held.astype(float)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], names=[*names, out])
 
-    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, f"{kept}, score double")
+    return map_arrow(table, run, f"{kept_schema(table, names)}, `{out}` double")
+
+
+def score(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """Columns `names` of every document and its score."""
+    return network_scores(features(docs, model.vectors, names), model.network, names)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = score(docs, train(docs, labels), ["doc_id"])
+    table = write_stage(features(docs, word_vectors(docs), ["doc_id"]), "pooled")
+    scored = network_scores(table, train_network(table, labels), ["doc_id"])
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -3,14 +3,19 @@
 Per source, documents stand in a fixed pseudorandom order and their words form blocks of `block_words`. Targets are
 shares of the words wanted, held to `most` times a source's size, with what that leaves shared out again by weight.
 Output shards of `shard_blocks` slots draw how many blocks they take from each source multinomially, each draw from
-what the source still owes, so that totals meet the targets; slot j of a source maps through the source's
+what the sources still owe, so that totals meet the targets; slot j of a source maps through the source's
 pseudorandom permutation of block indices (a keyed Feistel network walked until it stays in range; another key for each
 pass over the source), and slots meet blocks in a join on (source, index).
 
-What reaches the driver is one row per source; sources are meant to be a catalogue, not keys of documents.
+Shards' counts are not made one after another: a range of shards splits what it owes between its two halves by one
+multinomial draw, seeded by the range, and so on down to single shards. Every task walks down to its own shards, so
+neither the driver nor a task holds a table of all shards. What reaches the driver, and what every task is told, is one
+row per source; sources are meant to be a catalogue, not keys of documents.
 
-Defined cases: null texts have size 0 and are never taken; null sources are a source, last in order; rows equal in all
-columns are separate rows; an empty table gives an empty table; extra columns pass through `mix_documents`.
+Defined cases: null and empty texts have size 0 and are never taken; null sources are a source, last in order; rows equal
+in all columns are separate rows, and such ties may change places; an empty table gives an empty table; extra columns,
+whatever their names, pass through `mix_documents`; a text of any length is cut into blocks like others, and takes about
+6 times its bytes of memory where its words are cut out.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import key_of, map_arrow, prefix_sums, write_stage
+from .tables import fresh, key_of, map_arrow, prefix_sums, write_stage
 from .words import blocks, mix, word_spans
 
 
@@ -80,43 +85,57 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw(quotas: np.ndarray, settings: Mix = Mix()) -> np.ndarray:
-    """Slots per (shard, source): multinomial draws from what is left of the quotas, whose totals they meet."""
-    left = quotas.astype(np.int64).copy()
-    rng = np.random.Generator(np.random.PCG64(settings.seed))
-    shards = []
-    while left.sum() > settings.shard_blocks:
-        want = settings.shard_blocks
-        got = np.zeros_like(left)
-        while want:
-            rest = left - got
-            new = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
-            got += new
-            want -= int(new.sum())
-        left -= got
-        shards.append(got)
-    return np.array([*shards, left]).reshape(-1, len(quotas))
+def draw(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n of the slots that are owed: multinomial draws, drawn again as far as a source would give more than it owes."""
+    got = np.zeros_like(quotas)
+    while (want := n - int(got.sum())) > 0:
+        rest = quotas - got
+        got += np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
+    return got
+
+
+def shard_counts(quotas: np.ndarray, first: int, last: int, settings: Mix = Mix()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots it takes from each source, slots that the shards before it take) of the shards first..last-1."""
+    size = settings.shard_blocks
+
+    def walk(lo: int, hi: int, owed: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, owed, before
+            return
+        middle = (lo + hi) // 2
+        left = draw(owed, (middle - lo) * size, np.random.Generator(np.random.PCG64([settings.seed, lo, hi])))
+        yield from walk(lo, middle, left, before)
+        yield from walk(middle, hi, owed - left, before + left)
+
+    shards = -(-int(quotas.sum()) // size)
+    if shards:
+        yield from walk(0, shards, quotas.astype(np.int64), np.zeros(len(quotas), np.int64))
 
 
 SLOTS = "shard long, slot long, source_id int, pass int, block long"
 
 
-def _slots(per_shard: np.ndarray, n_blocks: list[int], settings: Mix):
-    """A function for map_arrow from shard numbers to their slots."""
-    before = np.cumsum(per_shard, 0) - per_shard
+def _slots(quotas: np.ndarray, n_blocks: list[int], settings: Mix):
+    """A function for map_arrow from runs of shard numbers to their slots."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
+            if not batch.num_rows:
+                continue
+            numbers = batch.column(0).to_pylist()
+            for shard, counts, before in shard_counts(quotas, numbers[0], numbers[-1] + 1, settings):
                 slot = 0
-                for s in np.flatnonzero(per_shard[shard]):
-                    n, m = n_blocks[s], int(per_shard[shard][s])
-                    j = np.arange(before[shard][s], before[shard][s] + m)
+                for s in np.flatnonzero(counts):
+                    n, m = n_blocks[s], int(counts[s])
+                    j = np.arange(before[s], before[s] + m)
                     turn, block = j // n, np.zeros(m, np.int64)
                     for e in np.unique(turn):
                         own = turn == e
                         block[own] = permute(j[own] % n, n, settings.seed * 1_000_003 + int(s) * 1009 + int(e))
-                    columns = [pa.array(np.full(m, shard)), pa.array(np.arange(slot, slot + m)), pa.array(np.full(m, s, np.int32)), pa.array(turn.astype(np.int32)), pa.array(block)]
+                    columns = [pa.array(np.full(m, shard)), pa.array(np.arange(slot, slot + m)), pa.array(np.full(m, s, np.int32))]
+                    columns += [pa.array(turn.astype(np.int32)), pa.array(block)]
                     yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "source_id", "pass", "block"])
                     slot += m
 
@@ -125,57 +144,73 @@ def _slots(per_shard: np.ndarray, n_blocks: list[int], settings: Mix):
 
 @dataclass
 class Mixture:
-    """documents: the rows as given with _row, _size, _source_size and _target; spans: which words of them each slot takes
-    (shard, slot, pass, _row, word, n_words)."""
+    """documents: the rows as given with columns for row number, size, source size and target, whose names `added` has in
+    that order; spans: which words of them each slot takes (shard, slot, pass, row, word, n_words)."""
 
     documents: DataFrame
     spans: DataFrame
+    added: list[str]
 
 
 def mixture(docs: DataFrame, settings: Mix = Mix(), keep_text: bool = True) -> Mixture:
     """The mixture of `docs` (doc_id, source, text). Without keep_text the written table holds no texts."""
     spark = docs.sparkSession
-    kept = docs if keep_text else docs.select("doc_id", "source", "text")  # names that begin with _ are this module's
-    numbered = kept.withColumns({"_size": word_count(), "_hash": F.xxhash64("text"), "_source": key_of("source"), "_row": F.monotonically_increasing_id()})
+    row, size, hash_, source, number, source_size, target = added = fresh(
+        docs.columns, "row", "size", "hash", "source_key", "source_id", "source_size", "target"
+    )
+    numbered = docs.withColumns(
+        {size: word_count(), hash_: F.xxhash64("text"), source: key_of("source"), row: F.monotonically_increasing_id()}
+    )
     table = write_stage(numbered if keep_text else numbered.drop("text"), "mix")
-    totals = table.groupBy("source", "_source").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
+    totals = table.groupBy(F.col("source").alias("name"), F.col(source).alias("key"))
+    totals = totals.agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    totals = sorted(totals, key=lambda r: (r["name"] is None, r["name"] or ""))
     sizes = [int(r["n"]) for r in totals]
     wanted = targets(sizes, settings)
-    n_blocks = [-(-n // settings.block_words) for n in sizes]
-    quotas = [min(round(t / settings.block_words), int(settings.most) * n) for t, n in zip(wanted, n_blocks)]
-    ids = spark.createDataFrame([(r["_source"], i, sizes[i], float(wanted[i])) for i, r in enumerate(totals)], "_source string, _source_id int, _source_size long, _target double")
-    marked = table.join(ids, "_source")  # one row per source
-    n_rows = sum(r["rows"] for r in totals)
-    ordered = prefix_sums(marked.where("_size > 0").select("_row", "doc_id", "_hash", F.col("_source_id").alias("source_id"), F.col("_size").alias("size")), "source_id", ["_hash", "doc_id"], "size", "_at", n_rows)
-    width = F.lit(settings.block_words)
-    block = F.explode(F.sequence((F.col("_at") / width).cast("long"), ((F.col("_at") + F.col("size") - 1) / width).cast("long")))
-    placed = ordered.select("_row", "source_id", "_at", "size", block.alias("block"))
-    lo = F.greatest(F.col("_at"), F.col("block") * width)
-    hi = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * width)
-    placed = placed.select("_row", "source_id", "block", (lo - F.col("_at")).alias("word"), (hi - lo).alias("n_words"))
-    per_shard = draw(np.array(quotas, np.int64), settings) if totals else np.zeros((0, 0), np.int64)
-    shards = spark.range(0, len(per_shard), 1, max(1, min(len(per_shard), 4096)))
-    slots = map_arrow(shards, _slots(per_shard, n_blocks, settings), SLOTS)
-    spans = slots.hint("merge").join(placed, ["source_id", "block"]).select("shard", "slot", "pass", "_row", "word", "n_words")
-    return Mixture(marked, spans)
+    width = settings.block_words
+    n_blocks = [-(-n // width) for n in sizes]
+    quotas = np.array([min(round(t / width), int(settings.most) * n) for t, n in zip(wanted, n_blocks)], np.int64)
+    ids = spark.createDataFrame(
+        [(r["key"], i, sizes[i], float(wanted[i])) for i, r in enumerate(totals)],
+        f"{source} string, {number} int, {source_size} long, {target} double",
+    )
+    marked = table.join(ids, source)  # one row per source; the engine broadcasts it if it is small
+    own = marked.where(F.col(size) > 0).select(
+        F.col(row).alias("row"), "doc_id", F.col(hash_).alias("hash"), F.col(number).alias("source_id"), F.col(size).alias("size")
+    )
+    ordered = prefix_sums(own, "source_id", ["hash", "doc_id"], "size", "at", sum(r["rows"] for r in totals))
+    lo, end = F.col("at"), F.col("at") + F.col("size")
+    block = F.explode(F.sequence((lo / width).cast("long"), ((end - 1) / width).cast("long")))
+    placed = ordered.select("row", "source_id", "at", "size", block.alias("block"))
+    begin = F.greatest(lo, F.col("block") * width)
+    stop = F.least(end, (F.col("block") + 1) * width)
+    placed = placed.select("row", "source_id", "block", (begin - lo).alias("word"), (stop - begin).alias("n_words"))
+    n_shards = -(-int(quotas.sum()) // settings.shard_blocks)
+    tasks = max(1, -(-n_shards // 256), min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    slots = map_arrow(spark.range(0, n_shards, 1, tasks), _slots(quotas, n_blocks, settings), SLOTS)
+    spans = slots.hint("merge").join(placed, ["source_id", "block"]).select("shard", "slot", "pass", "row", "word", "n_words")
+    return Mixture(marked, spans, [added[i] for i in (0, 1, 5, 6)])
 
 
 def taken_words(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
     made = mixture(docs.select("doc_id", "source", "text"), settings, keep_text=False)
-    taken = made.spans.groupBy("_row").agg(F.sum("n_words").alias("taken"))
-    joined = made.documents.join(taken, "_row", "left")
-    return joined.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    row, size, source_size, target = made.added
+    taken = made.spans.groupBy(F.col("row").alias("taker")).agg(F.sum("n_words").alias("taken"))
+    joined = made.documents.join(taken, F.col(row) == F.col("taker"), "left")
+    return joined.select(
+        "doc_id", F.col(size).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+    )
 
 
-def _cut(names: list[str]):
-    """Texts of the word ranges `spans` (word, n_words), in order, joined where they do not touch."""
+def _cut(names: list[str], spans_name: str):
+    """Texts of the word ranges (word, n_words) in the column `spans_name`, in order, joined where they do not touch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            spans = batch.column("_spans")
+            spans = batch.column(spans_name)
             for b in blocks(batch.column("text")):
                 w = word_spans(b)
                 for i in range(b.docs):
@@ -207,6 +242,8 @@ def mix_documents(docs: DataFrame, settings: Mix = Mix()) -> DataFrame:
     Documents of which nothing is taken are left out; columns are those of `docs`, n_chars follows the text.
     """
     made = mixture(docs, settings)
-    spans = made.spans.groupBy("_row", "pass").agg(F.collect_list(F.struct("word", "n_words")).alias("_spans"))
-    names = docs.columns
-    return map_arrow(made.documents.join(spans, "_row").select(*names, "_spans"), _cut(names), docs.schema)
+    taker, spans_name = fresh(made.documents.columns, "taker", "spans")
+    spans = made.spans.groupBy(F.col("row").alias(taker), "pass").agg(F.collect_list(F.struct("word", "n_words")).alias(spans_name))
+    spans = spans.select(taker, spans_name)
+    joined = made.documents.join(spans, F.col(made.added[0]) == F.col(taker)).select(*docs.columns, spans_name)
+    return map_arrow(joined, _cut(docs.columns, spans_name), docs.schema)

@@ -29,12 +29,14 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     stored = transport_stream.media_column(docs).select("doc_id", "n_bytes", "media")
-    return transport_stream.read_media(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    read = transport_stream.read_media(stored, ["doc_id", "n_bytes"])
+    digest = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return read.select("doc_id", "n_bytes", *digest, "pts", "random_access")
 
 
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_windows.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_removed"), F.col("text").alias("kept_text"))
+    out = line_windows.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ WITH lines AS (
   FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), ranked AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth
-  FROM runs WHERE run IS NOT NULL AND len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 8
+  FROM runs WHERE run IS NOT NULL AND regexp_matches(run, '[^\x20\x09-\x0D]')
 ), covered AS (
   SELECT DISTINCT doc_id, i + k AS i FROM ranked, (VALUES (0), (1), (2)) AS t(k) WHERE nth > 1
 )

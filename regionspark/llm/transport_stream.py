@@ -1,12 +1,19 @@
 """Media columns: MPEG transport streams (ISO/IEC 13818-1) written and read back.
 
 `mux` stores a payload as one program: a program association table, a program map table, and one elementary stream of
-PES packets with presentation timestamps; the first PES packet of every `gop` is a random-access point. `demux` parses
-the tables with their CRCs, checks continuity counters, reassembles the PES packets and lists timestamps and
-random-access points. `media_column` adds the stored bytes to documents, `read_media` turns stored bytes into features.
-
-Defined cases: null and empty texts are 64 zero bytes (the contract's padding); broken streams give `error` and no
-payload; equal texts give equal rows; an empty table gives an empty table; other columns pass through media_column.
+PES packets with presentation timestamps; the first PES packet of every `gop` is a random-access point with a program
+clock reference. `demux` reads such and other streams: it puts table sections together across packets and checks their
+CRCs, checks continuity counters, drops duplicate packets and packets marked as damaged, reassembles PES packets, and
+lists timestamps, random-access points and clock references. What a lost packet touches is one PES packet: it is left
+out and counted, the others are kept. `media_column` adds the stored bytes to documents, `read_media` turns stored bytes
+into features.
+
+Defined cases: null and empty texts are 64 zero bytes (the contract's padding); streams without whole packets, sync bytes
+or a valid program give `error` and no payload; damaged ones give `error` and the payload of their whole PES packets;
+equal texts give equal rows, so there are no ties, and repeated rows are stored one by one; an empty table gives an empty
+table; other columns pass through media_column, but for one of the media column's own name, which is replaced, and
+read_media leaves out kept columns with the names of its features; a long text is stored and read as a whole, in about 8
+times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tables import map_arrow
+from .tables import kept_schema, map_arrow
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -128,25 +135,135 @@ class Stream:
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
     continuity_errors: int = 0
+    duplicates: int = 0
+    damaged: int = 0  # packets marked so
+    bad_sections: int = 0
+    lost_pes: int = 0
     pts: list[int] = field(default_factory=list)
-    random_access: list[int] = field(default_factory=list)
-
-
-def _tables(rows: np.ndarray, heads: np.ndarray, bodies: np.ndarray, table_id: int) -> Iterator[tuple[int, bytes]]:
-    """(number, body) of the distinct sections that begin in these packets; a wrong CRC raises ValueError."""
-    seen = set()
-    for i in np.flatnonzero(heads):
-        raw = rows[i].tobytes()
-        at = int(bodies[i])
-        at += 1 + raw[at]
-        length = (raw[at + 1] & 15) << 8 | raw[at + 2]
-        section = raw[at : at + 3 + length]
-        if section in seen:
+    random_access: list[int] = field(default_factory=list)  # packet numbers
+    clock: list[tuple[int, int]] = field(default_factory=list)  # (packet number, program clock reference at 27 MHz)
+
+
+@dataclass
+class _Packets:
+    """The packets of a stream that are whole, by number."""
+
+    rows: np.ndarray
+    pid: np.ndarray
+    begins: np.ndarray
+    has_payload: np.ndarray
+    counter: np.ndarray
+    skip: np.ndarray
+    flags: np.ndarray  # the adaptation field's, 0 without one
+
+    def data(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Payload bytes of these packets, and where each one's begin in them, with the end."""
+        keep = np.arange(4, PACKET) >= (4 + self.skip[own])[:, None]
+        return self.rows[own, 4:][keep], np.concatenate([[0], np.cumsum(keep.sum(1))])
+
+    def in_order(self, own: np.ndarray, found: Stream) -> tuple[np.ndarray, np.ndarray]:
+        """These packets of one PID without duplicates, and which of them follow a gap."""
+        if not len(own):
+            return own, np.zeros(0, bool)
+        step = (np.diff(self.counter[own]) & 15).astype(np.int64)
+        again = np.flatnonzero(step == 0)
+        twice = np.zeros(len(own), bool)
+        for i in again:  # an equal packet after a first one; clock references may differ
+            a, z = own[i], own[i + 1]
+            own_bytes = [self.rows[k, 4 + self.skip[k] :].tobytes() for k in (a, z)]
+            twice[i + 1] = own_bytes[0] == own_bytes[1] and not twice[i]
+        found.duplicates += int(twice.sum())
+        own = own[~twice]
+        gap = np.zeros(len(own), bool)
+        gap[1:] = (np.diff(self.counter[own]) & 15 != 1) & (self.flags[own[1:]] & 0x80 == 0)  # 0x80: a jump that was announced
+        found.continuity_errors += int(gap.sum())
+        return own, gap
+
+
+def _sections(packets: _Packets, pid: int, table_id: int, found: Stream) -> Iterator[tuple[int, bytes]]:
+    """(number, body) of the distinct valid sections of a PID; they may span packets or share one."""
+    own, gap = packets.in_order(np.flatnonzero((packets.pid == pid) & packets.has_payload), found)
+    seen: set[bytes] = set()
+    held: bytearray | None = None
+    data, ends = packets.data(own)
+
+    def whole(held: bytearray, last: bool) -> Iterator[tuple[int, bytes]]:
+        """The sections that are complete in `held`, which keeps the rest."""
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 15) << 8 | held[2])
+            if len(held) < size:
+                break
+            section = bytes(held[:size])
+            del held[:size]
+            if section in seen or section[0] != table_id:
+                continue
+            seen.add(section)
+            if size < 12 or section_crc(section):
+                found.bad_sections += 1
+            elif section[5] & 1:  # in force now
+                yield section[3] << 8 | section[4], section[8:-4]
+        if last or held and held[0] == 0xFF:
+            held.clear()
+
+    for k, i in enumerate(own):
+        part = data[ends[k] : ends[k + 1]].tobytes()
+        if gap[k]:
+            held = None
+        if packets.begins[i]:
+            if not part or 1 + part[0] > len(part):
+                found.bad_sections += 1
+                held = None
+                continue
+            if held is not None:
+                held += part[1 : 1 + part[0]]
+                yield from whole(held, True)
+            held = bytearray(part[1 + part[0] :])
+        elif held is not None:
+            held += part
+        if held is not None:
+            yield from whole(held, False)
+
+
+def _program_tables(packets: _Packets, found: Stream) -> None:
+    for _, body in _sections(packets, 0, 0, found):
+        for i in range(0, len(body) - 3, 4):
+            if number := body[i] << 8 | body[i + 1]:  # 0 names the network table
+                found.programs[number] = (body[i + 2] & 31) << 8 | body[i + 3]
+    for number, map_pid in sorted(found.programs.items()):
+        for program, body in _sections(packets, map_pid, 2, found):
+            if program != number or len(body) < 4:
+                continue
+            i = 4 + ((body[2] & 15) << 8 | body[3])
+            while i + 5 <= len(body):
+                found.streams[(body[i + 1] & 31) << 8 | body[i + 2]] = body[i]
+                i += 5 + ((body[i + 3] & 15) << 8 | body[i + 4])
+
+
+def _elementary(packets: _Packets, pid: int, found: Stream) -> list[bytes]:
+    """Payloads of the whole PES packets of a PID, with their timestamps and random-access points."""
+    own, gap = packets.in_order(np.flatnonzero((packets.pid == pid) & packets.has_payload), found)
+    data, ends = packets.data(own)
+    starts = np.flatnonzero(packets.begins[own])
+    out = []
+    if len(own) and (not len(starts) or starts[0]):
+        found.lost_pes += 1  # what begins before the stream does
+    breaks = np.flatnonzero(gap)
+    for a, b in zip(starts, [*starts[1:], len(own)]):
+        after = breaks[np.searchsorted(breaks, a, "right") :]  # a gap before its first packet is the packet before's
+        cut = int(after[0]) if len(after) and after[0] < b else b
+        pes = data[ends[a] : ends[cut]].tobytes()
+        body = 9 + pes[8] if len(pes) >= 9 else 0
+        length = pes[4] << 8 | pes[5] if body else 0
+        whole = pes[:3] == b"\x00\x00\x01" and 0 < body <= len(pes) and (length == len(pes) - 6 if length else cut == b)
+        found.lost_pes += not whole or cut < b
+        if not whole:
             continue
-        seen.add(section)
-        if section[0] != table_id or len(section) != 3 + length or section_crc(section):
-            raise ValueError("table")
-        yield section[3] << 8 | section[4], section[8:-4]
+        if pes[7] & 0x80 and body >= 14:
+            found.pts.append(_read_timestamp(pes[9:14]))
+        if packets.flags[own[a]] & 0x40:
+            found.random_access.append(int(own[a]))
+        out.append(pes[body:])
+    return out
 
 
 def demux(media: bytes) -> Stream:
@@ -159,56 +276,27 @@ def demux(media: bytes) -> Stream:
         found.error = "sync"
         return found
     head = rows[:, 1:4].astype(np.int32)
-    pid, begins = (head[:, 0] & 31) << 8 | head[:, 1], head[:, 0] & 0x40 != 0
-    has_field, has_payload, counter = head[:, 2] & 0x20 != 0, head[:, 2] & 0x10 != 0, head[:, 2] & 15
+    pid, control = (head[:, 0] & 31) << 8 | head[:, 1], head[:, 2]
+    has_field = control & 0x20 != 0
     skip = np.where(has_field, rows[:, 4].astype(np.int32) + 1, 0)
-    bodies = 4 + skip
-    if (bodies > PACKET).any():
-        found.error = "adaptation"
-        return found
-    for p in np.unique(pid):
-        if p != NULL_PID:
-            own = (pid == p) & has_payload
-            found.continuity_errors += int((np.diff(counter[own]) & 15 != 1).sum())
-    try:
-        for _, body in _tables(rows, begins & (pid == 0), bodies, 0):
-            for i in range(0, len(body), 4):
-                found.programs[body[i] << 8 | body[i + 1]] = (body[i + 2] & 31) << 8 | body[i + 3]
-        for map_pid in found.programs.values():
-            for _, body in _tables(rows, begins & (pid == map_pid), bodies, 2):
-                i = 4 + ((body[2] & 15) << 8 | body[3])
-                while i < len(body):
-                    found.streams[(body[i + 1] & 31) << 8 | body[i + 2]] = body[i]
-                    i += 5 + ((body[i + 3] & 15) << 8 | body[i + 4])
-    except (ValueError, IndexError):
+    marked = (head[:, 0] & 0x80 != 0) | (4 + skip > PACKET)
+    found.damaged = int(marked.sum())
+    good = ~marked & (pid != NULL_PID)
+    flags = np.where(has_field & (skip > 1), rows[:, 5], 0)
+    payload = (control & 0x10 != 0) & good
+    packets = _Packets(rows, np.where(good, pid, -1), head[:, 0] & 0x40 != 0, payload, control & 15, np.where(good, skip, 0), flags)
+    for i in np.flatnonzero(good & (flags & 0x10 != 0) & (skip >= 8)):
+        b = rows[i, 6:12].astype(np.int64)
+        base = b[0] << 25 | b[1] << 17 | b[2] << 9 | b[3] << 1 | b[4] >> 7
+        found.clock.append((int(i), int(base) * 300 + (int(b[4] & 1) << 8 | int(b[5]))))
+    _program_tables(packets, found)
+    if not found.streams:
         found.error = "table"
         return found
-    parts = []
-    for es in sorted(found.streams):
-        own = np.flatnonzero((pid == es) & has_payload)
-        starts = np.flatnonzero(begins[own])
-        if not len(starts) or starts[0]:
-            found.error = "start"
-            return found
-        keep = np.arange(4, PACKET) >= bodies[own][:, None]
-        data = rows[own, 4:][keep]
-        ends = np.concatenate([[0], np.cumsum(keep.sum(1))])
-        for a, b in zip(starts, [*starts[1:], len(own)]):
-            pes = data[ends[a] : ends[b]].tobytes()
-            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
-                found.error = "pes"
-                return found
-            length, flags, body = pes[4] << 8 | pes[5], pes[7], 9 + pes[8]
-            if length and length != len(pes) - 6:
-                found.error = "pes length"
-                return found
-            if flags & 0x80:
-                found.pts.append(_read_timestamp(pes[9:14]))
-            i = own[a]
-            if skip[i] > 1 and rows[i, 5] & 0x40:
-                found.random_access.append(int(i))
-            parts.append(pes[body:])
+    parts = [x for pid in sorted(found.streams) for x in _elementary(packets, pid, found)]
     found.payload = b"".join(parts)
+    if found.lost_pes or found.damaged or found.bad_sections:
+        found.error = f"lost pes {found.lost_pes}, damaged packets {found.damaged}, bad sections {found.bad_sections}"
     return found
 
 
@@ -235,6 +323,7 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterato
 
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """The documents with one more column: the padded text stored as a transport stream."""
+    docs = docs.drop(media)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())])
 
@@ -247,24 +336,35 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> D
     return map_arrow(docs, store, schema)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets long, continuity_errors long, pts array<long>, random_access array<long>, error string"
-_ARROW = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("packets", pa.int64()), ("continuity_errors", pa.int64()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("error", pa.string())])
+FEATURES = (
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets long, "
+    "continuity_errors long, lost_pes long, pts array<long>, random_access array<long>, clock array<long>, error string"
+)
+_KINDS = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+_ARROW = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in FEATURES.split(", ")])
 
 
 def features_of(media: bytes) -> dict:
     s = demux(media)
     payload = s.payload or b""
     said = {
-        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "packets": s.packets, "continuity_errors": s.continuity_errors, "pts": s.pts, "random_access": s.random_access, "error": s.error,
+        "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "packets": s.packets,
+        "continuity_errors": s.continuity_errors, "lost_pes": s.lost_pes, "pts": s.pts, "random_access": s.random_access,
+        "clock": [t for _, t in s.clock], "error": s.error,
     }
-    said["feature"] = f"packets={s.packets};programs={len(s.programs)};streams={','.join(f'{p}:{t}' for p, t in sorted(s.streams.items()))};continuity_errors={s.continuity_errors};pes={len(s.pts)};pts={s.pts[0] if s.pts else -1}-{s.pts[-1] if s.pts else -1};random_access={len(s.random_access)};error={s.error}"
+    streams = ",".join(f"{p}:{t}" for p, t in sorted(s.streams.items()))
+    said["feature"] = ";".join([
+        f"packets={s.packets}", f"programs={len(s.programs)}", f"streams={streams}", f"continuity_errors={s.continuity_errors}",
+        f"pes={len(s.pts)}", f"pts={s.pts[0] if s.pts else -1}-{s.pts[-1] if s.pts else -1}", f"random_access={len(s.random_access)}",
+        f"error={s.error}",
+    ])
     return said
 
 
 def read_media(stored: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """Columns `keep` and what the stored bytes hold when read back: columns as in FEATURES. Null media: empty."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.select(*keep).schema)
+    keep = [k for k in keep if k.lower() not in _ARROW.names]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,4 +372,4 @@ def read_media(stored: DataFrame, keep: list[str], media: str = "media") -> Data
                 rows = pa.RecordBatch.from_pylist([features_of(m) for m in _texts(part.column(media))], schema=_ARROW)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *rows.columns], names=[*keep, *_ARROW.names])
 
-    return map_arrow(stored, read, f"{kept}, {FEATURES}")
+    return map_arrow(stored.select(*dict.fromkeys([*keep, media])), read, ", ".join([*([kept_schema(stored, keep)] * bool(keep)), FEATURES]))

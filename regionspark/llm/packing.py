@@ -11,7 +11,9 @@ about five times faster, and the tokenizer itself takes texts with characters ou
 pre-tokenizers surely agree.
 
 Defined cases: null and empty texts are the end id alone; rows equal in doc_id and text share their ids and get places
-of their own; an empty table gives an empty table; extra columns are ignored.
+of their own, and pieces that tie in length and order may change places; an empty table gives an empty table; extra
+columns, whatever their names, are ignored; a text of any length is encoded as a whole, in about 40 times its bytes of
+memory, and cut into pieces.
 """
 
 from __future__ import annotations

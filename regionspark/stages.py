@@ -30,7 +30,11 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` once and return it as a scan. The folder goes with drop_stage, or when the driver's JVM ends."""
+    """Write `df` once and return it as a scan. The folder goes with drop_stage, or when the driver's JVM ends.
+
+    What the step took, its shuffle files and broadcasts on the executors and its plans on the driver, is released then
+    and not only when the driver's JVM happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -38,6 +42,8 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    del df
+    spark._jvm.java.lang.System.gc()
     return out
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from regionspark.llm import language_model, line_windows, mixing, near_dedup, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
+from regionspark.llm import language_model, line_windows, mixing, near_dedup, packed, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("bucket", T.StringType()), T.StructField("size", T.StringType())])
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -91,11 +91,11 @@ def test_interpolation_is_a_distribution():
 def test_squeeze_round_trip():
     rng = np.random.default_rng(0)
     x = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
-    assert (language_model.expand(language_model.squeeze(x, True), "u8", True) == x).all()
+    assert (packed.expand(packed.squeeze(x, True), "u8", True) == x).all()
     for dtype in ("u1", "u4", "i4", "u8"):
         for n in (0, 1, 77):
             y = rng.integers(0, 100, n).astype(dtype)
-            assert (language_model.expand(language_model.squeeze(y), dtype) == y).all()
+            assert (packed.expand(packed.squeeze(y), dtype) == y).all()
 
 
 def _jaccard(a: str, b: str) -> float:
@@ -154,7 +154,7 @@ def test_block_links_are_exact():
     b = next(blocks(pa.array(texts)))
     doc, key, times = near_dedup.shingles(b, 5)
     vec = [(key[doc == i], times[doc == i]) for i in range(len(texts))]
-    t = pa.table({"bucket": [1] * len(texts), "lo": [0] * len(texts), "hi": [0] * len(texts), "side": [0] * len(texts), "tid": list(range(len(texts))), "label": list(range(len(texts))), "keys": [language_model.squeeze(k, True) for k, _ in vec], "times": [language_model.squeeze(n.astype("<u4")) for _, n in vec]})
+    t = pa.table({"bucket": [1] * len(texts), "lo": [0] * len(texts), "hi": [0] * len(texts), "side": [0] * len(texts), "tid": list(range(len(texts))), "label": list(range(len(texts))), "keys": [packed.squeeze(k, True) for k, _ in vec], "times": [packed.squeeze(n.astype("<u4")) for _, n in vec]})
     got = [x for batch in near_dedup._links(near_dedup.Settings(slots=1 << 10), weights)(t) for x in zip(*batch.to_pydict().values())]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near_dedup.weighted_jaccard(vec[i], vec[j], weights) >= 0.8}
     assert set(got) <= want
@@ -197,7 +197,7 @@ def test_demux_sees_damage():
 
 
 def test_line_windows(docs, none):
-    got = line_windows.dedup_lines(docs, counts=True).collect()
+    got = line_windows.dedup_lines(docs, counts=("n_lines", "n_lost")).collect()
     rows = [(i, t or "") for i, t, *_ in awkward()]
     seen, want = {}, {}
     for i, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0)):
@@ -205,14 +205,14 @@ def test_line_windows(docs, none):
         gone = set()
         for k in range(len(lines) - 2):
             run = "\n".join(lines[k : k + 3])
-            if len(run.encode().split()) >= 8:
+            if run.encode().split():
                 if run in seen:
                     gone |= {k, k + 1, k + 2}
                 seen.setdefault(run, (i, k))
         want[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     original = {(i, len(t or "")): t for i, t, *_ in awkward()}
     assert len(got) == len(rows) and sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), want[i, t]) for i, t in rows)
-    assert next(r for r in got if r.doc_id == 21)._lost == 10 and original
+    assert next(r for r in got if r.doc_id == 21).n_lost == 10 and original
     out = line_windows.dedup_lines(docs)
     assert out.columns == docs.columns and line_windows.dedup_lines(none).count() == 0
 
@@ -296,8 +296,22 @@ def test_targets_and_permutation():
     assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0, 15.0]
     for n in (1, 2, 5, 100, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 7)) == list(range(n))
-    quotas = np.array([1000, 300, 5000])
-    assert (mixing.draw(quotas, mixing.Mix(shard_blocks=512)).sum(0) == quotas).all()
+
+
+def test_shards_draw_what_sources_owe():
+    """Any range of shards gives the same draws; shards are full, and together they take what each source owes."""
+    settings = mixing.Mix(shard_blocks=512)
+    quotas = np.array([1000, 300, 0, 5000])
+    every = list(mixing.shard_counts(quotas, 0, 100, settings))
+    assert [n for n, _, _ in every] == list(range(13)) and [int(c.sum()) for _, c, _ in every] == [512] * 12 + [156]
+    assert (sum(c for _, c, _ in every) == quotas).all() and all((c >= 0).all() for _, c, _ in every)
+    for k, (_, _, before) in enumerate(every):
+        assert (before == sum((c for _, c, _ in every[:k]), np.zeros(4, int))).all()
+    some = list(mixing.shard_counts(quotas, 5, 8, settings))
+    assert [n for n, _, _ in some] == [5, 6, 7] and all((a[1] == b[1]).all() for a, b in zip(some, every[5:8]))
+    assert list(mixing.shard_counts(np.zeros(2, int), 0, 9, settings)) == []
+    share = np.array([c / c.sum() for _, c, _ in mixing.shard_counts(quotas * 100, 0, 2000, settings)])
+    assert np.allclose(share.mean(0), quotas / quotas.sum(), atol=0.01) and (share[:, 0].std() > 0.005)
 
 
 def _der(tag: int, body: bytes) -> bytes:

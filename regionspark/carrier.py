@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 GT_SQL = r"""
 parts AS (
   SELECT doc_id, i, trim(string_split_regex(text, '[.\n]')[i]) AS raw
-  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split_regex(text, '[.\n]')) + 1)) AS i) WHERE lang = 'en'
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split_regex(text, '[.\n]')) + 1)) AS i)
 ), gt AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ix, raw, regexp_replace(lower(raw), '\s+', '', 'g') AS norm
-  FROM parts WHERE length(raw) BETWEEN 5 AND 120 AND regexp_full_match(raw, '[\x00-\x7F]*')
+  FROM parts WHERE raw <> ''
 )"""
 
 PRED_SQL = GT_SQL + r""", planned AS (
@@ -38,9 +38,9 @@ def _norm(c: F.Column) -> F.Column:
 
 
 def gt_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_file, ix, raw, norm): sentences of English documents, ASCII and of 5 to 120 characters."""
-    parts = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("i", "raw"))
-    parts = parts.withColumn("raw", F.trim("raw")).where(F.length("raw").between(5, 120) & F.col("raw").rlike(r"^[\x00-\x7F]*$"))
+    """(source_file, ix, raw, norm): the sentences of all documents, of any length."""
+    parts = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("i", "raw"))
+    parts = parts.withColumn("raw", F.trim("raw")).where("raw != ''")
     ix = (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("long")
     return parts.select(F.col("doc_id").alias("source_file"), ix.alias("ix"), "raw", _norm(F.col("raw")).alias("norm"))
 

@@ -18,6 +18,8 @@ CLAIM_QUANTITY = r"\d+(?:[.,]\d+)?\s*[%％倍小时天周月]"
 EXCLUDED = (r"^[¥￥]\s*\d", r"^\d{8,}$", r"\b\d+(?:\.\d+)?\s*(?:ml|mL|ML|g|kg|克|千克|毫升)\b")
 EXCLUDED_WORDS = "条形码 净含量 规格 生产许可证 执行标准 保质期".split()
 
+DEFAULT_BRANDS = ("SkinCeuticals", "修丽可")
+
 
 def matches(c: Column, patterns: Iterable[str]) -> Column:
     return c.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
@@ -37,3 +39,8 @@ def gate(text: Column, include: Iterable[str], exclude: Iterable[str], brands: I
 
 def is_claim(text: Column, brands: Iterable[str] = ()) -> Column:
     return gate(text, [*CLAIM_WORDS, CLAIM_QUANTITY], [*EXCLUDED, *EXCLUDED_WORDS], brands)
+
+
+def claim_lines(lines: Column, brands: Iterable[str] = (), all_text: bool = False) -> Column:
+    """Of an array of lines those that are claims, or all; `brands` are ruled out besides the default ones."""
+    return lines if all_text else F.filter(lines, lambda x: is_claim(x, [*DEFAULT_BRANDS, *brands]))

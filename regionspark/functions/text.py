@@ -17,8 +17,6 @@ from ..config import Normalize
 
 #: Line ends as str.splitlines sees them.
 LINE_ENDS = "\r\n|[\n\u000b\f\r\u001c-\u001e\u0085  ]"
-#: Letters for token distances: one for each distinct token of a pair.
-ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 20000)))
 
 
 def strip(c: Column) -> Column:
@@ -67,13 +65,20 @@ def tokenize(c: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of token arrays: each distinct token of the pair becomes one letter of ALPHABET.
+    """Levenshtein distance of token arrays: each distinct token of the pair becomes one character.
 
-    Null if a pair has more distinct tokens than ALPHABET letters.
+    Those from U+10000 on are used: 1,048,576 of them. A pair with more distinct tokens raises.
     """
-    vocabulary = F.array_distinct(F.concat(a, b))
-    spell = lambda x: F.array_join(F.transform(x, lambda t: F.substring(F.lit(ALPHABET), F.array_position(vocabulary, t).cast("int"), F.lit(1))), "")
-    return F.when(F.size(vocabulary) <= len(ALPHABET), F.levenshtein(spell(a), spell(b)))
+    # The pair is bound once, as the one element of an array: a lambda's body is worked out anew for each element.
+    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all")))
+
+    def distance(p: Column) -> Column:
+        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(p["all"], t) + 0xFFFF), 8, "0")), "UTF-32")
+        spell = lambda x: F.array_join(F.transform(x, letter), "")
+        too_many = F.raise_error(F.lit("more than 1,048,576 distinct tokens")).cast("int")
+        return F.when(F.size(p["all"]) <= 1 << 20, F.levenshtein(spell(p["a"]), spell(p["b"]))).when(p["all"].isNotNull(), too_many)
+
+    return F.transform(pair, distance)[0]
 
 
 @lru_cache(1 << 14)
@@ -129,3 +134,15 @@ def precision_recall(matched_gt: Column, matched_pred: Column, gt: Column, pred:
 def verdict_key(model: Column, prompt: Column, gt: Column, pred: Column) -> Column:
     """The first 32 hexadecimal digits of the SHA-256 of the four, as a JSON array."""
     return F.substring(F.sha2(F.to_json(F.array(model, prompt, gt, pred)), 256), 1, 32)
+
+
+def chat_url(base: Column) -> Column:
+    """The chat endpoint below a base address: its version is added if there is none."""
+    bare = F.regexp_replace(base, "/+$", "")
+    versioned = F.when(bare.rlike(r"/v\d+$"), bare).otherwise(F.concat(bare, F.lit("/v1")))
+    return F.when(bare.endswith("/chat/completions"), bare).otherwise(F.concat(versioned, F.lit("/chat/completions")))
+
+
+def local_timestamp(c: Column) -> Column:
+    """A time as the session's local time in ISO form, to the second and without an offset."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

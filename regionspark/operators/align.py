@@ -162,3 +162,47 @@ def best_similarity(candidates: DataFrame, by: Iterable[str] = ("source_file", "
     """The best partner of each region; of ties the least index."""
     best = F.max(F.struct("similarity", (-F.col("pred_ix")).alias("_o"))).alias("_b")
     return candidates.groupBy(*by).agg(best).select(*by, F.col("_b.similarity").alias("similarity"), (-F.col("_b._o")).alias("pred_ix"))
+
+
+def judge_tallies(found: DataFrame, regions: tuple[DataFrame, DataFrame], cached: DataFrame, answered: DataFrame) -> DataFrame:
+    """calls, cache_hits and failures of the deferred pairs among `found`, the columns of MATCHES.
+
+    A pair's texts (raw, by index, of the two sides) are looked up among the `cached` verdicts (gt, pred), else asked:
+    those among the `answered` ones are calls, the others failures. A pair of texts that was answered once is cached
+    from then on.
+    """
+    asked = found.where("kind = 'uncertain'").select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"))
+    for side, ix in zip(regions, ("_g", "_p")):
+        own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), F.col("raw").alias(f"{ix}_text"))
+        asked = asked.join(own, (F.col("source_file") == F.col("_f")) & (F.col(ix) == F.col("_i"))).drop("_f", "_i")
+    texts = asked.groupBy(F.col("_g_text").alias("gt"), F.col("_p_text").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    for known, name in ((cached, "held"), (answered, "said")):
+        texts = texts.join(known.select("gt", "pred", F.lit(True).alias(name)).distinct(), ["gt", "pred"], "left")
+    held, said, n = F.coalesce("held", F.lit(False)), F.coalesce("said", F.lit(False)), F.col("n")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    calls, hits = F.when(~held & said, 1).otherwise(0), F.when(held, n).when(said, n - 1).otherwise(0)
+    return texts.agg(total(calls, "judge_calls"), total(hits, "judge_cache_hits"), total(F.when(~held & ~said, n).otherwise(0), "judge_failures"))
+
+
+def rejected_pairs(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(source_file, gt, pred, similarity, nth) of the deferred pairs that were not accepted, from the most similar on."""
+    out = found.where("kind = 'uncertain' and matched_by != 'same'")
+    out = out.select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"), F.round("similarity", 4).alias("similarity"))
+    for side, ix, name in ((gt, "_g", "gt"), (pred, "_p", "pred")):
+        own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), F.col("raw").alias(name))
+        out = out.join(own, (F.col("source_file") == F.col("_f")) & (F.col(ix) == F.col("_i"))).drop("_f", "_i")
+    nth = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("similarity"), "_g", "_p"))
+    return out.select("source_file", "gt", "pred", "similarity", nth.alias("nth"))
+
+
+def group_texts(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(source_file, kind, gt, pred, similarity) of the merges and splits: raw texts of a side joined by " | "."""
+    groups = found.where("kind in ('merge', 'split')").withColumn("_m", F.struct("kind", "gt_ixs", "pred_ixs"))
+    out = groups.select("source_file", "_m", F.round("similarity", 4).alias("similarity"))
+    for side, ixs, name in ((gt, "gt_ixs", "gt"), (pred, "pred_ixs", "pred")):
+        own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), "raw")
+        placed = groups.select("source_file", "_m", F.posexplode(ixs).alias("_at", "_ix"))
+        placed = placed.join(own, (F.col("source_file") == F.col("_f")) & (F.col("_ix") == F.col("_i")))
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "raw"))), lambda x: x["raw"]), " | ")
+        out = out.join(placed.groupBy("source_file", "_m").agg(texts.alias(name)), ["source_file", "_m"])
+    return out.select("source_file", F.col("_m.kind").alias("kind"), "gt", "pred", "similarity")

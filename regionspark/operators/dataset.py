@@ -27,21 +27,74 @@ def split_sizes(n: int, val_ratio: float = 0.1, test_ratio: float = 0.1) -> dict
     return {"test": test, "eval": val, "train": n - test - val}
 
 
-def exact_split(records: DataFrame, key: str = "file_name", val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42, order: Column | None = None) -> DataFrame:
+def _around(keyed: DataFrame, ranks: list[int], span: int, rows: int) -> list[tuple[int, int, int]]:
+    """(low, high, rows below low) for each rank: a range of `_o` that holds the rank-th row, of `rows` rows at most
+    unless it is one value. Each pass counts the rows of `span` parts of the ranges, so little reaches the driver."""
+    least, most, n = keyed.agg(F.min("_o"), F.max("_o"), F.count(F.lit(1))).first()
+    found = [(least, most, 0, n)] * len(ranks)
+    while True:
+        open_ranges = sorted({(lo, hi, below) for lo, hi, below, held in found if held > rows and hi > lo})
+        if not open_ranges:
+            return [(lo, hi, below) for lo, hi, below, _ in found]
+        part, own = None, None
+        for k, (lo, hi, _) in enumerate(open_ranges):
+            width = -(-(hi - lo + 1) // span)
+            here = F.col("_o").between(lo, hi)
+            place = F.floor((F.col("_o").cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
+            part = F.when(here, F.lit(k)) if part is None else part.when(here, F.lit(k))
+            own = F.when(here, place) if own is None else own.when(here, place)
+        counts = keyed.select(part.alias("k"), own.alias("p")).where("k is not null").groupBy("k", "p").agg(F.count(F.lit(1)).alias("n")).collect()
+        held = {(r["k"], r["p"]): r["n"] for r in counts}
+        for i, rank in enumerate(ranks):
+            lo, hi, below, size = found[i]
+            if size <= rows or hi == lo:
+                continue
+            k, width = open_ranges.index((lo, hi, below)), -(-(hi - lo + 1) // span)
+            for p in sorted(p for j, p in held if j == k):
+                if below + held[k, p] >= rank:
+                    found[i] = (lo + p * width, min(hi, lo + (p + 1) * width - 1), below, held[k, p])
+                    break
+                below += held[k, p]
+
+
+def exact_split(
+    records: DataFrame, key: str = "file_name", val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42,
+    order: Column | None = None, span: int = 4096, rows: int = 10_000,
+) -> DataFrame:
     """Records with `split`: exact sizes, the same for every run and partitioning.
 
-    Only the keys of least order reach the window: the rows that can be test or eval are found by an approximate
-    quantile with a margin, so train rows are never sorted.
+    Records go by `order` (integers; else a hash of the key, in which equal keys are the only ties), then by key. The
+    two borders are found by counting ranges of the order; only the rows of a border's last range, about `rows` of them,
+    are ranked, and the others are told by their order alone. Ties of a border's order are ranked together.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order
-    n = records.count()
-    sizes = split_sizes(n, val_ratio, test_ratio)
-    wanted = sizes["test"] + sizes["eval"]
+    order = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order.cast("long")
     keyed = records.withColumn("_o", order)
-    head = keyed.select("_o", F.col(key).alias("_k")).orderBy("_o", "_k").limit(wanted)
-    ranked = head.withColumn("_n", F.row_number().over(Window.orderBy("_o", "_k"))).select("_o", "_k", F.when(F.col("_n") <= sizes["test"], "test").otherwise("eval").alias("_s"))
-    joined = keyed.join(ranked.withColumnRenamed("_o", "_ro"), (F.col(key) == F.col("_k")) & (F.col("_o") == F.col("_ro")), "left")
-    return joined.withColumn("split", F.coalesce("_s", F.lit("train"))).select(*records.columns, "split")
+    sizes = split_sizes(records.count(), val_ratio, test_ratio)
+    ranks = [sizes["test"], sizes["test"] + sizes["eval"]]
+    wanted = [r for r in ranks if r > 0]
+    if not wanted:
+        return records.withColumn("split", F.lit("train"))
+    ranges = dict(zip(wanted, _around(keyed.select("_o"), wanted, span, rows)))
+    rank, near = F.col("_o"), None
+    for number, (lo, hi, _) in enumerate(sorted(set(ranges.values()))):
+        here = rank.between(lo, hi)
+        near = F.when(here, F.lit(number)) if near is None else near.when(here, F.lit(number))
+    placed = keyed.withColumn("_b", near)
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key))
+
+    def within(r: int, ranked: bool) -> Column:
+        """Whether a record is among the first `r`."""
+        if r <= 0:
+            return F.lit(False)
+        lo, hi, below = ranges[r]
+        return (rank < lo) | (rank.between(lo, hi) & (F.lit(below) + F.col("_n") <= r)) if ranked else rank < lo
+
+    def named(df: DataFrame, ranked: bool) -> DataFrame:
+        test, head = (within(r, ranked) for r in ranks)
+        return df.withColumn("split", F.when(test, "test").when(head, "eval").otherwise("train")).select(*records.columns, "split")
+
+    border = placed.where("_b is not null").withColumn("_n", nth)
+    return named(placed.where("_b is null"), False).unionByName(named(border, True))
 
 
 def chat_records(records: DataFrame, root: str, prompt: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.text import normalize
 from ..operators import align, metrics
+from ..stages import write_stage
 
 
 @dataclass
@@ -39,6 +40,7 @@ def evaluate(gt: DataFrame, pred: DataFrame, settings: Settings = Settings(), ju
     files = gt.select("source_file").join(pred.select("source_file"), "source_file", "left_semi")
     left = exploded(gt.join(files, "source_file", "left_semi"), settings)
     right = exploded(pred.join(files, "source_file", "left_semi"), settings)
-    found = align.matches(left, right, rules, settings.normalize.ignore_whitespace, judged, settings.judge.on_failure)
+    # Rates read the matches several times; they are made once.
+    found = write_stage(align.matches(left, right, rules, settings.normalize.ignore_whitespace, judged, settings.judge.on_failure), "matches")
     items = metrics.per_file(found, left, right, files, rules, joint)
     return Evaluation(found, items, metrics.corpus(items), coverage(gt, pred))

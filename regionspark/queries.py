@@ -13,6 +13,7 @@ from .config import Align
 from .functions import claims, text
 from .operators import align, compare, dataset, layout, lines, metrics
 from .sources import records, sinks
+from .stages import write_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,15 +50,15 @@ def regions_explode(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, count(*) FILTER (WHERE trim(line, chr(32) || chr(9) || chr(13)) <> '') AS n_regions
-FROM (SELECT doc_id, unnest(string_split(replace(text, chr(9), ' '), chr(10))) AS line FROM documents WHERE lang = 'en') GROUP BY doc_id""")
+FROM (SELECT doc_id, unnest(string_split(replace(text, chr(9), ' '), chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def regions_per_file(spark, sf_dir):
     found = records.regions_of_text(F.col("text"))
-    return documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.size(found).cast("long").alias("n_regions"))
+    return documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_regions"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS n_regions FROM conversations WHERE regexp_full_match(text, '[!-~]+( [!-~]+)*')")
+@query("SELECT conv_id, turn, 0 + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) * (turn % 3 <> 0)::INT AS n_regions FROM conversations")
 def empty_token_filter(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[!-~]+( [!-~]+)*$"))
+    c = table(spark, sf_dir, "conversations")
     marked = F.when(F.col("turn") % 3 == 0, "<EMPTY>").otherwise(F.col("text"))
     return c.select("conv_id", "turn", F.size(records.regions_of_text(marked)).alias("n_regions"))
 
@@ -80,14 +81,11 @@ def first_present_key(spark, sf_dir):
 
 # -- text
 
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-
-
-@query(r"SELECT conv_id, turn, regexp_replace(lower(text), '\s+', '', 'g') AS joined, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9_\s]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM conversations WHERE " + _ASCII)
+@query(r"SELECT conv_id, turn, regexp_replace(lower(text), '\s+', '', 'g') AS joined, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9_\s]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM conversations")
 def normalize_ascii(spark, sf_dir):
     from .config import Normalize
 
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    c = table(spark, sf_dir, "conversations")
     plain = text.normalize_ascii(F.col("text"), Normalize(ignore_whitespace=False, case_sensitive=True, strip_punctuation=True))
     return c.select("conv_id", "turn", text.normalize_ascii(F.col("text")).alias("joined"), plain.alias("plain"))
 
@@ -97,26 +95,48 @@ def normalize_unicode(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("norm"))
 
 
-@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]')) AS n_tokens FROM conversations WHERE " + _ASCII)
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]')) AS n_tokens FROM conversations")
 def tokenize_counts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query(f"WITH {PRED_SQL} SELECT gt.doc_id AS source_file, gt.ix, levenshtein(gt.norm, pred.norm) AS distance FROM gt JOIN pred ON gt.doc_id = pred.doc_id AND gt.ix = pred.ix")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$&()*+-./:;<=>?@[]^_{|}~"
+
+
+def _spelled(a: str, b: str) -> str:
+    """SQL for the distance of two lists: each distinct element of both becomes a letter of one byte, as DuckDB counts bytes."""
+    word = lambda x: f"array_to_string(list_transform({x}, lambda t: substr('{_LETTERS}', list_position(v, t), 1)), '')"
+    return f"levenshtein({word(a)}, {word(b)})"
+
+
+@query(
+    f"WITH {PRED_SQL}, two AS (SELECT gt.doc_id, gt.ix, string_split(gt.norm, '') AS a, string_split(pred.norm, '') AS b "
+    "FROM gt JOIN pred ON gt.doc_id = pred.doc_id AND gt.ix = pred.ix), both_ AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM two) "
+    f"SELECT doc_id AS source_file, ix, {_spelled('a', 'b')} AS distance FROM both_"
+)
 def char_edit_distance(spark, sf_dir):
     g, p = sides(spark, sf_dir)
     both = g.join(p.select("source_file", "ix", F.col("norm").alias("b")), ["source_file", "ix"])
     return both.select("source_file", "ix", F.levenshtein("norm", "b").cast("long").alias("distance"))
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$&()*+-./:;<=>?@[]^_{|}~"
+_TOKENS = r"'[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]'"
 
 
-@query(f"WITH {PRED_SQL}" + rf""", two AS (SELECT gt.doc_id, gt.ix, regexp_extract_all(gt.raw, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]') AS a, regexp_extract_all(pred.raw, '[a-zA-Z]+|[0-9][0-9.,%]*|[^\sa-zA-Z0-9]') AS b FROM gt JOIN pred ON gt.doc_id = pred.doc_id AND gt.ix = pred.ix),
-v AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS vocab FROM two)
-SELECT doc_id AS source_file, ix, levenshtein(array_to_string(list_transform(a, lambda t: substr('{_LETTERS}', list_position(vocab, t), 1)), ''), array_to_string(list_transform(b, lambda t: substr('{_LETTERS}', list_position(vocab, t), 1)), '')) AS distance FROM v""")
+@query(
+    f"WITH two AS (SELECT p_partkey, regexp_extract_all(p_name, {_TOKENS}) AS a, regexp_extract_all(p_type || ' ' || p_brand, {_TOKENS}) AS b FROM part), "
+    f"both_ AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM two) SELECT p_partkey, {_spelled('a', 'b')} AS distance FROM both_"
+)
 def token_edit_distance(spark, sf_dir):
+    """Of short texts, which SQL can spell with letters of one byte; region_token_distance has texts of any length."""
+    p = table(spark, sf_dir, "part")
+    a, b = text.tokenize(F.col("p_name")), text.tokenize(F.concat_ws(" ", "p_type", "p_brand"))
+    return p.select("p_partkey", text.token_distance(a, b).cast("long").alias("distance"))
+
+
+@query()
+def region_token_distance(spark, sf_dir):
     g, p = sides(spark, sf_dir)
     both = g.join(p.select("source_file", "ix", F.col("raw").alias("b")), ["source_file", "ix"])
     return both.select("source_file", "ix", text.token_distance(text.tokenize(F.col("raw")), text.tokenize(F.col("b"))).cast("long").alias("distance"))
@@ -295,7 +315,7 @@ def _items(spark, sf_dir, rules: Align = Align()) -> DataFrame:
     g, p = sides(spark, sf_dir)
     files = g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi")
     g = g.join(files, "source_file", "left_semi")
-    return metrics.per_file(align.matches(g, p, rules), g, p, files, rules)
+    return metrics.per_file(write_stage(align.matches(g, p, rules), "matches"), g, p, files, rules)
 
 
 @query()
@@ -316,7 +336,7 @@ def merge_split_counts(spark, sf_dir):
 @query()
 def credit_flag_variants(spark, sf_dir):
     g, p = sides(spark, sf_dir)
-    found = align.matches(g, p).persist()  # four variants read it
+    found = write_stage(align.matches(g, p), "matches")  # four variants read it
     files = g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi")
     g = g.join(files, "source_file", "left_semi")
     out = None
@@ -355,16 +375,43 @@ def claim_gate_docs(spark, sf_dir):
     return g.select("source_file", "ix", keep.alias("keep"))
 
 
+_CLAIM_PARTS = ("保湿", "净含量50ml", "平滑 ", "SkinCeuticals", "修丽可", "¥ 99", "使用前后", "12345678", "28天", "water", "规格 保湿")
+
+
+def _claim_sample(spark, sf_dir) -> DataFrame:
+    """A line for each part: a phrase by its number, before its name."""
+    words = F.array(*map(F.lit, _CLAIM_PARTS))
+    k = F.col("p_partkey") % len(_CLAIM_PARTS)
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_name"))).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.get(words, k.cast("int")), name).alias("line"))
+
+
+_CLAIM_SQL = (
+    "WITH l AS (SELECT p_partkey, [" + ", ".join(f"'{x}'" for x in _CLAIM_PARTS) + f"][p_partkey % {len(_CLAIM_PARTS)} + 1] "
+    "|| CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_name ELSE '' END AS line FROM part), b AS (SELECT *, regexp_replace(line, '\\s+', '', 'g') AS bare FROM l) "
+    f"SELECT p_partkey, regexp_matches(bare, '{'|'.join([*claims.CLAIM_WORDS, claims.CLAIM_QUANTITY])}') "
+    f"AND NOT regexp_matches(bare, '{'|'.join([*claims.EXCLUDED, *claims.EXCLUDED_WORDS])}') AND lower(bare) NOT IN ('skinceuticals', '修丽可') AS keep FROM b"
+)
+
+
+@query(_CLAIM_SQL)
+def claim_words(spark, sf_dir):
+    """The claim rules themselves, with the default brands."""
+    lines_ = _claim_sample(spark, sf_dir)
+    kept = claims.claim_lines(F.array("line"))
+    return lines_.select("p_partkey", (F.size(kept) > 0).alias("keep"))
+
+
 def boxes(spark, sf_dir) -> DataFrame:
-    """A page for each conversation, with a box for each of the first words of a turn, placed by simple arithmetic."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("i", "word"))
+    """A page for each conversation, with a box for each word of a turn, placed by simple arithmetic."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "word"))
     x, y, h = F.col("i") * 60.0 + F.col("turn") % 3 * 5, F.col("turn") * 20.0 + F.col("i") % 2 * 3, 8.0 + F.col("i") % 4
     wide = F.length("word") * 5.0
     return c.select(F.col("conv_id").alias("page"), F.col("word").alias("text"), ((F.col("i") * 7 + F.col("turn")) % 10 / 10).alias("confidence"), x.alias("x_min"), y.alias("y_min"), (x + wide).alias("x_max"), (y + h).alias("y_max"), F.lit(1200).alias("image_height"), "turn", F.col("i").cast("long").alias("i"))
 
 
 _BOXES_SQL = """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations),
-c AS (SELECT conv_id, turn, i - 1 AS i, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, least(len(ws), 6) + 1)) AS i)),
+c AS (SELECT conv_id, turn, i - 1 AS i, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
 boxes AS (SELECT conv_id AS page, word AS text, ((i * 7 + turn) % 10) / 10 AS confidence, i * 60.0::DOUBLE + turn % 3 * 5 AS x_min, turn * 20.0::DOUBLE + i % 2 * 3 AS y_min, i * 60.0::DOUBLE + turn % 3 * 5 + length(word) * 5.0::DOUBLE AS x_max, turn * 20.0::DOUBLE + i % 2 * 3 + 8 + i % 4 AS y_max, turn, i FROM c)"""
 
 
@@ -449,8 +496,17 @@ def split_exact_sizes(spark, sf_dir):
     return dataset.exact_split(docs, "doc_id", order=F.col("doc_id") * 7919 % 10007).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey * 7919) % 1000003, o_orderkey) AS n, count(*) OVER () AS total FROM orders) "
+    "SELECT o_orderkey, CASE WHEN n <= total // 10 THEN 'test' WHEN n <= 2 * (total // 10) THEN 'eval' ELSE 'train' END AS split FROM r"
+)
 def split_membership(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return dataset.exact_split(orders, "o_orderkey", order=F.col("o_orderkey") * 7919 % 1000003, rows=64)
+
+
+@query()
+def split_by_hash(spark, sf_dir):
     return dataset.exact_split(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_name")))
 
 
@@ -503,3 +559,41 @@ def report_markdown_lines(spark, sf_dir):
 @query("SELECT seconds_bin AS bin, count(*) AS n FROM (SELECT CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10)::BIGINT + 1 END AS seconds_bin FROM events WHERE value IS NOT NULL) GROUP BY 1")
 def value_histogram(spark, sf_dir):
     return compare.histogram(table(spark, sf_dir, "events").where("value is not null"), "value", 0, 100, 10)
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'http://h' || conv_id || '/v1/chat/completions' WHEN turn % 4 = 1 THEN 'http://h' || conv_id || '/v2/chat/completions' "
+    "ELSE 'http://h' || conv_id || '/v1/chat/completions' END AS url FROM conversations"
+)
+def chat_urls(spark, sf_dir):
+    host = F.concat(F.lit("http://h"), F.col("conv_id").cast("string"))
+    tail = F.when(F.col("turn") % 4 == 0, "/v1/").when(F.col("turn") % 4 == 1, "/v2").when(F.col("turn") % 4 == 2, "/").otherwise("/v1/chat/completions")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.chat_url(F.concat(host, tail)).alias("url"))
+
+
+@query("SELECT event_id, strftime(make_timestamp(event_id * 86461000000), '%Y-%m-%dT%H:%M:%S') AS at FROM events")
+def iso_timestamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.local_timestamp(F.timestamp_seconds(F.col("event_id") * 86461)).alias("at"))
+
+
+@query(_EXACT_SQL + ", c AS (SELECT norm, count(*) AS n FROM pairs GROUP BY norm) SELECT coalesce(sum((length(norm) % 3 = 1)::INT), 0)::BIGINT AS judge_calls, "
+       "coalesce(sum(CASE WHEN length(norm) % 3 = 0 THEN n WHEN length(norm) % 3 = 1 THEN n - 1 ELSE 0 END), 0)::BIGINT AS judge_cache_hits, coalesce(sum(CASE WHEN length(norm) % 3 = 2 THEN n ELSE 0 END), 0)::BIGINT AS judge_failures FROM c")
+def judge_tallies(spark, sf_dir):
+    """Exact pairs stand for deferred ones here: a text's length says whether its verdict is cached, given or missing."""
+    g, p = (df.withColumn("raw", F.col("norm")) for df in sides(spark, sf_dir))
+    one = lambda c: F.array(F.col(c))
+    pairs = align.exact_pairs(g, p).select("source_file", F.lit("uncertain").alias("kind"), one("gt_ix").alias("gt_ixs"), one("pred_ix").alias("pred_ixs"))
+    known = lambda rest: g.where(F.length("norm") % 3 == rest).select(F.col("norm").alias("gt"), F.col("norm").alias("pred"))
+    return align.judge_tallies(pairs, (g, p), known(0), known(1))
+
+
+@query()
+def rejected_listing(spark, sf_dir):
+    g, p = sides(spark, sf_dir)
+    return align.rejected_pairs(write_stage(align.matches(g, p), "matches"), g, p)
+
+
+@query()
+def group_listing(spark, sf_dir):
+    g, p = sides(spark, sf_dir)
+    return align.group_texts(write_stage(align.matches(g, p), "matches"), g, p)

@@ -14,7 +14,8 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, record_ix, record VARIANT) of JSON arrays, single objects, {"items": [...]} and tolerant JSON lines.
 
-    Lines may end in commas; blank lines and lone brackets are skipped; another line that is no JSON raises.
+    Lines may end in commas; blank lines and lone brackets are skipped; another line that is no JSON raises with its
+    file and line number, as does a file without records.
     """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     # The parser stops after a first value, so a text whose first line is a value of its own is taken line by line.
@@ -25,8 +26,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     items = F.when(kind.startswith("ARRAY"), F.col("v").cast("array<variant>"))
     items = items.when(F.try_variant_get("v", "$.items", "array<variant>").isNotNull(), F.try_variant_get("v", "$.items", "array<variant>"))
     items = items.when(F.col("v").isNotNull(), F.array("v"))
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.regexp_replace(strip(x), ",+$", "")), lambda x: ~x.isin("", "[", "]"))
-    by_line = F.transform(lines, lambda x: F.parse_json(x))
+    numbered = F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct((i + 1).alias("n"), F.regexp_replace(strip(x), ",+$", "").alias("t")))
+    lines = F.filter(numbered, lambda x: ~x["t"].isin("", "[", "]"))
+    fail = lambda n: F.raise_error(F.concat(F.col("path"), F.lit(" is neither JSON nor JSON lines: line "), n.cast("string"))).cast("variant")
+    by_line = F.transform(lines, lambda x: F.when(F.try_parse_json(x["t"]).isNull(), fail(x["n"])).otherwise(F.try_parse_json(x["t"])))
+    none = F.raise_error(F.concat(F.col("path"), F.lit(" has no records"))).cast("array<variant>")
+    by_line = F.when(F.size(lines) == 0, none).otherwise(by_line)
     return parsed.select("path", F.posexplode(F.coalesce(items, by_line)).alias("record_ix", "record")).withColumn("record_ix", F.col("record_ix").cast("long"))
 
 
@@ -136,6 +141,55 @@ def flagged_files(spark: SparkSession, log: str, marker: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"\[(.*?)\]", 1).alias("file_name")).where("file_name != ''").distinct()
 
 
+def images_of(spark: SparkSession, inputs: str | list[str], listing: DataFrame | None = None) -> DataFrame:
+    """(path, file_name) of one input or several: folders are listed; files and addresses are taken as they are.
+
+    A string may be a JSON array of inputs. What is no image by its suffix is left out.
+    """
+    import json
+
+    if isinstance(inputs, str):
+        text = inputs.strip()
+        inputs = json.loads(text) if text.startswith("[") else [text]
+    found = listing
+    single = [x for x in inputs if x.rsplit("?", 1)[0].rsplit(".", 1)[-1].lower() in IMAGE_SUFFIXES]
+    if single:
+        named = spark.createDataFrame([(x,) for x in single], "path string")
+        named = named.select("path", basename(F.regexp_replace("path", r"\?.*$", "")).alias("file_name"))
+        found = named if found is None else found.unionByName(named)
+    for folder in inputs:
+        if folder not in single and "://" not in folder.replace("file://", ""):
+            found = list_images(spark, folder, False) if found is None else found.unionByName(list_images(spark, folder, False))
+    return spark.createDataFrame([], "path string, file_name string") if found is None else found.distinct()
+
+
+def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, same) of a cache file {key: verdict}; a file that is no such JSON counts as empty, and so does none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "key string, same boolean")
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    pairs = whole.select(F.explode(F.try_variant_get("v", "$", "map<string, boolean>")).alias("key", "same"))
+    return pairs.where("same is not null")
+
+
+def box_rows_by_line(pages: DataFrame, lines: str = "lines") -> DataFrame:
+    """The rows of box_rows from the layout of one entry a line: [polygon, [text, confidence]] as variants, page by page.
+
+    `lines` is a variant: a page's list of entries, or a list of such lists.
+    """
+    entry = F.try_variant_get(lines, "$", "array<variant>")
+    nested = F.try_variant_get(lines, "$", "array<array<variant>>")
+    one = F.try_variant_get(lines, "$[0][1][0]", "string").isNotNull()  # the first entry is a line itself
+    flat = F.when(one, entry).otherwise(F.flatten(F.filter(nested, lambda x: x.isNotNull())))
+    rows = pages.select("page", F.posexplode(flat).alias("box_ix", "l"))
+    polygon = F.try_variant_get("l", "$[0]", "array<array<double>>")
+    xs, ys = F.transform(polygon, lambda q: q[0]), F.transform(polygon, lambda q: q[1])
+    text, score = F.try_variant_get("l", "$[1][0]", "string"), F.try_variant_get("l", "$[1][1]", "double")
+    edges = [F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max")]
+    return rows.select("page", "box_ix", strip(text).alias("text"), score.alias("confidence"), *edges)
+
+
 def box_rows(pages: DataFrame, polygons: str = "rec_polys", texts: str = "rec_texts", scores: str = "rec_scores") -> DataFrame:
     """(page, box_ix, text, confidence, x_min, y_min, x_max, y_max) of parallel arrays; the shortest array decides."""
     zipped = F.arrays_zip(F.col(polygons).alias("p"), F.col(texts).alias("t"), F.col(scores).alias("s"))

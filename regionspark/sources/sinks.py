@@ -44,3 +44,19 @@ def write_markdown(rows: DataFrame, folder: str) -> None:
 
 def first_records(frame: DataFrame, order: str, n: int, folder: str) -> None:
     frame.orderBy(order).limit(n).write.mode("overwrite").json(folder)
+
+
+def write_stage_lines(stage: DataFrame, folder: str) -> None:
+    """Stage-1 or stage-2 records as JSON lines, with whatever columns the stage has; nulls stay as keys."""
+    stage.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def write_simplified(simplified: DataFrame, folder: str) -> None:
+    """{file_name, lines, status} records by file name; each file of the folder holds a range of names."""
+    simplified.repartitionByRange("file_name").sortWithinPartitions("file_name").write.mode("overwrite").json(folder)
+
+
+def write_verdicts(verdicts: DataFrame, folder: str) -> None:
+    """A cache as one {key: verdict} object a line, of which later readers take the union."""
+    one = F.to_json(F.create_map("key", "same"))
+    verdicts.select(one.alias("value")).write.mode("append").text(folder)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
 from ..plans.evaluate import evaluate
+from ..sources.records import last_wins
 
 
 def evaluate_stream(predictions: DataFrame, gt: DataFrame, out: str, checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
@@ -19,3 +20,8 @@ def evaluate_stream(predictions: DataFrame, gt: DataFrame, out: str, checkpoint:
         evaluate(gt, batch, settings).items.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return predictions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def streamed_items(spark: SparkSession, out: str) -> DataFrame:
+    """The items below `out`, one for each file: a file that came in several micro-batches counts as its last one says."""
+    return last_wins(spark.read.parquet(out), "source_file", "batch").drop("batch")

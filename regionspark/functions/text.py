@@ -7,7 +7,6 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,17 +92,33 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def infix_of(needle: str, hay: str) -> tuple[int, int]:
-    """(least edit distance of the needle to any substring of hay, first end of such a substring)."""
-    h = np.frombuffer(hay.encode("utf-32-le"), np.uint32)
-    steps = np.arange(len(h) + 1)
-    row = np.zeros(len(h) + 1, np.int64)
-    for i, c in enumerate(needle, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        np.minimum(row[:-1] + (h != ord(c)), row[1:] + 1, out=best[1:])
-        row = np.minimum.accumulate(best - steps) + steps
-    end = int(row.argmin())
-    return int(row[end]), end
+    """(least edit distance of the needle to any substring of hay, first end of such a substring).
+
+    A column of the distance table is two bit sets, of the rows that are one more and one less than the row above (Myers).
+    """
+    if not needle:
+        return 0, 0
+    places: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last = (1 << len(needle)) - 1, 1 << len(needle) - 1
+    more, less = full, 0
+    score = best = len(needle)
+    end = 0
+    for j, c in enumerate(hay, 1):
+        same = places.get(c, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up, fewer = less | (full & ~(across | more)), more & across
+        if up & last:
+            score += 1
+        elif fewer & last:
+            score -= 1
+            if score < best:
+                best, end = score, j
+        up, fewer = up << 1 & full, fewer << 1 & full
+        more, less = fewer | (full & ~(down | up)), up & down
+    return best, end
 
 
 @F.pandas_udf(T.StructType([T.StructField("distance", T.LongType()), T.StructField("end", T.LongType())]))

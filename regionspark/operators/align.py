@@ -148,6 +148,12 @@ def matches(gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_white
     return exact.unionByName(found)
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs of regions dealt over all tasks, a long file's too: scoring costs far more than their bytes tell."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "source_file", "gt_ix", "pred_ix")
+
+
 def ratio_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     """Pairs within a file with a ratio of at least `least`; the length bound goes first, in built-in expressions."""
     from ..functions.text import length_bound, similarity
@@ -155,6 +161,7 @@ def ratio_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     a = gt.select("source_file", F.col("ix").alias("gt_ix"), F.col("norm").alias("a"))
     b = pred.select("source_file", F.col("ix").alias("pred_ix"), F.col("norm").alias("b"))
     near = a.join(b, "source_file").where(length_bound(F.length("a"), F.length("b"), least))
+    near = dealt(near)
     return near.withColumn("similarity", similarity("a", "b")).where(F.col("similarity") >= least)
 
 

@@ -307,7 +307,7 @@ def ratio_candidates(spark, sf_dir):
 
 @query()
 def infix_candidates(spark, sf_dir):
-    near = _within(*_left(spark, sf_dir)).where(F.length("a") <= F.length("b"))
+    near = align.dealt(_within(*_left(spark, sf_dir)).where(F.length("a") <= F.length("b")))
     return near.withColumn("found", text.infix_distance("a", "b")).where("found.distance <= greatest(3, cast(length(a) * 0.25 as int))").select("source_file", "gt_ix", "pred_ix", "found.distance", "found.end")
 
 

@@ -117,3 +117,15 @@ def test_a_file_in_two_batches_counts_once(spark, tmp_path):
         spark.createDataFrame([("a", cer), (f"b{batch}", 1.0)], "source_file string, cer double").write.parquet(f"{tmp_path}/out/batch={batch}")
     got = {r.source_file: r.cer for r in streamed_items(spark, f"{tmp_path}/out").collect()}
     assert got == {"a": 0.25, "b1": 1.0, "b2": 1.0}
+
+
+def test_infix_distance_against_a_table():
+    r = random.Random(1)
+    for k in range(300):
+        needle, hay = ("".join(r.choice("abc") for _ in range(r.randrange(n))) for n in (12, 25))
+        row = [0] * (len(hay) + 1)
+        for i, x in enumerate(needle, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(hay, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert text.infix_of(needle, hay) == (min(row), row.index(min(row)))

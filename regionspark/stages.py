@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -33,7 +34,8 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and return it as a scan. The folder goes with drop_stage, or when the driver's JVM ends.
 
     What the step took, its shuffle files and broadcasts on the executors and its plans on the driver, is released then
-    and not only when the driver's JVM happens to collect its garbage.
+    and not only when Python and the driver's JVM happen to collect their garbage: frames in reference cycles here keep
+    their plans there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,6 +45,7 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     del df
+    gc.collect()
     spark._jvm.java.lang.System.gc()
     return out
 

@@ -45,9 +45,17 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Release what nothing refers to any more, shuffle files above all.
+
+    The driver's threads may hold the last job until another has run: after a small job this releases what was before it.
+    """
     gc.collect()
     spark._jvm.java.lang.System.gc()
-    return out
 
 
 def drop_stage(*tables: DataFrame | None) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .learning import fold
 from .packed import expand, squeeze
-from .tables import drop_stage, map_arrow, write_stage
+from .tables import drop_stage, map_arrow, release, write_stage
 from .words import _Q, LOWER, blocks, hash_spans, mix, word_spans
 
 FOLDS, HELD_OUT_FOLD, DEV_FOLD = 7, 2, 3
@@ -405,6 +405,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = 1 << 20, bucket_tokens:
     cells = bigrams.said.where(F.col("kind") == _CELL).groupBy("cell")
     cells = cells.agg(F.sum("weight").alias("n"), F.sum("sum2").alias("a"), F.sum("sum1").alias("b")).orderBy("cell").collect()
     drop_stage(words.sent, bigrams.sent)
+    release(spark)  # the messages' shuffle files, before the last join writes its own
     weights = fit_weights(np.array([[r["cell"], r["n"], r["a"], r["b"]] for r in cells], float).reshape(-1, 4), vocabulary)
     whole = with_words.join(returned(bigrams, "bigrams"), F.col("chunk") == F.col("_bigrams")).drop("_bigrams")
     return map_arrow(whole, _score(weights, n["fit"] + n["dev"], vocabulary), SCORED)

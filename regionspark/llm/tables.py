@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..stages import drop_stage, fresh, shared_dir, write_stage
+from ..stages import drop_stage, fresh, release, shared_dir, write_stage
 
-__all__ = ["drop_stage", "fresh", "give_back", "key_of", "kept_schema", "map_arrow", "prefix_sums", "shared_dir", "write_stage"]
+__all__ = ["drop_stage", "fresh", "give_back", "key_of", "kept_schema", "map_arrow", "prefix_sums", "release", "shared_dir", "write_stage"]
 
 
 def give_back() -> None:

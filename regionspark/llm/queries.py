@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, line_windows, mixing, near_dedup, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
+from . import debruijn, language_model, line_windows, merkle, mixing, near_dedup, packing, quality_net, quality_rules, secrets, toxicity, transport_stream
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = debruijn.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_debruijn_dedup": op12_debruijn_dedup,
 }
 
 _LINES_SQL = r"""
@@ -95,4 +106,24 @@ FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.i = c.i
 GROUP BY l.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_windows": _LINES_SQL}
+_SUBSTRINGS_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM split
+), runs AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM words
+), ranked AS (
+  SELECT doc_id, i, word,
+         CASE WHEN i + 20 <= n AND row_number() OVER (PARTITION BY i + 20 <= n, run ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later
+  FROM runs
+), marked AS (
+  SELECT doc_id, i, word, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM ranked
+)
+SELECT d.doc_id, count(m.word) AS n_words, coalesce(sum(m.gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN m.gone = 0 THEN m.word END, ' ' ORDER BY m.i), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id
+GROUP BY d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_windows": _LINES_SQL, "op12_debruijn_dedup": _SUBSTRINGS_SQL}

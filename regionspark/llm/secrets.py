@@ -3,7 +3,7 @@
 Base patterns report assignments, access keys and long hex runs. Beyond them, encoded candidates (base64, base64url, hex
 of either case, each also wrapped over lines, PEM bodies and three-part tokens) are decoded and parsed before they are
 reported; a candidate without armour ends where the lengths that it holds
-say, of up to 64 KB:
+say, however long, as far as the text goes:
 
 * `der`: a DER sequence whose nested lengths add up exactly and whose content is a private or public key encoding,
 * `ssh`: length-prefixed fields of an OpenSSH private or public key, consistent to the last byte,
@@ -23,6 +23,7 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
 _GAP = r"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*)"  # a line's end, also as an escape in a quoted string
 _PEM = re.compile(
-    rf"-----BEGIN ([A-Z0-9 ]{{1,64}})-----{_GAP}?((?:[A-Za-z0-9-]{{1,40}}:[^\n]{{0,1000}}\n)*)((?:[A-Za-z0-9+/=\s]|\\[rn])*)-----END \1-----"
+    rf"-----BEGIN ([A-Z0-9 ]{{1,64}})-----{_GAP}?((?:[A-Za-z0-9-]{{1,40}}:[^\n]*\n)*)((?:[A-Za-z0-9+/=\s]|\\[rn])*)-----END \1-----"
 )
 _CIPHER = re.compile(r"^DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
 # The first byte of the header is a brace or white space before one, so the first letter is one of these.
@@ -149,7 +150,7 @@ def ssh_length(data: bytes) -> int | None:
             i = found[1]
         keys = int.from_bytes(data[i : i + 4], "big")
         i += 4
-        if not fields[0].isascii() or not fields[0] or not 1 <= keys <= 64:
+        if not fields[0].isascii() or not fields[0] or not 1 <= keys <= (len(data) - i) // 4:  # a key has its length at least
             return None
         for k in range(keys + 1):  # the public keys, then the private ones
             if (found := _field(data, i)) is None or k < keys and ssh_length(found[0]) != len(found[0]):
@@ -184,18 +185,14 @@ def is_jwt(text: str) -> bool:
     return all(isinstance(p, dict) for p in parts) and parts[0].get("alg") in _ALGORITHMS
 
 
-MOST = 1 << 16  # bytes that a key may say it has
-
-
-def _wanted(head: bytes) -> int:
-    """Bytes of the key that may begin with `head`, at most; 0 if none does."""
+def _wanted(head: bytes) -> int | None:
+    """Bytes of the key that may begin with `head`: -1 if only the rest can tell, None if none begins."""
     if head[:1] == b"\x30":
-        n = der_length(head[:6])
-        return n if n and n <= MOST else 0
+        return der_length(head[:6])
     if head.startswith(_SSH_MAGIC):
-        return MOST
+        return -1
     kind = _field(head, 0)
-    return MOST if kind and (kind[0] in _SSH_FIELDS or _SSH_CURVE.fullmatch(kind[0])) else 0
+    return -1 if kind and (kind[0] in _SSH_FIELDS or _SSH_CURVE.fullmatch(kind[0])) else None
 
 
 def _key_kind(data: bytes) -> tuple[int, int] | None:
@@ -216,6 +213,25 @@ def _pieces(text: str, first: re.Match, line: re.Pattern, most: int) -> list[tup
     return out
 
 
+def _found(text: str, first: re.Match, line: re.Pattern, per_byte: float, wanted: int, decode) -> tuple[tuple[int, int], list[tuple[int, str]]] | None:
+    """The key that begins with a run, and the pieces it was read from, of `per_byte` characters a byte.
+
+    Where the key's size is not known in advance, twice as many characters are read until it ends or the lines do.
+    """
+    room = len(text) - first.start()
+    most = 4096 if wanted < 0 else math.ceil(per_byte * wanted)
+    while most <= room or wanted < 0:
+        pieces = _pieces(text, first, line, most)
+        body = "".join(x for _, x in pieces)
+        raw = decode(body)
+        if raw and (key := _key_kind(raw)):
+            return key, pieces
+        if wanted >= 0 or len(body) < most:
+            return None
+        most *= 2
+    return None
+
+
 def _end(pieces: list[tuple[int, str]], n: int) -> int | None:
     """Where the n-th character of the pieces ends; None if it is not the last one of its piece."""
     for at, piece in pieces:
@@ -227,30 +243,31 @@ def _end(pieces: list[tuple[int, str]], n: int) -> int | None:
 
 def _encoded_keys(text: str) -> Iterator[tuple[int, int, int]]:
     """Spans of keys in base64 and in hex, whole or wrapped over lines."""
+    base64_bytes = lambda x: _decode(x[:-1] if len(x) % 4 == 1 else x)
     done = 0
     for m in _BASE64.finditer(text):
-        if m.start() < done or not (wanted := _wanted(_decode(m[0][: min(len(m[0]) & ~3, 64)]) or b"")):
+        if m.start() < done or (wanted := _wanted(_decode(m[0][: min(len(m[0]) & ~3, 64)]) or b"")) is None:
             continue
-        pieces = _pieces(text, m, _LINE_64, -(-wanted * 4 // 3))
-        body = "".join(x for _, x in pieces)
-        raw = _decode(body[:-1] if len(body) % 4 == 1 else body)
-        if raw and (key := _key_kind(raw)) and (end := _end(pieces, -(-key[1] * 4 // 3))) is not None:
-            done = _PADDING.match(text, end).end()
-            yield m.start(), key[0], done
+        if found := _found(text, m, _LINE_64, 4 / 3, wanted, base64_bytes):
+            (kind, size), pieces = found
+            if (end := _end(pieces, -(-size * 4 // 3))) is not None:
+                done = _PADDING.match(text, end).end()
+                yield m.start(), kind, done
+
+    def hex_bytes(x: str) -> bytes:
+        x = x.replace(":", "")
+        return bytes.fromhex(x[: len(x) & ~1])
+
     done = 0
     for m in _HEX_KEY.finditer(text):
-        head = m[0].replace(":", "")[:128]
-        if m.start() < done or not (wanted := _wanted(bytes.fromhex(head[: len(head) & ~1]))):
+        if m.start() < done or (wanted := _wanted(hex_bytes(m[0][:128]))) is None:
             continue
-        pieces = _pieces(text, m, _LINE_16, 3 * wanted)
-        body = "".join(x for _, x in pieces)
-        digits = body.replace(":", "")
-        key = _key_kind(bytes.fromhex(digits[: len(digits) & ~1]))
-        if key:
-            places = [i for i, c in enumerate(body) if c != ":"]
-            if (end := _end(pieces, places[2 * key[1] - 1] + 1)) is not None:
+        if found := _found(text, m, _LINE_16, 2, wanted, hex_bytes) or _found(text, m, _LINE_16, 3, wanted, hex_bytes):
+            (kind, size), pieces = found
+            places = [i for i, c in enumerate("".join(x for _, x in pieces)) if c != ":"]
+            if (end := _end(pieces, places[2 * size - 1] + 1)) is not None:
                 done = end
-                yield m.start(), key[0], end
+                yield m.start(), kind, end
 
 
 def _is_armoured(label: str, fields: str, body: str) -> bool:

@@ -10,9 +10,9 @@ and it is likelier in them; words of fewer documents make held-out results worse
 Defined cases: null and empty texts get the model's score of a document without words; with no labelled rows every score
 is 0; equal texts get equal scores, so ties stay ties; repeated rows are scored one by one, and of labelled rows that
 share a doc_id the text of least hash is learned from; an empty table gives an empty table; extra columns, whatever their
-names, are ignored by the scores and kept by drop_toxic; a run of characters of any length is decoded as one word, in
-bounded memory: after every `SETTLED` characters the likeliest path so far is settled; a long text takes about 20 times
-its bytes of memory.
+names, are ignored by the scores and kept by drop_toxic; a run of characters of any length is decoded as one word, by
+the exact likeliest path: what all paths share is spelled and let go every `SHARED` characters; a long text takes about
+20 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SEPARATORS = " .-_*~'"
 STEP_COSTS = {"letter": 0.0, "leet": 0.7, "dropped repeat": 0.3, "dropped separator": 0.2, "kept mark": 12.0}
 LEAST_DOCS = 4
-LONGEST, SETTLED = 48, 1024  # characters of what is kept once decoded; after which a path is settled
+LONGEST, SHARED = 48, 1024  # characters of what is kept once decoded; after which paths are searched for what they share
 
 
 def _codes() -> np.ndarray:
@@ -116,25 +116,24 @@ class Decoder:
     def _viterbi(self, word: str, apart: bool) -> str:
         log_p, cost = self.log_p, STEP_COSTS
         done: list[str] = []
-        best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(END, END, ""): (0.0, None)}
+        # A path is [the path before, its last characters, how many it has]; paths share their beginnings.
+        best: dict[tuple[int, int, str], tuple[float, list]] = {(END, END, ""): (0.0, [None, "", 0])}
         for at, c in enumerate(word):
-            if at and at % SETTLED == 0:  # the likeliest path so far is settled, so memory is bounded; its word goes on
-                state, (score, text) = max(best.items(), key=lambda x: x[1][0])
-                done.append(_spelled(text))
-                best = {state: (score, None)}
+            if at and at % SHARED == 0:
+                done.append(_let_go([text for _, text in best.values()]))
             run = at and word[at - 1] == c
             readings = [(r, cost["leet"]) for r in LEET.get(c, "")]
             if c.isalpha():
                 readings.append((c, cost["letter"]))
-            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+            new: dict[tuple[int, int, str], tuple[float, list]] = {}
             for (a, b, last), (score, text) in best.items():
-                options = [((b, _code(r), r), score + log_p[a][b][_code(r)] - k, (text, r)) for r, k in readings]
+                options = [((b, _code(r), r), score + log_p[a][b][_code(r)] - k, [text, r, text[2] + 1]) for r, k in readings]
                 if run:
                     options.append(((a, b, last), score - cost["dropped repeat"], text))
                 if c in SEPARATORS:
                     options.append(((a, b, last), score - cost["dropped separator"], text))
                     if apart and b != END:
-                        options.append(((END, END, ""), score + log_p[a][b][END] - cost["dropped separator"], (text, " ")))
+                        options.append(((END, END, ""), score + log_p[a][b][END] - cost["dropped separator"], [text, " ", text[2] + 1]))
                 elif not c.isalpha():
                     options.append(((a, b, last), score - cost["kept mark"], text))
                 for state, s, t in options:
@@ -145,15 +144,27 @@ class Decoder:
         return "".join([*done, _spelled(text)])
 
 
-def _spelled(text: tuple | None) -> str:
-    """The characters of (the characters before, a character)."""
+def _spelled(path: list | None) -> str:
     out = []
-    while text is not None:
-        text, c = text
-        out.append(c)
+    while path is not None:
+        out.append(path[1])
+        path = path[0]
     return "".join(reversed(out))
 
 
+def _let_go(paths: list[list]) -> str:
+    """What all these paths begin with, which is cut off them."""
+    ends = {id(p): p for p in paths}
+    while len(ends) > 1:  # the longest goes a step back until all meet
+        longest = max(ends.values(), key=lambda p: p[2])
+        del ends[id(longest)]
+        ends[id(longest[0])] = longest[0]
+    (shared,) = ends.values()
+    text = _spelled(shared)
+    shared[0], shared[1] = None, ""
+    return text
+
+
 def suspects(b: Block, w: Words) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(first word, last word) of the words that look obfuscated and of the runs of words of one character.
 

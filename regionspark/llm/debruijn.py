@@ -157,8 +157,9 @@ def _same(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.at") == F.col(f"{b}.at"))
 
 
-def chains(links: DataFrame) -> DataFrame | None:
-    """(seg, top, dist) of every segment with a predecessor: the first of its chain and the windows before it there.
+def chains(links: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(seg, top, dist) of every segment with a predecessor: the first of its chain and the windows before it there; None if
+    no segment has one. Also the written tables that it is read from.
 
     `links` is a written table (seg, ptr, dist): each segment's predecessor, at most one on either side, and how many
     windows that one has. Each round joins the pointers with themselves and so doubles their reach. What is still open
@@ -166,7 +167,7 @@ def chains(links: DataFrame) -> DataFrame | None:
     """
     rows = links.count()
     if not rows:
-        return None
+        return None, []
     state = links.withColumns({"low": F.col("ptr"), "open": F.lit(True)})
     for _ in range(rows.bit_length() + 1):
         t = state.select(F.col("seg").alias("s"), F.col("ptr").alias("p"), F.col("dist").alias("d"), F.col("low").alias("l"))
@@ -179,16 +180,17 @@ def chains(links: DataFrame) -> DataFrame | None:
         drop_stage(state)
         state = reach
         if not state.where("open").limit(1).count():
-            return state.select("seg", F.col("ptr").alias("top"), "dist")
+            return state.select("seg", F.col("ptr").alias("top"), "dist"), [state]
     done = state.where("not open").select("seg", F.col("ptr").alias("top"), "dist")
     ring = state.where("open").select(F.col("seg").alias("s"), "low")
     cut = write_stage(links.join(ring.hint("merge"), _same("seg", "s")).where("seg != low").select("seg", "ptr", "dist"), "links")
-    again = chains(cut)
-    return done if again is None else done.unionByName(again)
+    again, walked = chains(cut)
+    return done if again is None else done.unionByName(again), [state, cut, *walked]
 
 
-def compact(edges: DataFrame) -> DataFrame:
-    """Paths of the repeated edges (a written table): its columns, with path (the first place of its first edge) and offset."""
+def compact(edges: DataFrame) -> tuple[DataFrame, list[DataFrame | None]]:
+    """Paths of the repeated edges (a written table): its columns, with path (a hash of the first place of its first edge) and
+    offset; and the written tables that this is read from."""
     spot = F.struct("doc", "hash", "at")
     none = F.lit(None).cast("struct<doc:bigint,hash:bigint,at:int,n:int>")
     ways = F.struct("doc", "hash", "at", "n")
@@ -203,13 +205,13 @@ def compact(edges: DataFrame) -> DataFrame:
     at = (F.col("doc") == F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("at") == F.col("a"))
     begin = F.last(F.when(F.col("d").isNull(), F.col("at")), True).over(Window.partitionBy("doc", "hash").orderBy("at"))
     parts = edges.join(near.hint("merge"), at, "left").withColumn("begin", begin).drop("d", "h", "a")
-    parts = write_stage(parts, "segments")
+    parts = segments = write_stage(parts, "segments")
     far = links.where("not near").select("prev", F.struct("next.doc", "next.hash", "next.at").alias("seg"))
     ends = parts.select(spot.alias("last"), F.struct("doc", "hash", F.col("begin").alias("at")).alias("ptr"))
     far = far.join(ends.hint("merge"), _same("prev", "last")).where("seg != ptr")
     far = far.select("seg", "ptr", (F.col("prev.at") + F.col("prev.n") - F.col("ptr.at")).cast("long").alias("dist"))
     far = write_stage(far, "far")
-    found = chains(far)
+    found, walked = chains(far)
     parts = parts.withColumn("own", F.struct("doc", "hash", F.col("begin").alias("at")))
     if found is None:
         parts = parts.withColumns({"path": F.col("own"), "offset": (F.col("at") - F.col("begin")).cast("long")})
@@ -217,39 +219,40 @@ def compact(edges: DataFrame) -> DataFrame:
         parts = parts.join(found.hint("merge"), _same("own", "seg"), "left").withColumns(
             {"path": F.coalesce("top", "own"), "offset": F.coalesce("dist", F.lit(0)) + F.col("at") - F.col("begin")}
         )
-    return parts.select(*edges.columns, "path", "offset")
+    number = F.xxhash64("path.doc", "path.hash", "path.at").alias("path")
+    return parts.select(*edges.columns, number, "offset"), [links, segments, far, *walked]
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
-    """Every repeated span of every document: doc, hash, start, n_words, path, path_offset, first (the place whose words
-    it repeats), later (False where it is the first place itself). doc is doc_id, hash that of the text."""
+def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, later_only: bool = False) -> DataFrame:
+    """Every repeated span of every document, as a written table: doc, hash, start, n_words, path, path_offset, the place whose
+    words it repeats (first_doc, first_hash, first_start), and later (False where it is that place itself; `later_only`
+    leaves those out). doc is doc_id, hash that of the text."""
     occurrences = edge_table(docs, size, anchor)
     edges = write_stage(repeated_edges(occurrences), "repeated")
-    paths = write_stage(
-        compact(edges).select(
-            F.col("edge").alias("e"), F.col("tail").alias("t"), F.struct("doc", "hash", "at").alias("first"), "path", "offset"
-        ),
-        "paths",
-    )
-    drop_stage(edges)
-    met = occurrences.join(paths.hint("merge"), (F.col("edge") == F.col("e")) & (F.col("tail") == F.col("t"))).select(
-        "doc", "hash", "at", "n", "first", "path", "offset"
-    )
+    paths, inner = compact(edges)
+    first = [F.col(c).alias(f"f_{c}") for c in ("doc", "hash", "at")]
+    paths = write_stage(paths.select(F.col("edge").alias("e"), F.col("tail").alias("t"), *first, "path", "offset"), "paths")
+    drop_stage(edges, *inner)
+    met = occurrences.join(paths.hint("merge"), (F.col("edge") == F.col("e")) & (F.col("tail") == F.col("t")))
+    later = (F.col("f_doc") != F.col("doc")) | (F.col("f_hash") != F.col("hash")) | (F.col("f_at") != F.col("at"))
+    if later_only:
+        met = met.where(later)
+    met = met.select("doc", "hash", "at", "n", "f_doc", "f_hash", "f_at", "path", "offset")
     order = Window.partitionBy("doc", "hash").orderBy("at")
     before = lambda c: F.lag(c).over(order)
     met = met.withColumn("twice", before("at") == F.col("at")).where("twice is null or not twice").drop("twice")  # rows equal in doc_id and text
-    in_path = (before("path") == F.col("path")) & (before(F.col("offset") - F.col("at")) == F.col("offset") - F.col("at"))
-    in_source = (before(F.struct("first.doc", "first.hash")) == F.struct("first.doc", "first.hash")) & (
-        before(F.col("first.at") - F.col("at")) == F.col("first.at") - F.col("at")
-    )
-    goes_on = (before(F.col("at") + F.col("n")) == F.col("at")) & in_path & in_source
+    in_step = lambda c: before(F.col(c) - F.col("at")) == F.col(c) - F.col("at")
+    same = lambda c: before(c) == F.col(c)
+    goes_on = (before(F.col("at") + F.col("n")) == F.col("at")) & same("path") & in_step("offset") & same("f_doc") & same("f_hash") & in_step("f_at")
     met = met.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
     spans = met.groupBy("doc", "hash", "part").agg(
-        F.min("at").alias("start"), (F.sum("n") + size - 1).alias("n_words"), F.min("first").alias("first"), F.min("path").alias("path"),
-        F.min("offset").alias("path_offset"),
-    )
-    later = (F.col("first.doc") != F.col("doc")) | (F.col("first.hash") != F.col("hash")) | (F.col("first.at") != F.col("start"))
-    return spans.select("doc", "hash", "start", "n_words", "path", "path_offset", "first", later.alias("later"))
+        F.min("at").alias("start"), (F.sum("n") + size - 1).alias("n_words"), F.min("path").alias("path"), F.min("offset").alias("path_offset"),
+        F.min("f_doc").alias("first_doc"), F.min("f_hash").alias("first_hash"), F.min("f_at").alias("first_start"),
+    ).drop("part")
+    itself = (F.col("first_doc") == F.col("doc")) & (F.col("first_hash") == F.col("hash")) & (F.col("first_start") == F.col("start"))
+    spans = write_stage(spans.withColumn("later", ~itself), "spans")
+    drop_stage(occurrences, paths)
+    return spans
 
 
 def _remove(names: list[str], marks_name: str, total_name: str | None, lost_name: str | None):
@@ -300,9 +303,8 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, co
     `counts` names two more columns, which `docs` does not have: words before, and words removed.
     """
     doc, hash_, d, h, marks = fresh([*docs.columns, *(counts or ())], "doc", "hash", "d", "h", "marks")
-    spans = repeated_spans(docs.select("doc_id", "text"), size, anchor).where("later")
+    spans = repeated_spans(docs.select("doc_id", "text"), size, anchor, later_only=True)
     spans = spans.groupBy(F.col("doc").alias(d), F.col("hash").alias(h)).agg(F.collect_list(F.struct("start", "n_words")).alias(marks))
-    spans = write_stage(spans, "spans")
     joined = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), hash_: F.xxhash64("text")})
     joined = joined.join(spans.hint("merge"), (F.col(doc) == F.col(d)) & (F.col(hash_) == F.col(h)), "left")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in counts or ()]])

@@ -5,11 +5,15 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+RELEASE_AFTER = 2.0  # seconds of written steps
+_ran = 0.0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the context's checkpoint folder; a local session without either gets one of its own.
@@ -33,19 +37,23 @@ def _file_system(spark: SparkSession, path: str):
 def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and return it as a scan. The folder goes with drop_stage, or when the driver's JVM ends.
 
-    What the step took, its shuffle files and broadcasts on the executors and its plans on the driver, is released then
-    and not only when Python and the driver's JVM happen to collect their garbage: frames in reference cycles here keep
-    their plans there.
+    What steps took, their shuffle files and broadcasts on the executors and their plans on the driver, is released once
+    they have run for `RELEASE_AFTER` seconds, and not only when Python and the driver's JVM happen to collect their
+    garbage: frames in reference cycles here keep their plans there. Steps that ran for less have little to release.
     """
+    global _ran
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    begun = time.monotonic()
     df.write.parquet(path)
+    _ran += time.monotonic() - begun
     where, fs = _file_system(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     del df
-    release(spark)
+    if _ran > RELEASE_AFTER:
+        release(spark)
     return out
 
 
@@ -54,6 +62,8 @@ def release(spark: SparkSession) -> None:
 
     The driver's threads may hold the last job until another has run: after a small job this releases what was before it.
     """
+    global _ran
+    _ran = 0.0
     gc.collect()
     spark._jvm.java.lang.System.gc()
 

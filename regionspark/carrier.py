@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 GT_SQL = r"""
 parts AS (
@@ -37,24 +36,38 @@ def _norm(c: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(c), r"\s+", "")
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, regions): the sentences of all documents, of any length. Arrays number themselves, so nothing is shuffled."""
+    parts = F.transform(F.split("text", r"[.\n]"), F.trim)
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("source_file"), F.filter(parts, lambda x: x != "").alias("regions"))
+
+
+def _numbered(lists: DataFrame, column: str) -> DataFrame:
+    """(source_file, ix, raw, norm) of the elements of a list."""
+    rows = lists.select("source_file", F.posexplode(column).alias("ix", "raw"))
+    return rows.select("source_file", F.col("ix").cast("long").alias("ix"), "raw", _norm(F.col("raw")).alias("norm"))
+
+
 def gt_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, ix, raw, norm): the sentences of all documents, of any length."""
-    parts = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("i", "raw"))
-    parts = parts.withColumn("raw", F.trim("raw")).where("raw != ''")
-    ix = (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("long")
-    return parts.select(F.col("doc_id").alias("source_file"), ix.alias("ix"), "raw", _norm(F.col("raw")).alias("norm"))
+    return _numbered(_regions(spark, sf_dir), "regions")
 
 
 def pred_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions made from the same sentences by dropping, changing, splitting and merging; every ninth file has none."""
-    w = Window.partitionBy("source_file").orderBy("ix")
-    k = F.col("source_file") * 31 + F.col("ix")
-    op = F.when(k % 13 == 3, "drop").when(k % 7 == 2, "sub").when(k % 11 == 5, "split").when((k % 17 == 1) & F.col("nxt").isNotNull(), "merge").otherwise("copy")
-    rows = gt_regions(spark, sf_dir).select("source_file", "ix", "raw", F.lead("raw").over(w).alias("nxt")).withColumn("op", op)
-    rows = rows.withColumn("before", F.lag("op").over(w)).where((F.coalesce("before", F.lit("")) != "merge") & (F.col("op") != "drop") & (F.col("source_file") % 9 != 4))
-    half = F.floor(F.length("raw") / 2).cast("int")
-    first = F.when(F.col("op") == "sub", F.replace("raw", F.lit("th"), F.lit("t"))).when(F.col("op") == "split", F.substring("raw", F.lit(1), half)).when(F.col("op") == "merge", F.concat_ws(" ", "raw", "nxt")).otherwise(F.col("raw"))
-    both = F.when(F.col("op") == "split", F.array(first, F.substring("raw", half + 1, F.length("raw")))).otherwise(F.array(first))
-    out = rows.select("source_file", "ix", F.posexplode(both).alias("part", "raw"))
-    n = (F.row_number().over(Window.partitionBy("source_file").orderBy("ix", "part")) - 1).cast("long")
-    return out.select("source_file", n.alias("ix"), F.trim("raw").alias("raw"), _norm(F.col("raw")).alias("norm"))
+    file, all_ = F.col("source_file"), F.col("regions")
+
+    def pieces(raw: F.Column, i: F.Column) -> F.Column:
+        """What a region becomes; a region after a merged one has gone into it."""
+        k, following = file * 31 + i, F.get(all_, i + 1)
+        plain = lambda n: (n % 13 != 3) & (n % 7 != 2) & (n % 11 != 5)
+        gone = (k % 13 == 3) | ((i > 0) & plain(k - 1) & ((k - 1) % 17 == 1))
+        half = F.floor(F.length(raw) / 2).cast("int")
+        halves = F.array(F.substring(raw, F.lit(1), half), F.substring(raw, half + 1, F.length(raw)))
+        merge = (k % 17 == 1) & following.isNotNull()
+        kept = F.when(k % 7 == 2, F.array(F.replace(raw, F.lit("th"), F.lit("t")))).when(k % 11 == 5, halves)
+        kept = kept.when(merge, F.array(F.concat_ws(" ", raw, following))).otherwise(F.array(raw))
+        return F.when(gone, F.array().cast("array<string>")).otherwise(kept)
+
+    made = F.transform(F.flatten(F.transform("regions", pieces)), F.trim)
+    return _numbered(_regions(spark, sf_dir).where(file % 9 != 4).select("source_file", made.alias("made")), "made")

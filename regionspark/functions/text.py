@@ -41,13 +41,15 @@ def normalize_text(text: str, rules: Normalize = Normalize()) -> str:
 
 
 def normalize(c: Column, rules: Normalize = Normalize()) -> Column:
-    """The comparison form of a text. NFKC and case folding have no built-in, so this is an Arrow UDF."""
+    """The comparison form of a text. NFKC and case folding have no built-in, so texts beyond ASCII pass an Arrow UDF; those in
+    ASCII are not sent to it."""
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: normalize_text(t, rules), na_action="ignore")
 
-    return run(c)
+    plain = c.rlike(r"^[\x20-\x7e\x09-\x0d]*$")
+    return F.when(plain, normalize_ascii(c, rules)).otherwise(run(F.when(~plain, c)))
 
 
 def normalize_ascii(c: Column, rules: Normalize = Normalize()) -> Column:
@@ -64,18 +66,24 @@ def tokenize(c: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of token arrays: each distinct token of the pair becomes one character.
+    """Levenshtein distance of token arrays: each distinct token of both becomes one character.
 
-    Those from U+10000 on are used: 1,048,576 of them. A pair with more distinct tokens raises.
+    Those from U+10002 on are used, 1,048,574 of them; U+10000 and U+10001 stand for tokens that only one side has, which
+    match nothing. A pair with more distinct tokens on both sides raises: its table would have 10**12 cells.
     """
     # The pair is bound once, as the one element of an array: a lambda's body is worked out anew for each element.
-    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all")))
+    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_intersect(a, b).alias("both")))
 
     def distance(p: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(p["all"], t) + 0xFFFF), 8, "0")), "UTF-32")
-        spell = lambda x: F.array_join(F.transform(x, letter), "")
-        too_many = F.raise_error(F.lit("more than 1,048,576 distinct tokens")).cast("int")
-        return F.when(F.size(p["all"]) <= 1 << 20, F.levenshtein(spell(p["a"]), spell(p["b"]))).when(p["all"].isNotNull(), too_many)
+        def spell(x: Column, none: int) -> Column:
+            place = lambda t: F.array_position(p["both"], t)
+            code = lambda t: F.when(place(t) > 0, place(t) + 0x10001).otherwise(none)
+            letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")
+            return F.array_join(F.transform(x, letter), "")
+
+        too_many = F.raise_error(F.lit("more than 1,048,574 distinct tokens on both sides")).cast("int")
+        found = F.levenshtein(spell(p["a"], 0x10000), spell(p["b"], 0x10001))
+        return F.when(F.size(p["both"]) <= (1 << 20) - 2, found).when(p["both"].isNotNull(), too_many)
 
     return F.transform(pair, distance)[0]
 

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Align
-from ..functions.text import infix_of, similarity_of
+from ..functions.text import similarity_of
+from ..stages import fresh, write_stage
+from . import pairs
 
 
 def exact_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -24,47 +27,103 @@ def exact_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return side(gt, "gt").join(side(pred, "pred"), ["source_file", "norm", "nth"]).drop("nth")
 
 
-def unmatched(regions: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    taken = pairs.select(F.col("source_file").alias("_f"), F.col(f"{side}_ix").alias("_i"))
-    return regions.join(taken, (F.col("source_file") == F.col("_f")) & (F.col("ix") == F.col("_i")), "left_anti")
+def exact_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """The exact pairs in the columns of MATCHES, after source_file."""
+    array = lambda c: F.array(F.col(c).cast("long"))
+    return exact_pairs(gt, pred).select(
+        "source_file", F.lit("pair").alias("kind"), array("gt_ix").alias("gt_ixs"), array("pred_ix").alias("pred_ixs"),
+        F.lit(1.0).alias("similarity"), F.lit("exact").alias("matched_by"),
+    )
+
+
+def unmatched(regions: DataFrame, taken: DataFrame, side: str) -> DataFrame:
+    """The regions that are in no pair on this side ("gt" or "pred")."""
+    file, ix = fresh(regions.columns, "file", "other")
+    other = taken.select(F.col("source_file").alias(file), F.col(f"{side}_ix").alias(ix))
+    return regions.join(other, (F.col("source_file") == F.col(file)) & (F.col("ix") == F.col(ix)), "left_anti")
+
+
+class Scored:
+    """What may match in one file, scored in memory: every pair's common subsequence first, then only what it lets pass."""
+
+    def __init__(self, gt: dict[int, str], pred: dict[int, str], rules: Align):
+        self.rules = rules
+        self.rows, self.columns = ({i: k for k, i in enumerate(x)} for x in (gt, pred))
+        _, self.common = pairs.common_lengths(list(gt.items()), list(pred.items()))
+
+    def _free(self, gt: dict[int, str], pred: dict[int, str]) -> np.ndarray:
+        return self.common[np.ix_([self.columns[j] for j in pred], [self.rows[i] for i in gt])]
+
+    def merges(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, int]]:
+        return pairs.contained(list(gt.items()), list(pred.items()), self._free(gt, pred), self.rules)
+
+    def splits(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, int]]:
+        return pairs.contained(list(pred.items()), list(gt.items()), self._free(gt, pred).T, self.rules)
+
+    def near(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, float]]:
+        lengths = np.array([len(t) for t in gt.values()], np.int64)
+        return pairs.near(list(gt.items()), list(pred.items()), lengths, self._free(gt, pred), self.rules.reject_below)
+
 
+class Given:
+    """What may match in one file, scored block by block beforehand: (kind, ix, jx, value) rows of `block_edges`."""
 
-def structural_groups(whole: dict[int, str], parts: dict[int, str], rules: Align, joint: str) -> list[tuple[int, list[int], float]]:
-    """(container, its parts in order of place, similarity): containers longest first, each part claimed once."""
+    def __init__(self, rows: Iterable[tuple[int, int, int, float]]):
+        self.rows: dict[int, list[tuple[int, int, float]]] = {MERGE: [], SPLIT: [], NEAR: []}
+        for kind, i, j, value in rows:
+            self.rows[kind].append((i, j, value))
+
+    def merges(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, int]]:
+        return ((c, p, int(at)) for c, p, at in self.rows[MERGE] if c in pred and p in gt)
+
+    def splits(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, int]]:
+        return ((c, p, int(at)) for c, p, at in self.rows[SPLIT] if c in gt and p in pred)
+
+    def near(self, gt: dict[int, str], pred: dict[int, str]) -> Iterable[tuple[int, int, float]]:
+        return ((i, j, score) for i, j, score in self.rows[NEAR] if i in gt and j in pred)
+
+
+def structural_groups(whole: dict[int, str], parts: dict[int, str], hits: Iterable[tuple[int, int, int]], rules: Align, joint: str) -> list[tuple[int, list[int], float]]:
+    """(container, its parts in order of place, similarity): containers longest first, each part claimed once.
+
+    `hits` are (container, part, place), without the parts that stand everywhere: those are placed only where a group is
+    not ruled out by its length.
+    """
+    placed_in: dict[int, list[tuple[int, int]]] = {}
+    for c, p, at in hits:
+        placed_in.setdefault(c, []).append((at, p))
+    free = {p: t for p, t in parts.items() if pairs.everywhere(t, rules)}
+    length = sum(map(len, free.values()))
     found, claimed = [], set()
-    pairs_of = {p: [part[i : i + 2] for i in range(len(part) - 1)] for p, part in parts.items()}
     for c in sorted(whole, key=lambda i: (-len(whole[i]), i)):
         text = whole[c]
-        if not text:
+        placed = [x for x in placed_in.get(c, ()) if x[1] not in claimed]
+        n = len(placed) + len(free)
+        if not text or n < 2:
+            continue
+        total = length + sum(len(parts[p]) for _, p in placed) + (n - 1) * len(joint)
+        if 2.0 * min(len(text), total) / (len(text) + total) < rules.group_similarity:
             continue
-        own = {text[i : i + 2] for i in range(len(text) - 1)}
-        placed = []
-        for p, part in parts.items():
-            if p in claimed or len(part) < max(rules.min_group_part, 1):
-                continue
-            at = text.find(part)
-            if at < 0 and rules.group_tolerance > 0:
-                most = max(rules.group_floor, int(len(part) * rules.group_tolerance))
-                # An edit touches two neighbouring pairs at most, so enough pairs of a part that is present stay.
-                if sum(q in own for q in pairs_of[p]) >= len(part) - 1 - 2 * most:
-                    distance, end = infix_of(part, text)
-                    if distance <= most:
-                        at = max(0, end - len(part))
-            if at >= 0:
-                placed.append((at, p))
-        if len(placed) > 1:
-            members = [p for _, p in sorted(placed)]
-            score = similarity_of(text, joint.join(parts[p] for p in members))
-            if score >= rules.group_similarity:
-                claimed.update(members)
-                found.append((c, members, score))
+        members = [p for _, p in sorted([*placed, *((pairs.place(t, text, rules), p) for p, t in free.items())])]
+        score = similarity_of(text, joint.join(parts[p] for p in members))
+        if score >= rules.group_similarity:
+            claimed.update(members)
+            free, length = {}, 0  # all of them stood here
+            found.append((c, members, score))
     return found
 
 
-def resolve(gt: dict[int, str], pred: dict[int, str], raw: dict[str, dict[int, str]], rules: Align, joint: str, verdicts: dict[tuple[str, str], bool] | None, on_failure: str) -> list[dict]:
-    """What exact matching left of one file: merges, splits, similar pairs, judged pairs, and the deferred ones counted."""
+def resolve(
+    gt: dict[int, str], pred: dict[int, str], raw: dict[str, dict[int, str]], rules: Align, joint: str,
+    verdicts: dict[tuple[str, str], bool] | None, on_failure: str, scored: Scored | Given | None = None, asking: bool = False,
+) -> list[dict]:
+    """What exact matching left of one file: merges, splits, similar pairs, judged pairs, and the deferred ones counted.
+
+    With `asking`, a deferred pair without a verdict is a row of kind "ask", and pairs that hang on it are left open.
+    """
     rows = []
     gt, pred = dict(gt), dict(pred)
+    scored = scored or Scored(gt, pred, rules)
 
     def take(kind: str, gts: list[int], preds: list[int], score: float, how: str) -> None:
         rows.append({"kind": kind, "gt_ixs": gts, "pred_ixs": preds, "similarity": float(score), "matched_by": how})
@@ -73,16 +132,11 @@ def resolve(gt: dict[int, str], pred: dict[int, str], raw: dict[str, dict[int, s
         for j in preds:
             pred.pop(j)
 
-    for j, members, score in structural_groups(pred, gt, rules, joint):
+    for j, members, score in structural_groups(pred, gt, scored.merges(gt, pred), rules, joint):
         take("merge", members, [j], score, "merge")
-    for i, members, score in structural_groups(gt, pred, rules, joint):
+    for i, members, score in structural_groups(gt, pred, scored.splits(gt, pred), rules, joint):
         take("split", [i], members, score, "split")
-    near = []
-    for i, a in gt.items():
-        for j, b in pred.items():
-            if 2 * min(len(a), len(b)) >= rules.reject_below * (len(a) + len(b)) and (score := similarity_of(a, b)) >= rules.reject_below:
-                near.append((-score, i, j))
-    near.sort()
+    near = sorted((-score, i, j) for i, j, score in scored.near(gt, pred))
     later = []
     for minus, i, j in near:
         if i in gt and j in pred:
@@ -90,79 +144,120 @@ def resolve(gt: dict[int, str], pred: dict[int, str], raw: dict[str, dict[int, s
                 take("pair", [i], [j], -minus, "similarity")
             else:
                 later.append((-minus, i, j))
+    open_gt, open_pred = set(), set()
     for score, i, j in later:
         if i not in gt or j not in pred:
             continue
+        waits = i in open_gt or j in open_pred
+        if asking and (waits or (raw["gt"][i], raw["pred"][j]) not in verdicts):
+            open_gt.add(i)
+            open_pred.add(j)
+            if not waits:
+                rows.append({"kind": "ask", "gt_ixs": [i], "pred_ixs": [j], "similarity": float(score), "matched_by": "no verdict"})
+            continue
         same = False
         if verdicts is not None:
             same = verdicts.get((raw["gt"][i], raw["pred"][j]), on_failure == "accept")
-        rows.append({"kind": "uncertain", "gt_ixs": [i], "pred_ixs": [j], "similarity": float(score), "matched_by": "same" if same else "different" if verdicts is not None else "no judge"})
+        how = "same" if same else "different" if verdicts is not None else "no judge"
+        rows.append({"kind": "uncertain", "gt_ixs": [i], "pred_ixs": [j], "similarity": float(score), "matched_by": how})
         if same:
             take("pair", [i], [j], score, "judge")
     return rows
 
 
 MATCHES = "kind string, gt_ixs array<long>, pred_ixs array<long>, similarity double, matched_by string"
+GT, PRED, VERDICT, MERGE, SPLIT, NEAR = range(6)
+LONG_PAIRS = 1 << 20  # pairs of regions of a file from which on they are scored in blocks
+
+
+def block_edges(gt: DataFrame, pred: DataFrame, rules: Align, chunk: int = pairs.CHUNK) -> DataFrame:
+    """(source_file, kind, ix, jx, value): what may match in each file, scored in blocks over all tasks.
+
+    Kind MERGE: a predicted region, a part of it, its place; SPLIT: the same the other way; NEAR: the two regions' ratio.
+    """
+
+    def work(a: list, b: list) -> Iterable[tuple]:
+        lengths, common = pairs.common_lengths(a, b)
+        yield from ((MERGE, c, p, float(at)) for c, p, at in pairs.contained(a, b, common, rules))
+        yield from ((SPLIT, c, p, float(at)) for c, p, at in pairs.contained(b, a, common.T, rules))
+        yield from ((NEAR, i, j, score) for i, j, score in pairs.near(a, b, lengths, common, rules.reject_below))
 
+    return pairs.blocks(gt, pred, work, "kind int, ix long, jx long, value double", chunk)
 
-def matches(gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_whitespace: bool = True, judged: DataFrame | None = None, on_failure: str = "auto") -> DataFrame:
+
+def left_over(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(source_file, side, ix, raw, norm) of the regions that exact matching leaves, side GT or PRED: those beyond the number
+    of times that the other side has their text. One shuffle of both sides, by file and text."""
+    rows = gt.select("source_file", F.lit(GT).alias("side"), "ix", "raw", "norm")
+    rows = rows.unionByName(pred.select("source_file", F.lit(PRED).alias("side"), "ix", "raw", "norm"))
+    text = Window.partitionBy("source_file", "norm")
+    nth = F.row_number().over(Window.partitionBy("source_file", "norm", "side").orderBy("ix"))
+    other = F.when(F.col("side") == GT, F.count_if(F.col("side") == PRED).over(text)).otherwise(F.count_if(F.col("side") == GT).over(text))
+    return rows.withColumns({"nth": nth, "other": other}).where("nth > other").drop("nth", "other")
+
+
+def matches(
+    gt: DataFrame, pred: DataFrame, rules: Align = Align(), ignore_whitespace: bool = True, judged: DataFrame | None = None,
+    on_failure: str = "auto", long_pairs: int = LONG_PAIRS, chunk: int = pairs.CHUNK, asking: bool = False,
+) -> DataFrame:
     """All matches of all files, source_file and columns as in MATCHES: kinds pair, merge, split and uncertain (deferred, counted).
 
+    With `asking` also kind ask: deferred pairs that need a verdict before their file can be resolved.
+
     `judged` holds verdicts (gt, pred, same) on raw texts; without it deferred pairs stay unmatched.
+
+    What exact matching leaves is written once, when this is called. The order-dependent rest is a walk over one file's
+    regions and the pairs that may match. A file of up to `long_pairs` pairs is scored where it is walked; a longer one in
+    blocks of `chunk` regions a side over all tasks, and only indices, places and scores of the pairs that may match come
+    to its walk. Both ways give the same rows.
     """
     joint = "" if ignore_whitespace else " "
-    exact = exact_pairs(gt, pred)
-    left, right = unmatched(gt, exact, "gt"), unmatched(pred, exact, "pred")
-    verdicts = None
+    left = write_stage(left_over(gt, pred), "left-over")
+    sizes = left.groupBy(F.col("source_file").alias("file")).agg(F.count_if(F.col("side") == GT).alias("n"), F.count_if(F.col("side") == PRED).alias("m"))
+    sizes = sizes.where("n > 0 and m > 0").withColumn("long", F.col("n") * F.col("m") > long_pairs)
+    open_ = left.join(sizes.select("file", "long"), F.col("source_file") == F.col("file")).drop("file")
+    none = lambda kind: F.lit(None).cast(kind)
+    frame = lambda df, kind, ix, jx, a, b, value: df.select(
+        "source_file", kind.alias("kind"), ix.alias("ix"), jx.alias("jx"), a.alias("a"), b.alias("b"), value.alias("value")
+    )
+    rows = frame(open_, F.col("side"), F.col("ix"), none("long"), F.col("norm"), F.col("raw"), none("double"))
     if judged is not None:  # verdicts of the files' own texts only travel with the files
-        own = judged.select(F.col("gt").alias("_g"), F.col("pred").alias("_p"), "same").distinct()
-        per_file = left.select("source_file", "raw").join(own, F.col("raw") == F.col("_g")).groupBy("source_file").agg(F.to_json(F.collect_list(F.struct("_g", "_p", "same"))).alias("verdicts"))
-        left = left.join(per_file, "source_file", "left")
-        verdicts = True
-    else:
-        left = left.withColumn("verdicts", F.lit(None).cast("string"))
-
-    def rest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        known = None
-        if verdicts:
-            said = next((v for v in a["verdicts"] if isinstance(v, str)), "[]")
-            known = {(x["_g"], x["_p"]): x["same"] for x in json.loads(said)}
-        a, b = a.sort_values("ix"), b.sort_values("ix")
-        raw = {"gt": dict(zip(a["ix"], a["raw"])), "pred": dict(zip(b["ix"], b["raw"]))}
-        rows = resolve(dict(zip(a["ix"], a["norm"])), dict(zip(b["ix"], b["norm"])), raw, rules, joint, known, on_failure)
-        out = pd.DataFrame(rows, columns=["kind", "gt_ixs", "pred_ixs", "similarity", "matched_by"])
+        said = judged.select(F.col("gt").alias("_g"), F.col("pred").alias("_p"), F.col("same").cast("double").alias("_s")).distinct()
+        own = open_.where(F.col("side") == GT).select("source_file", "raw").distinct().join(said, F.col("raw") == F.col("_g"))
+        rows = rows.unionByName(frame(own, F.lit(VERDICT), none("long"), none("long"), F.col("_g"), F.col("_p"), F.col("_s")))
+    if sizes.where("long").limit(1).count():
+        side = lambda which: open_.where(F.col("long") & (F.col("side") == which))
+        edges = block_edges(side(GT), side(PRED), rules, chunk)
+        rows = rows.unionByName(frame(edges, F.col("kind"), F.col("ix"), F.col("jx"), none("string"), none("string"), F.col("value")))
+
+    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kinds = dict(list(group.groupby("kind")))
+        of = lambda kind: kinds.get(kind, group[:0]).sort_values("ix")
+        texts = lambda kind, c: dict(zip(of(kind)["ix"].astype("int64").tolist(), of(kind)[c]))
+        norm, raw = ({"gt": texts(GT, c), "pred": texts(PRED, c)} for c in ("a", "b"))
+        known, scored = None, None
+        if judged_here:
+            said = of(VERDICT)
+            known = {(a, b): bool(v) for a, b, v in zip(said["a"], said["b"], said["value"]) if v == v}
+        if len(norm["gt"]) * len(norm["pred"]) > long_pairs:
+            given = group[group["kind"] >= MERGE]
+            scored = Given(zip(given["kind"], given["ix"].astype("int64").tolist(), given["jx"].astype("int64").tolist(), given["value"].tolist()))
+        found = resolve(norm["gt"], norm["pred"], raw, rules, joint, known, on_failure, scored, asking)
+        out = pd.DataFrame(found, columns=["kind", "gt_ixs", "pred_ixs", "similarity", "matched_by"])
         out.insert(0, "source_file", key[0])
         return out
 
-    both = left.join(right.select(F.col("source_file").alias("_f")).distinct(), F.col("source_file") == F.col("_f"), "left_semi")
-    # Fresh names on one side: both may come from the same table.
-    fresh = lambda df, *names: df.select(F.col("source_file").alias("_file"), *[F.col(n).alias(n) for n in names])
+    judged_here = judged is not None
     # The work grows with the product of a file's sides, not with bytes: partitions are not to be merged by size.
     n = int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.select("source_file", "ix", "raw", "norm", "verdicts").repartition(n, "source_file")
-    found = both.groupBy("source_file").cogroup(fresh(right, "ix", "raw", "norm").repartition(n, "_file").groupBy("_file")).applyInPandas(rest, f"source_file {gt.schema['source_file'].dataType.simpleString()}, {MATCHES}")
-    array = lambda c: F.array(F.col(c).cast("long"))
-    exact = exact.select("source_file", F.lit("pair").alias("kind"), array("gt_ix").alias("gt_ixs"), array("pred_ix").alias("pred_ixs"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("matched_by"))
-    return exact.unionByName(found)
-
-
-def dealt(pairs: DataFrame) -> DataFrame:
-    """Pairs of regions dealt over all tasks, a long file's too: scoring costs far more than their bytes tell."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n, "source_file", "gt_ix", "pred_ix")
+    schema = f"source_file {gt.schema['source_file'].dataType.simpleString()}, {MATCHES}"
+    found = rows.repartition(n, "source_file").groupBy("source_file").applyInPandas(walk, schema)
+    return exact_matches(gt, pred).unionByName(found)
 
 
 def ratio_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
-    """Pairs within a file with a ratio of at least `least`; the length bound goes first, in built-in expressions."""
-    from ..functions.text import length_bound, similarity
-
-    a = gt.select("source_file", F.col("ix").alias("gt_ix"), F.col("norm").alias("a"))
-    b = pred.select("source_file", F.col("ix").alias("pred_ix"), F.col("norm").alias("b"))
-    near = a.join(b, "source_file").where(length_bound(F.length("a"), F.length("b"), least))
-    near = dealt(near)
-    return near.withColumn("similarity", similarity("a", "b")).where(F.col("similarity") >= least)
+    """(source_file, gt_ix, pred_ix, similarity) of the pairs of a file with a ratio of at least `least`."""
+    return pairs.ratio_candidates(gt, pred, least)
 
 
 def best_similarity(candidates: DataFrame, by: Iterable[str] = ("source_file", "gt_ix")) -> DataFrame:
@@ -178,11 +273,8 @@ def judge_tallies(found: DataFrame, regions: tuple[DataFrame, DataFrame], cached
     those among the `answered` ones are calls, the others failures. A pair of texts that was answered once is cached
     from then on.
     """
-    asked = found.where("kind = 'uncertain'").select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"))
-    for side, ix in zip(regions, ("_g", "_p")):
-        own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), F.col("raw").alias(f"{ix}_text"))
-        asked = asked.join(own, (F.col("source_file") == F.col("_f")) & (F.col(ix) == F.col("_i"))).drop("_f", "_i")
-    texts = asked.groupBy(F.col("_g_text").alias("gt"), F.col("_p_text").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    asked = texts_of(found.where("kind = 'uncertain'"), *regions)
+    texts = asked.groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
     for known, name in ((cached, "held"), (answered, "said")):
         texts = texts.join(known.select("gt", "pred", F.lit(True).alias(name)).distinct(), ["gt", "pred"], "left")
     held, said, n = F.coalesce("held", F.lit(False)), F.coalesce("said", F.lit(False)), F.col("n")
@@ -191,13 +283,18 @@ def judge_tallies(found: DataFrame, regions: tuple[DataFrame, DataFrame], cached
     return texts.agg(total(calls, "judge_calls"), total(hits, "judge_cache_hits"), total(F.when(~held & ~said, n).otherwise(0), "judge_failures"))
 
 
-def rejected_pairs(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """(source_file, gt, pred, similarity, nth) of the deferred pairs that were not accepted, from the most similar on."""
-    out = found.where("kind = 'uncertain' and matched_by != 'same'")
-    out = out.select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"), F.round("similarity", 4).alias("similarity"))
+def texts_of(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """`found`, whose rows are of one region a side, with the regions' raw texts gt and pred."""
+    out = found.select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"), "similarity")
     for side, ix, name in ((gt, "_g", "gt"), (pred, "_p", "pred")):
         own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), F.col("raw").alias(name))
         out = out.join(own, (F.col("source_file") == F.col("_f")) & (F.col(ix) == F.col("_i"))).drop("_f", "_i")
+    return out
+
+
+def rejected_pairs(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(source_file, gt, pred, similarity, nth) of the deferred pairs that were not accepted, from the most similar on."""
+    out = texts_of(found.where("kind = 'uncertain' and matched_by != 'same'"), gt, pred).withColumn("similarity", F.round("similarity", 4))
     nth = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("similarity"), "_g", "_p"))
     return out.select("source_file", "gt", "pred", "similarity", nth.alias("nth"))
 

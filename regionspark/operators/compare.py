@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..stages import drop_stage, fresh, write_stage
+
 
 def model_means(items: DataFrame, metrics: list[str], by: str = "model") -> DataFrame:
     return items.groupBy(by).agg(*[F.avg(m).alias(m) for m in metrics])
@@ -23,9 +25,55 @@ def min_max(frame: DataFrame, columns: list[str], inverted: list[str] = ()) -> D
     return joined.select(*[(1 - scaled[c] if c in inverted else scaled[c]).alias(c) if c in scaled else F.col(c) for c in frame.columns])
 
 
+def group_median(rows: DataFrame, value: str, by: list[str], bins: int = 1024, most: int = 10_000) -> DataFrame:
+    """(*by, median): the exact median of each group, the mean of the two middle values of an even number; nulls don't count.
+
+    Ranges of values are counted, not held: each pass cuts every group's open range into `bins` and goes on with the bin that
+    holds a middle rank, from its own least to its greatest value. The last `most` values of a range at most are sorted, or
+    one value however often it occurs. Groups are shuffled as counts of bins, so a group of any size is spread.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    data = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    whole = data.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
+    state = whole.withColumn("rank", F.explode(ranks)).withColumn("below", F.lit(0).cast("long"))
+    state = write_stage(state, "ranges")
+    own = lambda df, *names: df.select(*[F.col(k).alias(f"s{k}") for k in keys], *names)
+
+    def met(ranges: DataFrame) -> DataFrame:
+        on = F.col("_v").between(F.col("lo"), F.col("hi"))
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"s{k}"))
+        return data.join(ranges, on)
+
+    while state.where((F.col("n") > most) & (F.col("hi") > F.col("lo"))).limit(1).count():
+        wide = (F.col("n") > most) & (F.col("hi") > F.col("lo"))
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
+        counts = met(own(state.where(wide).select(*keys, "lo", "hi", "below", "rank"), "lo", "hi", "below", "rank"))
+        counts = counts.groupBy(*keys, "rank", "below", bin_.alias("bin")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin")) + F.col("below")
+        closer = counts.withColumn("upto", upto).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+        closer = closer.select(*keys, "lo", "hi", "n", "rank", (F.col("upto") - F.col("n")).alias("below"))
+        new = write_stage(closer.unionByName(state.where(~wide)), "ranges")
+        drop_stage(state)
+        state = new
+    point = state.where("hi = lo").select(*keys, F.col("lo").alias("v"))
+    rest = met(own(state.where("hi > lo").select(*keys, "lo", "hi", "below", "rank"), "lo", "hi", "below", "rank"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "rank").orderBy("_v")) + F.col("below")
+    rest = rest.withColumn("nth", nth).where("nth = rank").select(*keys, F.col("_v").alias("v"))
+    return point.unionByName(rest).groupBy(*[F.col(k).alias(c) for c, k in zip(by, keys)]).agg(F.avg("v").alias("median"))
+
+
 def latency(rows: DataFrame, seconds: str, *by: str) -> DataFrame:
+    """n, total, mean, median, least and most of each group."""
     c = F.col(seconds)
-    return rows.groupBy(*by).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+    sums = rows.groupBy(*by).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"))
+    names = fresh(sums.columns, *by)
+    middle = group_median(rows, seconds, list(by)).withColumnsRenamed(dict(zip(by, names)))
+    on = F.lit(True)
+    for c, k in zip(by, names):
+        on &= F.col(c).eqNullSafe(F.col(k))
+    return sums.join(middle, on, "left").select(*by, "n", "total", "mean", "median", "least", "most")
 
 
 def hardware(samples: DataFrame, columns: list[str]) -> DataFrame:

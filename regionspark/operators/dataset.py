@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..stages import fresh
 
 EMPTY = "<EMPTY>"
 
@@ -19,7 +22,8 @@ def clean_lines(lines: Column) -> Column:
 
 def existing(records: DataFrame, listing: DataFrame, how: str = "left_semi") -> DataFrame:
     """Records whose file is listed (left_semi), or those whose is not (left_anti)."""
-    return records.join(listing.select(F.col("file_name").alias("_l")), F.col("file_name") == F.col("_l"), how)
+    (name,) = fresh(records.columns, "listed")
+    return records.join(listing.select(F.col("file_name").alias(name)), F.col("file_name") == F.col(name), how)
 
 
 def split_sizes(n: int, val_ratio: float = 0.1, test_ratio: float = 0.1) -> dict[str, int]:
@@ -68,39 +72,44 @@ def exact_split(
     are ranked, and the others are told by their order alone. Ties of a border's order are ranked together.
     """
     order = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order.cast("long")
-    keyed = records.withColumn("_o", order)
+    o, b, n = fresh(records.columns, "order", "border", "nth")
+    keyed = records.withColumn(o, order)
     sizes = split_sizes(records.count(), val_ratio, test_ratio)
     ranks = [sizes["test"], sizes["test"] + sizes["eval"]]
     wanted = [r for r in ranks if r > 0]
     if not wanted:
         return records.withColumn("split", F.lit("train"))
-    ranges = dict(zip(wanted, _around(keyed.select("_o"), wanted, span, rows)))
-    rank, near = F.col("_o"), None
+    ranges = dict(zip(wanted, _around(keyed.select(F.col(o).alias("_o")), wanted, span, rows)))
+    rank, near = F.col(o), None
     for number, (lo, hi, _) in enumerate(sorted(set(ranges.values()))):
         here = rank.between(lo, hi)
         near = F.when(here, F.lit(number)) if near is None else near.when(here, F.lit(number))
-    placed = keyed.withColumn("_b", near)
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key))
+    placed = keyed.withColumn(b, near)
+    nth = F.row_number().over(Window.partitionBy(b).orderBy(o, key))
 
     def within(r: int, ranked: bool) -> Column:
         """Whether a record is among the first `r`."""
         if r <= 0:
             return F.lit(False)
         lo, hi, below = ranges[r]
-        return (rank < lo) | (rank.between(lo, hi) & (F.lit(below) + F.col("_n") <= r)) if ranked else rank < lo
+        return (rank < lo) | (rank.between(lo, hi) & (F.lit(below) + F.col(n) <= r)) if ranked else rank < lo
 
     def named(df: DataFrame, ranked: bool) -> DataFrame:
         test, head = (within(r, ranked) for r in ranks)
         return df.withColumn("split", F.when(test, "test").when(head, "eval").otherwise("train")).select(*records.columns, "split")
 
-    border = placed.where("_b is not null").withColumn("_n", nth)
-    return named(placed.where("_b is null"), False).unionByName(named(border, True))
+    border = placed.where(F.col(b).isNotNull()).withColumn(n, nth)
+    return named(placed.where(F.col(b).isNull()), False).unionByName(named(border, True))
+
 
+def chat_records(records: DataFrame, root: str, prompt: str, keep: Iterable[str] = ()) -> DataFrame:
+    """(images, messages) of (file_name, lines): a user turn with image and prompt, an assistant turn with the lines.
 
-def chat_records(records: DataFrame, root: str, prompt: str) -> DataFrame:
-    """(images, messages) of (file_name, lines): a user turn with image and prompt, an assistant turn with the lines."""
+    Columns named in `keep` come first."""
     text = F.array_join("lines", "\n")
     answer = F.when(strip(text) == "", EMPTY).otherwise(text)
     part = lambda kind, value=None: F.struct(F.lit(kind).alias("type"), (F.lit(None).cast("string") if value is None else value).alias("text"))
     turn = lambda role, *content: F.struct(F.lit(role).alias("role"), F.array(*content).alias("content"))
-    return records.select(F.array(F.concat(F.lit(root.rstrip("/") + "/"), "file_name")).alias("images"), F.array(turn("user", part("image"), part("text", F.lit(prompt))), turn("assistant", part("text", answer))).alias("messages"))
+    images = F.array(F.concat(F.lit(root.rstrip("/") + "/"), "file_name")).alias("images")
+    messages = F.array(turn("user", part("image"), part("text", F.lit(prompt))), turn("assistant", part("text", answer)))
+    return records.select(*keep, images, messages.alias("messages"))

@@ -55,9 +55,25 @@ def repaired(body: pd.Series) -> pd.Series:
 
 
 def parse_reply(reply: Column) -> Column:
-    """A variant; only replies that do not parse as they are go to Python."""
+    """A variant, null if the reply is beyond repair. Only texts that do not parse as they are are sent to Python."""
     body = json_body(reply)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(repaired(body)))
+    good = F.try_parse_json(body)
+    return F.coalesce(good, F.try_parse_json(repaired(F.when(good.isNull(), body))))
+
+
+def parsed_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """The rows with `v`, the reply as a variant, in place of the reply."""
+    return rows.withColumn("v", parse_reply(F.col(reply))).drop(reply)
+
+
+def reply_merged(v: Column) -> Column:
+    """Merged lines of {"merged_lines": [...]} or a bare list; ids that are no numbers are left out."""
+    items = F.coalesce(F.try_variant_get(v, "$.merged_lines", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    ids = lambda x: F.coalesce(F.try_variant_get(x, "$.original_line_ids", "array<variant>"), F.array().cast("array<variant>"))
+    numbers = lambda x: F.filter(F.transform(ids(x), lambda i: F.try_variant_get(i, "$", "int")), lambda i: i.isNotNull())
+    kept = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    text = lambda x: F.coalesce(F.try_variant_get(x, "$.merged_text", "string"), F.lit(""))
+    return F.transform(kept, lambda x, i: F.struct((i + 1).cast("int").alias("merged_id"), numbers(x).alias("original_line_ids"), text(x).alias("merged_text"))).cast(MERGED)
 
 
 def reply_lines(v: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql.window import Window
 from .carrier import GT_SQL, PRED_SQL, documents, gt_regions, pred_regions
 from .config import Align
 from .functions import claims, text
-from .operators import align, compare, dataset, layout, lines, metrics
-from .sources import records, sinks
-from .stages import write_stage
+from .operators import align, compare, dataset, layout, lines, metrics, pairs
+from .plans import judge
+from .sources import records, sinks, verdicts
+from .stages import shared_dir, write_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,9 +144,14 @@ def region_token_distance(spark, sf_dir):
     return both.select("source_file", "ix", text.token_distance(text.tokenize(F.col("raw")), text.tokenize(F.col("b"))).cast("long").alias("distance"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 0.0), (0, 3, 1.0), (4, 2, 0.5), (4, 6, 1.5)) AS t(length, errors, rate)".replace("t(length, errors, rate)", "t(n_length, n_errors, error_rate)").replace("SELECT *", "SELECT n_length::BIGINT AS n_length, n_errors::BIGINT AS n_errors, error_rate::DOUBLE AS error_rate"))
+@query(
+    "SELECT l_orderkey, l_linenumber, n_length, n_errors, CASE WHEN n_length > 0 THEN n_errors / n_length WHEN n_errors = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS error_rate "
+    "FROM (SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::BIGINT AS n_length, (l_orderkey % 3)::BIGINT AS n_errors FROM lineitem)"
+)
 def rate_zero_guard(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 0), (0, 3), (4, 2), (4, 6)], "n_length long, n_errors long")
+    """Lines of an order as lengths from 0 on."""
+    n, e = (F.col("l_linenumber") - 1).cast("long"), (F.col("l_orderkey") % 3).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n_length"), e.alias("n_errors"))
     return rows.withColumn("error_rate", text.rate(F.col("n_errors"), F.col("n_length")))
 
 
@@ -154,6 +161,47 @@ def verdict_hash(spark, sf_dir):
     return c.select("conv_id", "turn", text.verdict_key(F.lit("m"), F.lit("p"), F.col("role"), F.col("conv_id").cast("string")).alias("key"))
 
 
+# -- stores and inputs
+
+
+@query("SELECT conv_id || '-' || role AS key, arg_max(turn % 3 = 0, turn) AS same FROM conversations GROUP BY ALL")
+def verdict_store(spark, sf_dir):
+    """A verdict a turn, appended a part for each third of the turns; the store is compacted and the last of a key stays."""
+    c = table(spark, sf_dir, "conversations")
+    path = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    last = c.agg(F.max("turn")).first()[0] or 0
+    cuts = [last // 3, 2 * last // 3, last]
+    for lo, hi in zip([-1, *cuts], cuts):
+        part = c.where(F.col("turn").between(lo + 1, hi)).groupBy(F.concat_ws("-", "conv_id", "role").alias("key"))
+        verdicts.append_verdicts(part.agg((F.max("turn") % 3 == 0).alias("same")), path)
+    verdicts.compact_verdicts(spark, path)
+    return verdicts.load_verdicts(spark, path)
+
+
+@query(
+    r"SELECT page_id, 0::BIGINT AS item_ix, url AS path, regexp_extract(regexp_replace(url, '\?.*$', ''), '[^/]*$') AS file_name, lower(regexp_extract(url, '\.([^./]+)$', 1)) IN "
+    r"('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'pdf') AS image FROM pages UNION ALL SELECT page_id, 1, 'pictures/' || page_id || '.PNG', page_id || '.PNG', TRUE FROM pages"
+)
+def image_inputs(spark, sf_dir):
+    """Every page's input is a JSON list of its address and of a picture; items are taken whatever their suffix."""
+    pages = table(spark, sf_dir, "pages")
+    both = F.to_json(F.array("url", F.concat(F.lit("pictures/"), F.col("page_id").cast("string"), F.lit(".PNG"))))
+    items = pages.select("page_id", F.posexplode(records.input_items(both)).alias("item_ix", "path"))
+    name = text.basename(F.regexp_replace("path", r"\?.*$", ""))
+    return items.select("page_id", F.col("item_ix").cast("long").alias("item_ix"), "path", name.alias("file_name"), records.is_image(F.col("path")).alias("image"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(length(coalesce(text, '')))::BIGINT AS n_chars, count(*) AS n_lines FROM documents")
+def json_lines_read(spark, sf_dir):
+    """Documents as JSON lines, read in splits: every line is numbered once within its file."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.json(path)
+    rows = records.read_json_lines(spark, path)
+    rows = rows.select("path", "line", F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"), F.try_variant_get("record", "$.text", "string").alias("text"))
+    sizes = [F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars")]
+    return rows.agg(*sizes, F.count_distinct("path", "line").alias("n_lines"))
+
+
 # -- files
 
 _FILES_SQL = f"WITH {PRED_SQL}, gf AS (SELECT DISTINCT doc_id FROM gt), pf AS (SELECT DISTINCT doc_id FROM pred)"
@@ -307,8 +355,8 @@ def ratio_candidates(spark, sf_dir):
 
 @query()
 def infix_candidates(spark, sf_dir):
-    near = align.dealt(_within(*_left(spark, sf_dir)).where(F.length("a") <= F.length("b")))
-    return near.withColumn("found", text.infix_distance("a", "b")).where("found.distance <= greatest(3, cast(length(a) * 0.25 as int))").select("source_file", "gt_ix", "pred_ix", "found.distance", "found.end")
+    found = pairs.infix_candidates(*_left(spark, sf_dir))
+    return found.withColumnsRenamed({"part_ix": "gt_ix", "container_ix": "pred_ix"})
 
 
 def _items(spark, sf_dir, rules: Align = Align()) -> DataFrame:
@@ -328,6 +376,22 @@ def chunking_accuracy(spark, sf_dir):
     return metrics.corpus(_items(spark, sf_dir)).select("chunk_located", "chunk_whole", "chunk_merged", "chunk_split", "chunking_accuracy", "cer", "wer", "precision", "recall", "f1")
 
 
+def _careful() -> Callable[[str, str], bool]:
+    """A stand-in for a judge: the same text if all but a tenth of the characters, counted, are."""
+    from collections import Counter
+
+    return lambda a, b: 10 * sum((Counter(a) & Counter(b)).values()) >= 9 * max(len(a), len(b))
+
+
+@query()
+def judge_loop(spark, sf_dir):
+    """All passes with a judge that is asked, round by round, for what its verdicts leave open."""
+    g, p = sides(spark, sf_dir)
+    asking = judge.Asking(_careful, "careful", wait=0.0)
+    found = judge.judged_matches(g, p, asking, f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}")
+    return found.matches.groupBy("kind", "matched_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def merge_split_counts(spark, sf_dir):
     return align.matches(*sides(spark, sf_dir)).groupBy("kind", "matched_by").agg(F.count(F.lit(1)).alias("n"))

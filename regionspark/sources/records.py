@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Input
 from ..functions.text import LINE_ENDS, basename, strip
+from ..stages import is_folder
 
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
+# Suffixes of image inputs.
+IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "tiff", "bmp", "pdf")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +38,48 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("path", F.posexplode(F.coalesce(items, by_line)).alias("record_ix", "record")).withColumn("record_ix", F.col("record_ix").cast("long"))
 
 
+def _json_line(line: Column) -> Column:
+    return F.regexp_replace(strip(line), ",+$", "")
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, record_ix, record VARIANT) of tolerant JSON lines, as read_records takes them, in splits of a file.
+
+    `line` is the number in the whole file, from 1, `record_ix` that of the line before it. A file's lines are counted split
+    by split in a scan of their own; only the counts of splits are shuffled, not the lines. Lines end in a line feed, with or
+    without a carriage return. A line that is no JSON raises with its file and number, as does a file without records; files
+    of no bytes are not seen by Spark's readers.
+    """
+    nth = F.monotonically_increasing_id()  # rows of a partition in order; a partition may hold several splits
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), _json_line(F.col("value")).alias("t"), nth.alias("nth")
+    )
+    skipped = F.col("t").isin("", "[", "]")
+    splits = lines.groupBy("path", "split").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(~skipped).alias("records"))
+    file = Window.partitionBy("path")
+    before = F.coalesce(F.sum("n").over(file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("path").alias("_p"), F.col("split").alias("_s"), "first", before.alias("before"), F.sum("records").over(file).alias("records"))
+    none = F.when(F.col("records") == 0, F.raise_error(F.concat(F.col("_p"), F.lit(" has no records"))).cast("long")).otherwise(F.col("before"))
+    splits = splits.withColumn("before", none)
+    met = lines.join(splits, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s"))).withColumn("line", F.col("nth") - F.col("first") + F.col("before") + 1)
+    fail = F.raise_error(F.concat(F.col("path"), F.lit(" is neither JSON nor JSON lines: line "), F.col("line").cast("string"))).cast("variant")
+    kept = met.where(~skipped | (F.col("before") < 0))  # the second never holds; it keeps a file without records from being dropped unseen
+    record = F.try_parse_json("t")
+    return kept.select("path", "line", (F.col("line") - 1).alias("record_ix"), F.when(record.isNull(), fail).otherwise(record).alias("record"))
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record_ix, record VARIANT): files whose name ends in .jsonl line by line, others as one JSON list, not empty."""
+    if path.lower().endswith(".jsonl"):
+        return read_json_lines(spark, path).select("path", "record_ix", "record")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    items = F.try_variant_get("v", "$", "array<variant>")
+    fail = F.raise_error(F.concat(F.col("path"), F.lit(" is no JSON list with records"))).cast("array<variant>")
+    items = F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items).otherwise(fail)
+    rows = whole.select("path", F.posexplode(items).alias("record_ix", "record"))
+    return rows.withColumn("record_ix", F.col("record_ix").cast("long"))
+
+
 def present(record: Column, key: str) -> Column:
     return F.try_variant_get(record, f"$.{key}", "variant").isNotNull()
 
@@ -119,10 +164,16 @@ def read_markdown_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("row_ix", lines(F.get("c", 0)).alias("ground_truth"), lines(F.get("c", 1)).alias("prediction"))
 
 
-def list_images(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, file_name) of the image files below a folder, without reading them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
-    return found.where(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*IMAGE_SUFFIXES)).select("path", basename(F.col("path")).alias("file_name"))
+def is_image(path: Column) -> Column:
+    """Whether a path ends in one of the suffixes, in either case."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*IMAGE_SUFFIXES)
+
+
+def list_images(spark: SparkSession, folder: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """(path, file_name) of the image files below a folder, by path and without reading them; `glob` narrows their names."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(folder).select("path")
+    return found.where(is_image(F.col("path"))).select("path", basename(F.col("path")).alias("file_name")).orderBy("path")
 
 
 def resolve_paths(records: DataFrame, listings: list[DataFrame], name: str = "file_name") -> DataFrame:
@@ -141,36 +192,35 @@ def flagged_files(spark: SparkSession, log: str, marker: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"\[(.*?)\]", 1).alias("file_name")).where("file_name != ''").distinct()
 
 
-def images_of(spark: SparkSession, inputs: str | list[str], listing: DataFrame | None = None) -> DataFrame:
-    """(path, file_name) of one input or several: folders are listed; files and addresses are taken as they are.
+def input_items(inputs: Column) -> Column:
+    """The items of an image input: a JSON array's strings, else the input itself."""
+    text = strip(inputs)
+    listed = F.when(text.startswith("[") & text.endswith("]"), F.try_variant_get(F.try_parse_json(text), "$", "array<string>"))
+    return F.coalesce(listed, F.array(inputs))
 
-    A string may be a JSON array of inputs. What is no image by its suffix is left out.
-    """
-    import json
 
+def images_of(spark: SparkSession, inputs: str | list[str]) -> DataFrame:
+    """(item_ix, path, file_name) of one input or several, in order. A string may be a JSON array of inputs.
+
+    Folders give the image files below them at any depth, by suffix; every other item of a list is taken as it is, whatever
+    its suffix. A single string is taken if it is a file or an address.
+    """
     if isinstance(inputs, str):
-        text = inputs.strip()
-        inputs = json.loads(text) if text.startswith("[") else [text]
-    found = listing
-    single = [x for x in inputs if x.rsplit("?", 1)[0].rsplit(".", 1)[-1].lower() in IMAGE_SUFFIXES]
-    if single:
-        named = spark.createDataFrame([(x,) for x in single], "path string")
-        named = named.select("path", basename(F.regexp_replace("path", r"\?.*$", "")).alias("file_name"))
-        found = named if found is None else found.unionByName(named)
-    for folder in inputs:
-        if folder not in single and "://" not in folder.replace("file://", ""):
-            found = list_images(spark, folder, False) if found is None else found.unionByName(list_images(spark, folder, False))
-    return spark.createDataFrame([], "path string, file_name string") if found is None else found.distinct()
-
-
-def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """(key, same) of a cache file {key: verdict}; a file that is no such JSON counts as empty, and so does none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "key string, same boolean")
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    pairs = whole.select(F.explode(F.try_variant_get("v", "$", "map<string, boolean>")).alias("key", "same"))
-    return pairs.where("same is not null")
+        items = spark.createDataFrame([(inputs,)], "input string").select(input_items(F.col("input"))).first()[0]
+        alone = items == [inputs]
+    else:
+        items, alone = inputs, False
+    found = spark.createDataFrame([], "item_ix long, path string")
+    single = []
+    for k, item in enumerate(items):
+        kind = None if item.startswith("http") else is_folder(spark, item)
+        if kind:
+            found = found.unionByName(list_images(spark, item).select(F.lit(k).cast("long").alias("item_ix"), "path"))
+        elif not alone or kind is False or item.startswith("http"):
+            single.append((k, item))
+    found = found.unionByName(spark.createDataFrame(single, "item_ix long, path string"))
+    name = basename(F.regexp_replace("path", r"\?.*$", ""))
+    return found.select("item_ix", "path", name.alias("file_name")).orderBy("item_ix", "path")
 
 
 def box_rows_by_line(pages: DataFrame, lines: str = "lines") -> DataFrame:

@@ -21,11 +21,6 @@ def append_stats(stats: DataFrame, folder: str) -> None:
     stats.write.mode("append").json(folder)
 
 
-def append_verdicts(verdicts: DataFrame, folder: str) -> None:
-    """One append for a batch of verdicts (key, same)."""
-    verdicts.select("key", "same").write.mode("append").parquet(folder)
-
-
 def write_manifests(split: DataFrame, folder: str) -> None:
     split.write.mode("overwrite").partitionBy("split").json(folder)
 
@@ -54,9 +49,3 @@ def write_stage_lines(stage: DataFrame, folder: str) -> None:
 def write_simplified(simplified: DataFrame, folder: str) -> None:
     """{file_name, lines, status} records by file name; each file of the folder holds a range of names."""
     simplified.repartitionByRange("file_name").sortWithinPartitions("file_name").write.mode("overwrite").json(folder)
-
-
-def write_verdicts(verdicts: DataFrame, folder: str) -> None:
-    """A cache as one {key: verdict} object a line, of which later readers take the union."""
-    one = F.to_json(F.create_map("key", "same"))
-    verdicts.select(one.alias("value")).write.mode("append").text(folder)

@@ -34,6 +34,12 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def is_folder(spark: SparkSession, path: str) -> bool | None:
+    """Whether a path is a folder; None if there is nothing."""
+    where, fs = _file_system(spark, path)
+    return fs.getFileStatus(where).isDirectory() if fs.exists(where) else None
+
+
 def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and return it as a scan. The folder goes with drop_stage, or when the driver's JVM ends.
 

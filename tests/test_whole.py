@@ -1,14 +1,15 @@
 """Nothing is cut or capped: long token lists, exact splits, numbered errors, verdict caches, listings."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from regionspark.functions import claims, text
-from regionspark.operators import align, dataset
+from regionspark.operators import align, compare, dataset, lines
 from regionspark.plans.evaluate import evaluate
-from regionspark.sources import records, sinks
+from regionspark.sources import records, verdicts
 from regionspark.streaming.evaluation import streamed_items
 
 
@@ -58,15 +59,29 @@ def test_bad_lines_are_named(spark, tmp_path):
         records.read_records(spark, str(path)).collect()
 
 
-def test_verdict_caches(spark, tmp_path):
-    assert records.load_verdicts(spark, str(tmp_path / "none.json")).count() == 0
+def test_verdict_store(spark, tmp_path):
+    load = lambda name: {tuple(r) for r in verdicts.load_verdicts(spark, str(tmp_path / name)).collect()}
+    made = lambda *rows: spark.createDataFrame(rows, verdicts.SCHEMA)
+    assert load("none.json") == set()
     (tmp_path / "bad.json").write_text("{not json")
-    assert records.load_verdicts(spark, str(tmp_path / "bad.json")).count() == 0
-    (tmp_path / "good.json").write_text('{"k1": true,\n "k2": false}')
-    assert {tuple(r) for r in records.load_verdicts(spark, str(tmp_path / "good.json")).collect()} == {("k1", True), ("k2", False)}
-    made = spark.createDataFrame([("k3", True), ("k4", False)], "key string, same boolean").coalesce(1)
-    sinks.write_verdicts(made, str(tmp_path / "cache"))
-    assert spark.read.text(str(tmp_path / "cache")).count() == 2
+    assert load("bad.json") == set()
+    (tmp_path / "good.json").write_text('{"k1": true,\n "k2": false, "k3": "x"}')
+    assert load("good.json") == {("k1", True), ("k2", False)}
+    (tmp_path / "lines.json").write_text('{"k1": true}\n{broken\n{"k2": false}\n')
+    assert load("lines.json") == {("k1", True), ("k2", False)}
+    store = str(tmp_path / "store")
+    assert verdicts.append_verdicts(made(("a", True), ("b", True)), store) == 0
+    assert verdicts.append_verdicts(made(("b", False), ("c", True), (None, True)), store) == 1
+    assert load("store") == {("a", True), ("b", False), ("c", True)}
+    (tmp_path / "store" / "part=1" / "part-x.json").write_text("{half a li")
+    (tmp_path / "store" / "old.json").write_text('{"a": false, "d": true}')
+    assert load("store") == {("a", True), ("b", False), ("c", True), ("d", True)}
+    verdicts.compact_verdicts(spark, store)
+    assert load("store") == {("a", True), ("b", False), ("c", True), ("d", True)}
+    assert {x.name for x in (tmp_path / "store").iterdir() if x.is_dir()} == {"part=0"}
+    assert verdicts.append_verdicts(made(("a", False)), store) == 1 and ("a", False) in load("store")
+    verdicts.write_verdicts(made(("z", True)), store)
+    assert load("store") == {("z", True)}
 
 
 def test_layout_of_one_entry_a_line(spark):
@@ -78,13 +93,88 @@ def test_layout_of_one_entry_a_line(spark):
 
 
 def test_images_of_every_kind_of_input(spark, tmp_path):
-    (tmp_path / "x.png").write_bytes(b"1")
-    (tmp_path / "y.txt").write_bytes(b"1")
-    names = lambda x: sorted(r.file_name for r in records.images_of(spark, x).collect())
-    assert names(str(tmp_path)) == ["x.png"]
+    for name in ("x.png", "y.txt", "w.webp", "g.gif", "T.TIFF", "a.pdf", "deep/er/b.Bmp", "deep/no"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    names = lambda x: [r.file_name for r in records.images_of(spark, x).collect()]
+    assert names(str(tmp_path)) == ["T.TIFF", "a.pdf", "b.Bmp", "x.png"]
     assert names("http://h/p/z.JPG?size=2") == ["z.JPG"]
-    assert names(f'["{tmp_path}", "/q/a.webp"]') == ["a.webp", "x.png"]
-    assert names([]) == []
+    assert names(str(tmp_path / "y.txt")) == ["y.txt"] and names(str(tmp_path / "none.png")) == []
+    assert names(f'["http://h/p/img?id=3", "{tmp_path}/deep", "/q/a.webp", "/q/b"]') == ["img", "b.Bmp", "a.webp", "b"]
+    assert names(["/q/b", str(tmp_path / "y.txt")]) == ["b", "y.txt"] and names([]) == [] and names("[") == []
+    assert [r.file_name for r in records.list_images(spark, str(tmp_path), False, "*.png").collect()] == ["x.png"]
+
+
+def test_json_lines_in_splits(spark, tmp_path):
+    """Line numbers run through a file that is read in many splits; errors name their line."""
+    bodies = [f'{{"file_name": "f{k}", "text": "{"x" * (k % 97)}"}}' + ("," if k % 3 else "") for k in range(2_000)]
+    lines = [x for k, body in enumerate(bodies) for x in ([body] if k % 5 else ["", "[", body])]
+    (tmp_path / "a.jsonl").write_text("\r\n".join(lines))
+    (tmp_path / "b.jsonl").write_text('{"file_name": "only"}\n]\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = records.read_json_lines(spark, f"{tmp_path}/*.jsonl")
+        assert found.rdd.getNumPartitions() >= 1 and spark.read.text(f"{tmp_path}/a.jsonl").rdd.getNumPartitions() > 5
+        got = found.select(F.regexp_extract("path", "[^/]+$", 0).alias("p"), "line", F.try_variant_get("record", "$.file_name", "string").alias("f")).collect()
+        want = {("a.jsonl", n, f"f{bodies.index(x)}") for n, x in enumerate(lines, 1) if x.startswith("{")}
+        assert {tuple(r) for r in got} == want | {("b.jsonl", 1, "only")} and len(got) == 2_001
+        whole = records.read_records(spark, f"{tmp_path}/a.jsonl").select(F.try_variant_get("record", "$.file_name", "string")).collect()
+        assert {r[0] for r in whole} == {x[2] for x in want}
+        assert records.read_annotations(spark, f"{tmp_path}/a.jsonl").count() == 2_000
+        lines[1_500] = "{broken"
+        (tmp_path / "a.jsonl").write_text("\n".join(lines))
+        with pytest.raises(Exception, match="a.jsonl is neither JSON nor JSON lines: line 1501"):
+            records.read_json_lines(spark, f"{tmp_path}/*.jsonl").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for text in ("[\n\n]", ""):
+        (tmp_path / "c.jsonl").write_text(text)
+        with pytest.raises(Exception, match="c.jsonl has no records"):
+            records.read_json_lines(spark, f"{tmp_path}/c.jsonl").collect()
+
+
+def test_annotations_by_suffix(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert [r.record_ix for r in records.read_annotations(spark, f"{tmp_path}/a.json").orderBy("record_ix").collect()] == [0, 1]
+    for text in ("[]", '{"a": 1}', '{"a": 1}\n{"a": 2}'):
+        (tmp_path / "a.json").write_text(text)
+        with pytest.raises(Exception, match="no JSON list"):
+            records.read_annotations(spark, f"{tmp_path}/a.json").collect()
+
+
+def test_only_what_needs_python_is_sent(spark, monkeypatch):
+    """Replies that parse, and texts in ASCII, reach the Arrow UDFs as nulls."""
+    texts = ["Ab  C", " x\ty ", "ＡＢ ß", "", None, "a\x1cb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.n for r in df.select("i", text.normalize(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [None if t is None else text.normalize_text(t) for t in texts]
+    replies = ['```json\n{"lines": ["a"]}\n```', '{"lines": ["a", ]', "[1, 2]", "no json", None]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    got = {r.i: r.v for r in lines.parsed_replies(df).select("i", F.to_json("v").alias("v")).collect()}
+    assert got == {0: '{"lines":["a"]}', 1: '["a"]', 2: "[1,2]", 3: None, 4: None}
+
+
+@pytest.mark.parametrize("most,bins", [(3, 7), (10_000, 1024)])
+def test_group_median(spark, most, bins):
+    r = random.Random(5)
+    groups = {"one": [4.0], "two": [1.0, 2.0], "same": [3.5] * 40, "wide": [10.0**k for k in range(-6, 6)], "odd": [r.random() for _ in range(101)], "even": [-r.expovariate(1) for _ in range(100)], None: [1.0, 5.0, 5.0, 9.0], "none": []}
+    rows = [(k, v, j) for k, values in groups.items() for v in [*values, None] for j in (1, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, j int").repartition(3)
+    got = {(x.g, x.j): x.median for x in compare.group_median(df, "v", ["g", "j"], bins, most).collect()}
+    assert got == {(k, j): statistics.median(v) for k, v in groups.items() if v for j in (1, 2)}
+    out = {x.g: (x.n, x.median) for x in compare.latency(df.where("j = 1"), "v", "g").collect()}
+    assert out["none"] == (0, None) and out[None] == (4, 5.0)
+
+
+def test_columns_that_clash_pass_through(spark):
+    df = spark.range(30).select((F.col("id") % 7).cast("string").alias("file_name"), F.lit(1).alias("_o"), F.lit(2).alias("order"), F.lit(3).alias("border"), F.lit(4).alias("nth"), F.lit(5).alias("listed"), F.lit(6).alias("_l"))
+    got = dataset.exact_split(df)
+    assert got.columns == [*df.columns, "split"] and got.select("_o", "order", "border", "nth").distinct().collect() == [(1, 2, 3, 4)]
+    assert dataset.existing(df, df.limit(1)).columns == df.columns
+    regions = spark.createDataFrame([("f", 0, "a", 1, 2), ("f", 1, "b", 1, 2)], "source_file string, ix long, norm string, _f int, file int")
+    taken = spark.createDataFrame([("f", 0, 0)], "source_file string, gt_ix long, pred_ix long")
+    assert [tuple(r) for r in align.unmatched(regions, taken, "gt").collect()] == [("f", 1, "b", 1, 2)]
 
 
 def test_claims_with_default_brands(spark):

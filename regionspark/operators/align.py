@@ -285,7 +285,8 @@ def judge_tallies(found: DataFrame, regions: tuple[DataFrame, DataFrame], cached
 
 def texts_of(found: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
     """`found`, whose rows are of one region a side, with the regions' raw texts gt and pred."""
-    out = found.select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"), "similarity")
+    score = [c for c in found.columns if c == "similarity"]
+    out = found.select("source_file", F.col("gt_ixs")[0].alias("_g"), F.col("pred_ixs")[0].alias("_p"), *score)
     for side, ix, name in ((gt, "_g", "gt"), (pred, "_p", "pred")):
         own = side.select(F.col("source_file").alias("_f"), F.col("ix").alias("_i"), F.col("raw").alias(name))
         out = out.join(own, (F.col("source_file") == F.col("_f")) & (F.col(ix) == F.col("_i"))).drop("_f", "_i")

@@ -68,32 +68,34 @@ def judged_matches(gt: DataFrame, pred: DataFrame, asking: Asking, cache: str |
     if asking.on_failure not in ("auto", "reject", "accept", "error"):
         raise ValueError(f"unknown on_failure: {asking.on_failure}")
     spark = gt.sparkSession
-    said = spark.createDataFrame([], "gt string, pred string, key string, same boolean, source string")
+    said = spark.createDataFrame([], "gt string, pred string, same boolean, source string")
+    # Texts are asked once, so the cache is what it was at the beginning.
+    cached = write_stage(load_verdicts(spark, cache), "cached") if cache else spark.createDataFrame([], "key string, same boolean")
     done: list[DataFrame] = []
     left, right, rounds = gt, pred, 0
     while True:
         found = write_stage(align.matches(left, right, rules, ignore_whitespace, said, asking=True), "matches")
-        open_files = found.where("kind = 'ask'").select(F.col("source_file").alias("_f")).distinct()
-        closed = found.join(open_files, F.col("source_file") == F.col("_f"), "left_anti")
-        done.append(closed)
-        asks = align.texts_of(found.where("kind = 'ask'"), gt, pred).select("gt", "pred").distinct()
-        asks = write_stage(asks, "asks")
+        asks = write_stage(align.texts_of(found.where("kind = 'ask'"), left, right).select("gt", "pred").distinct(), "asks")
         if not asks.limit(1).count():
             drop_stage(asks)
+            done.append(found)
             break
         rounds += 1
-        cached = load_verdicts(spark, cache) if cache else spark.createDataFrame([], "key string, same boolean")
+        open_files = found.where("kind = 'ask'").select(F.col("source_file").alias("_f")).distinct()
+        done.append(found.join(open_files, F.col("source_file") == F.col("_f"), "left_anti"))
         new = answer(spark, asks, cached, asking)
-        drop_stage(asks)
         if cache:
             append_verdicts(new.where("source = 'api'"), cache)
-        said = said.unionByName(new)
-        left = left.join(open_files, F.col("source_file") == F.col("_f"), "left_semi")
-        right = right.join(open_files, F.col("source_file") == F.col("_f"), "left_semi")
+        more = write_stage(said.unionByName(new.drop("key")), "said")
+        drop_stage(asks, new, said)
+        said = more
+        left = gt.join(open_files, F.col("source_file") == F.col("_f"), "left_semi")
+        right = pred.join(open_files, F.col("source_file") == F.col("_f"), "left_semi")
+    drop_stage(cached)
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
-    return Judged(whole, said.drop("key"), rounds)
+    return Judged(whole, said, rounds)
 
 
 def tallies(judged: Judged, gt: DataFrame, pred: DataFrame) -> DataFrame:

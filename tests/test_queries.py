@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__
+from jobs import queries as jobs
 from regionspark import queries as core
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = core.QUERIES | jobs.QUERIES, core.ORACLE_SQL | jobs.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -29,19 +31,19 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_rows_match_sql(spark, duck, name):
-    got = core.QUERIES[name](spark, SF)
-    want = duck.execute(core.ORACLE_SQL[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.execute(ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_queries_without_sql_run(spark, name):
-    assert core.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

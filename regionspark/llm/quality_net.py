@@ -5,8 +5,8 @@ Every word, lower-cased and without what is no letter at its ends, has a sparse
 own. A word's context vector is the sum, over all its places in all documents, of the index vectors of the two words on
 either side and of its shape. Context vectors of all words are kept in a count sketch: a table of `SLOTS` rows of fixed
 number, to whose row for the word's hash a sum is added with the word's sign, and from which it is read with that sign;
-other words in the row add noise of either sign. A table of one row for each word would move several times the corpus
-(README has the figures); the sketch moves one table for each task. A document is the mean vector of its words, of its
+other words in the row add noise of either sign. A table of one row for each word would move several times the corpus;
+the sketch moves one table for each task. A document is the mean vector of its words, of its
 shapes, and a few lengths. A two-layer network is fitted in numpy on a bounded sample of labelled rows, and a temperature
 fitted on a part of them that the network has not seen calibrates its probabilities.
 

@@ -218,3 +218,9 @@ def test_infix_distance_against_a_table():
             for j, y in enumerate(hay, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         assert text.infix_of(needle, hay) == (min(row), row.index(min(row)))
+
+
+def test_years_beyond_four_digits(spark):
+    rows = spark.createDataFrame([(0,), (253402300799,), (253402300800,), (6_000_000 * 86461,)], "s long")
+    got = [r[0] for r in rows.coalesce(1).select(text.local_timestamp(F.timestamp_seconds("s"))).collect()]
+    assert got == ["1970-01-01T00:00:00", "9999-12-31T23:59:59", "10000-01-01T00:00:00", "18409-01-15T02:40:00"]

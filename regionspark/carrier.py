@@ -36,21 +36,24 @@ def _norm(c: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(c), r"\s+", "")
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_file, regions): the sentences of all documents, of any length. Arrays number themselves, so nothing is shuffled."""
-    parts = F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x))
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("source_file"), F.filter(parts, lambda x: x != "").alias("regions"))
+def _sentences() -> F.Column:
+    """The sentences of a text, of any length. Arrays number themselves, so nothing is shuffled."""
+    return F.filter(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _numbered(lists: DataFrame, column: str) -> DataFrame:
-    """(source_file, ix, raw, norm) of the elements of a list."""
-    rows = lists.select("source_file", F.posexplode(column).alias("ix", "raw"))
+def _numbered(lists: DataFrame, elements: F.Column) -> DataFrame:
+    """(source_file, ix, raw, norm) of the elements of a list.
+
+    `elements` is an expression over the columns of `lists`, not one of them: of a column that is exploded Spark asks first
+    whether it has elements, which puts its whole expression, and with it all that its lambdas read, into a filter.
+    """
+    rows = lists.select("source_file", F.posexplode(elements).alias("ix", "raw"))
     return rows.select("source_file", F.col("ix").cast("long").alias("ix"), "raw", _norm(F.col("raw")).alias("norm"))
 
 
 def gt_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, ix, raw, norm): the sentences of all documents, of any length."""
-    return _numbered(_regions(spark, sf_dir), "regions")
+    return _numbered(documents(spark, sf_dir).select(F.col("doc_id").alias("source_file"), "text"), _sentences())
 
 
 def pred_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +73,5 @@ def pred_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(gone, F.array().cast("array<string>")).otherwise(kept)
 
     made = F.transform(F.flatten(F.transform("regions", pieces)), lambda x: F.trim(x))
-    return _numbered(_regions(spark, sf_dir).where(file % 9 != 4).select("source_file", made.alias("made")), "made")
+    docs = documents(spark, sf_dir).where("doc_id % 9 <> 4")
+    return _numbered(docs.select(F.col("doc_id").alias("source_file"), _sentences().alias("regions")), made)

@@ -240,3 +240,15 @@ def test_metrics_sum_before_dividing(spark):
     s = e.summary.first()
     assert s.cer == pytest.approx(8 / 100) and metrics.corpus(e.items, "source_file").count() == 2
     assert align.MATCHES.startswith("kind")
+
+
+@pytest.mark.parametrize("side", ["gt_regions", "pred_regions"])
+def test_no_filter_splits_the_texts_again(spark, tmp_path, side):
+    """A filter of that kind had a document's whole split in its lambdas, once for each of its sentences."""
+    from regionspark import carrier
+
+    spark.createDataFrame([(1, "one. two.\nthree"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = getattr(carrier, side)(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert {r.source_file for r in rows.collect()} == {1}

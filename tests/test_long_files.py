@@ -189,3 +189,35 @@ def test_chunk_of_nothing():
     assert len(lengths) == 0 and common.shape == (1, 0)
     assert pairs.common_lengths([(0, "")], [(0, "")])[1].tolist() == [[0]]
     assert np.array_equal(pairs.common_lengths([(0, "a")], [])[1], np.zeros((0, 1)))
+
+
+def test_infix_of_a_whole_chunk(monkeypatch):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abc漢") for _ in range(n))
+    for slab in (1, 1 << 22):
+        monkeypatch.setattr(pairs, "SLAB", slab)
+        for _ in range(60):
+            texts, hay = [some(r.randrange(1, 90)) for _ in range(r.randrange(1, 9))], some(r.randrange(0, 140))
+            best, end = pairs.Chunk(texts).infix(hay)
+            assert list(zip(best.tolist(), end.tolist())) == [infix_of(t, hay) for t in texts]
+
+
+def test_many_parts_are_placed_in_one_walk(monkeypatch):
+    r = random.Random(6)
+    parts = [(k, "".join(r.choice("abcd") for _ in range(40))) for k in range(30)]
+    whole = [(0, "".join(t[:7] + "#" + t[8:] for _, t in parts))]
+    monkeypatch.setattr(pairs, "infix_of", None)
+    _, common = pairs.common_lengths(parts, whole)
+    assert [p for _, p, _ in pairs.contained(parts, whole, common, Align())] == list(range(30))
+
+
+def test_small_files_share_batches(spark):
+    """Groups are worked on in one call a partition, and one that goes on in the next batch stays whole."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(100).selectExpr("id div 10 as file", "id").repartition(3, "file").sortWithinPartitions("file", "id")
+        got = pairs.grouped(rows, 1, lambda key, group: [(key[0], len(group), group[-1][0])], "file long, n long, last long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == [(k, 10, 10 * k + 9) for k in range(10)]

@@ -224,3 +224,45 @@ def test_years_beyond_four_digits(spark):
     rows = spark.createDataFrame([(0,), (253402300799,), (253402300800,), (6_000_000 * 86461,)], "s long")
     got = [r[0] for r in rows.coalesce(1).select(text.local_timestamp(F.timestamp_seconds("s"))).collect()]
     assert got == ["1970-01-01T00:00:00", "9999-12-31T23:59:59", "10000-01-01T00:00:00", "18409-01-15T02:40:00"]
+
+
+def test_distances_of_long_texts(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("ab c漢") for _ in range(n))
+    texts = [(some(r.randrange(0, 150)), some(r.randrange(0, 150))) for _ in range(60)]
+    texts += [(t := some(120), t), (t, t[:50] + "x" + t[60:]), ("", t), (t, ""), ("", "")]
+    assert [text.distance_of(a, b) for a, b in texts] == [plain_distance(a, b) for a, b in texts]
+    df = spark.createDataFrame([(i, a, b, list(a), list(b)) for i, (a, b) in enumerate(texts)], "i int, a string, b string, ta array<string>, tb array<string>")
+    got = df.select("i", text.edit_distance(F.col("a"), F.col("b")).alias("d"), text.list_distance(F.col("ta"), F.col("tb")).alias("t")).orderBy("i").collect()
+    assert [(x.d, x.t) for x in got] == [(plain_distance(a, b),) * 2 for a, b in texts]
+
+
+def test_a_distance_of_very_long_texts_takes_no_table():
+    import time
+
+    r = random.Random(9)
+    a = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    begun = time.monotonic()
+    assert text.distance_of("x" + a[1:-1] + "y", a) <= 2 and text.distance_of(a, a.replace("ab", "b")) == a.count("ab")
+    assert time.monotonic() - begun < 20
+
+
+def test_flags_share_one_count_of_errors(spark):
+    from regionspark.config import Align
+    from regionspark.operators import metrics
+
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(12))
+    gt = [word() for _ in range(24)]
+    pred = [gt[0] + gt[1], gt[2][:6], gt[2][6:], *[t[1:] for t in gt[3:12]], *gt[12:20], word()]
+    g, p = (spark.createDataFrame([("f", i, t, t) for i, t in enumerate(x)], "source_file string, ix long, raw string, norm string") for x in (gt, pred))
+    matches = align.matches(g, p)
+    found = spark.createDataFrame(matches.collect(), matches.schema)
+    errors = spark.createDataFrame(metrics.error_counts(metrics.charges_by_kind(found, g, p), "kind", "whole").collect(), "source_file string, kind string, whole boolean, char_errors long, char_length long, token_errors long, token_length long")
+    rows = []
+    for credit in (True, False):
+        rules = Align(merge_credit=credit, split_credit=credit)
+        (one,) = metrics.counted(errors, rules).groupBy("source_file").agg(*[F.sum(c) for c in metrics.COUNTS[:4]]).collect()
+        rows.append(tuple(one))
+        assert [rows[-1]] == [tuple(x) for x in metrics.error_counts(metrics.charges(found, g, p, rules)).collect()]
+    assert rows[0][1] < rows[1][1]

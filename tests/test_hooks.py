@@ -189,3 +189,15 @@ def test_two_stages(spark):
 
 def test_infix_helper():
     assert infix_of("abc", "xxabcxx") == (0, 5)
+
+
+def test_rounds_do_not_repeat_the_exact_pass(spark, monkeypatch):
+    from regionspark.operators import align
+
+    calls = []
+    once = align.partners
+    monkeypatch.setattr(align, "partners", lambda *a: calls.append(a) or once(*a))
+    rows = lambda texts: spark.createDataFrame([("f", i, t, t) for i, t in enumerate(texts)], "source_file string, ix long, raw string, norm string")
+    found = judge.judged_matches(rows(["abcdefghij"]), rows(["abcdefgxyz"]), judge.Asking(lambda: lambda a, b: True, "yes", wait=0.0, tasks=1))
+    assert found.rounds == 1 and len(calls) == 2
+    assert [(r.kind, r.matched_by) for r in found.matches.orderBy("kind").collect()] == [("pair", "judge"), ("uncertain", "same")]

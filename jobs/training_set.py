@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, log
-from regionspark.functions.text import LINE_ENDS
+from regionspark.functions.text import LINE_ENDS, split_at
 from regionspark.operators.dataset import chat_records, clean_lines, exact_split
 from regionspark.stages import drop_stage, write_stage
 
@@ -49,7 +49,7 @@ def checked(documents: DataFrame, labels: DataFrame, config: TrainingSet) -> Dat
     one = one.select("doc_id", "row.*").join(said.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
     among = lambda c, values: F.coalesce(F.exists(c, lambda x: x.isin(*values)), F.lit(False)) if values else F.lit(False)
     reason = F.when(among("q", config.reject_quality), "quality").when(among("t", config.reject_toxic), "toxic")
-    lines = clean_lines(F.split(F.coalesce("text", F.lit("")), LINE_ENDS))
+    lines = clean_lines(split_at(F.coalesce("text", F.lit("")), LINE_ENDS))
     kept = one.select("doc_id", "lang", "source", lines.alias("lines"), reason.alias("reason"))
     none = F.array().cast("array<string>")
     return kept.unionByName(docs.where("doc_id is null").select("doc_id", "lang", "source", none.alias("lines"), F.lit("no key").alias("reason")))

@@ -2,16 +2,21 @@
 
 import hashlib
 import json
+import random
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import queries, score_predictions, training_set
 from jobs.common import load_config
+from regionspark.functions.text import normalize_ascii
+from regionspark.operators import align, metrics
 from regionspark.operators.dataset import split_sizes
+from regionspark.stages import drop_stage
 
 ROOT = Path(__file__).resolve().parent.parent
 DOCS = "doc_id long, text string, lang string, source string, extra string"
@@ -153,6 +158,30 @@ def test_all_passes(spark, scoring):
         scoring.go(passes="some")
 
 
+def test_exact_scores_count_texts(spark, monkeypatch):
+    """The exact passes give what per_file gives of the exact matches, but no region is numbered, sorted or joined: the only
+    join of the plan is the one of records."""
+    monkeypatch.setattr(metrics, "charges_by_kind", None)  # the joins of regions
+    docs = spark.createDataFrame([(1, "A b\r\nc\nc\nd ３４", "en", "s"), (2, "x", "en", "s"), (3, None, None, None)], DOCS.rsplit(",", 1)[0])
+    records = spark.createDataFrame([(1, 0, ["c", "aB", "c", "c", None, " "]), (2, 0, None), (3, 0, [None]), (4, 0, ["z"])], score_predictions.PREDICTIONS)
+    scored, tables = score_predictions.score(records, docs, score_predictions.Scoring())
+    got = {r.source_file: tuple(r[c] for c in score_predictions.ITEMS[:8]) for r in scored.collect()}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert got == {1: (4, 6, 3, 3, 4, 7, 4, 6), 2: (1, 0, 0, 0, 1, 1, 1, 1), 3: (0, 1, 0, 0, 0, 0, 0, 0)}
+    assert plan.count("Join Inner") == 1 and "Window" not in plan
+    drop_stage(*tables)
+
+
+def test_exact_per_file_is_per_file(spark):
+    r = random.Random(7)
+    some = lambda: r.choice([[], None]) if r.random() < 0.1 else [r.choice(["a b", "A  B", "ab", "c, 12.5", "", None, "ｄ　"]) for _ in range(r.randrange(9))]
+    records = spark.createDataFrame([(k, some(), some()) for k in range(60)], "source_file long, gt array<string>, pred array<string>")
+    side = lambda name: records.select("source_file", F.posexplode(name).alias("ix", "raw")).select("source_file", F.col("ix").cast("long").alias("ix"), "raw", normalize_ascii(F.col("raw")).alias("norm"))
+    gt, pred = side("gt"), side("pred")
+    whole = metrics.per_file(align.exact_matches(gt, pred), gt, pred, records.select("source_file"))
+    assert rows_of(metrics.exact_per_file(records, normalize_ascii).select(*whole.columns)) == rows_of(whole)
+
+
 def test_config_files():
     for module, kind in ((training_set, training_set.TrainingSet), (score_predictions, score_predictions.Scoring)):
         path = module.__file__.replace(".py", ".json")

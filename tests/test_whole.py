@@ -34,6 +34,14 @@ def test_token_distance_of_any_number_of_tokens(spark):
     assert none.select(text.token_distance(F.col("a"), F.col("b"))).first()[0] is None
 
 
+def test_white_space_and_line_ends_are_those_of_python(spark):
+    chars = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    both = df.select("c", text.strip(F.concat("c", F.lit("a"), "c", F.lit("b "), "c")).alias("s"), F.size(text.split_at(F.concat(F.lit("x"), "c", F.lit("y")), text.LINE_ENDS)).alias("n"))
+    for r in both.collect():
+        assert r.s == f"{r.c}a{r.c}b {r.c}".strip() and r.n == len(f"x{r.c}y".splitlines()), hex(ord(r.c))
+
+
 @pytest.mark.parametrize("n", [0, 1, 9, 10, 1000])
 @pytest.mark.parametrize("order", [None, "same", "value"])
 def test_exact_split_is_exact(spark, n, order):

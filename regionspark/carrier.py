@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import split_at
+
 GT_SQL = r"""
 parts AS (
   SELECT doc_id, i, trim(string_split_regex(text, '[.\n]')[i]) AS raw
@@ -38,7 +40,7 @@ def _norm(c: F.Column) -> F.Column:
 
 def _sentences() -> F.Column:
     """The sentences of a text, of any length. Arrays number themselves, so nothing is shuffled."""
-    return F.filter(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(split_at(F.col("text"), "\n."), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _numbered(lists: DataFrame, elements: F.Column) -> DataFrame:

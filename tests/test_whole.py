@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,29 @@ def test_token_distance_of_any_number_of_tokens(spark):
     assert none.select(text.token_distance(F.col("a"), F.col("b"))).first()[0] is None
 
 
+@pytest.mark.parametrize("block", [1, 500, 1 << 18])
+def test_distances_of_many_pairs(monkeypatch, block):
+    monkeypatch.setattr(text, "BLOCK", block)
+    r = random.Random(block)
+    sizes = [(n, m) for n in (0, 1, 2, 9, 63, 64, 65, 70) for m in (0, 1, 5, 64, 66, 130)]
+    lists = [[r.randrange(k) for _ in range(n)] for k in (2, 9, 500) for pair in sizes for n in pair]
+    size = np.array([len(x) for x in lists])
+    got = text.distances_of(np.array([t for x in lists for t in x]), tuple((np.cumsum(size) - size)[i::2] for i in (0, 1)), (size[::2], size[1::2]))
+    assert got.tolist() == [plain_distance(a, b) for a, b in zip(lists[::2], lists[1::2])]
+
+
+def test_list_distance_of_a_batch(spark):
+    """Short lists are not looked up in each other token by token; nulls and empty lists keep their places in a batch."""
+    r = random.Random(4)
+    some = lambda: r.choice([None, []]) if r.random() < 0.2 else [r.choice("abcdefé") for _ in range(r.randrange(100))]
+    pairs = [(some(), some()) for _ in range(200)] + [(["a"], ["a"]), (["a", None], ["b", None])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").coalesce(1)
+    found = df.select("i", text.list_distance(F.col("a"), F.col("b")).alias("d"))
+    none = lambda a, b: None if a is None or b is None else 2 if None in a else plain_distance(a, b)
+    assert {x.i: x.d for x in found.collect()} == {i: none(a, b) for i, (a, b) in enumerate(pairs)}
+    assert "array_position" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_white_space_and_line_ends_are_those_of_python(spark):
     chars = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
     df = spark.createDataFrame([(c,) for c in chars], "c string")

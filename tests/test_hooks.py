@@ -201,3 +201,15 @@ def test_rounds_do_not_repeat_the_exact_pass(spark, monkeypatch):
     found = judge.judged_matches(rows(["abcdefghij"]), rows(["abcdefgxyz"]), judge.Asking(lambda: lambda a, b: True, "yes", wait=0.0, tasks=1))
     assert found.rounds == 1 and len(calls) == 2
     assert [(r.kind, r.matched_by) for r in found.matches.orderBy("kind").collect()] == [("pair", "judge"), ("uncertain", "same")]
+
+
+def test_regions_are_scored_once_for_all_rounds(spark, monkeypatch):
+    from regionspark.operators import align
+
+    calls = []
+    once = align.resolved
+    monkeypatch.setattr(align, "resolved", lambda *a, **k: calls.append(a) or once(*a, **k))
+    files = some_files(4, 9)
+    found = judge.judged_matches(*frames(spark, files), judge.Asking(sure_judge, "sure", wait=0.0, tasks=2), rules=RULES)
+    assert found.rounds > 1 and len(calls) == 1
+    assert sorted((r.source_file, r.kind, r.gt_ixs, r.pred_ixs, r.matched_by) for r in found.matches.collect()) == plain(files, {}, False, "auto")[0]

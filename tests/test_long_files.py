@@ -221,3 +221,14 @@ def test_small_files_share_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(map(tuple, got)) == [(k, 10, 10 * k + 9) for k in range(10)]
+
+
+def test_the_exact_pass_is_one_shuffle(spark, tmp_path):
+    """Both sides are shuffled once, by file and text, and only an alignment with verdicts takes their raw texts along."""
+    gt, pred = frames(spark, {f"f{k}": some_file(k, 12) for k in range(3)})
+    gt.write.parquet(f"{tmp_path}/gt")
+    pred.write.parquet(f"{tmp_path}/pred")
+    sides = [spark.read.parquet(f"{tmp_path}/{name}") for name in ("gt", "pred")]
+    for df, raw in ((align.left_over(*sides), False), (align.left_over(*sides, "raw"), True), (align.exact_matches(*sides), False)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and ("raw" in plan) == raw

@@ -232,3 +232,24 @@ def test_the_exact_pass_is_one_shuffle(spark, tmp_path):
     for df, raw in ((align.left_over(*sides), False), (align.left_over(*sides, "raw"), True), (align.exact_matches(*sides), False)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and ("raw" in plan) == raw
+
+
+@pytest.mark.parametrize("lanes", [1, 900, 1 << 20])
+def test_infixes_of_many_pairs(monkeypatch, lanes):
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcd漢🙂") for _ in range(n))
+    wanted = [(some(r.choice((0, 1, 5, 30, 63, 64, 65, 90))), some(r.choice((0, 1, 20, 21, 22, 50, 51, 400)))) for _ in range(400)]
+    monkeypatch.setattr(pairs, "LANES", lanes)
+    assert pairs.infixes_of(wanted) == [infix_of(*x) for x in wanted]
+    assert pairs.infixes_of([]) == []
+
+
+def test_files_ask_for_infix_distances_together(monkeypatch):
+    """The rows are those of files walked one by one, and a round of questions is one call for all of them."""
+    files = [(dict(enumerate(g)), dict(enumerate(p))) for g, p in (some_file(k, 10 + 2 * k) for k in range(8))]
+    alone = [align.resolve(g, p, {}, Align(), "", None, "auto") for g, p in files]
+    calls, once = [], pairs.infixes_of
+    monkeypatch.setattr(pairs, "infixes_of", lambda wanted: calls.append(len(wanted)) or once(wanted))
+    monkeypatch.setattr(pairs, "infix_of", infix_of)
+    assert align.together([align.resolving(g, p, {}, Align(), "", None, "auto") for g, p in files]) == alone
+    assert len(calls) <= 3 and sum(calls) > 0

@@ -328,8 +328,7 @@ def micro_vs_macro(spark, sf_dir):
 def _left(spark, sf_dir):
     """What the exact pass leaves of both sides, made once."""
     left = write_stage(align.left_over(*sides(spark, sf_dir)), "left-over")
-    side = lambda which: left.where(F.col("side") == which).drop("side")
-    return side(align.GT), side(align.PRED)
+    return align.side_of(left, align.GT), align.side_of(left, align.PRED)
 
 
 def _within(g: DataFrame, p: DataFrame) -> DataFrame:
@@ -369,11 +368,14 @@ def _written_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return write_stage(g, "gt"), write_stage(p, "pred")
 
 
-def _items(spark, sf_dir, rules: Align = Align()) -> DataFrame:
-    g, p = _written_sides(spark, sf_dir)
-    files = g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi")
-    g = g.join(files, "source_file", "left_semi")
-    return metrics.per_file(write_stage(align.matches(g, p, rules), "matches"), g, p, files, rules)
+def _items(spark, sf_dir, *variants: Align) -> list[DataFrame]:
+    """A row a file under each of the rules, which differ in credits only: regions are aligned and held against each other once."""
+    g, p = sides(spark, sf_dir)
+    exact, left = align.exact_and_left(g, p)
+    found = write_stage(align.resolved(left), "matches")
+    sized = write_stage(metrics.sizes(g, p), "sizes")
+    errors = write_stage(metrics.errors_by_kind(found, left, sized), "errors")
+    return [metrics.counts_per_file(sized, exact.unionByName(found), None, None, rules, errors=errors) for rules in variants]
 
 
 @query()
@@ -383,7 +385,7 @@ def align_full(spark, sf_dir):
 
 @query()
 def chunking_accuracy(spark, sf_dir):
-    return metrics.corpus(_items(spark, sf_dir)).select("chunk_located", "chunk_whole", "chunk_merged", "chunk_split", "chunking_accuracy", "cer", "wer", "precision", "recall", "f1")
+    return metrics.corpus(*_items(spark, sf_dir, Align())).select("chunk_located", "chunk_whole", "chunk_merged", "chunk_split", "chunking_accuracy", "cer", "wer", "precision", "recall", "f1")
 
 
 def _careful() -> Callable[[str, str], bool]:
@@ -409,18 +411,12 @@ def merge_split_counts(spark, sf_dir):
 
 @query()
 def credit_flag_variants(spark, sf_dir):
-    g, p = _written_sides(spark, sf_dir)
-    found = write_stage(align.matches(g, p), "matches")  # four variants read it
-    files = write_stage(g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi"), "files")
-    g = g.join(files, "source_file", "left_semi")
-    # Texts are held against each other once; the flags only say which of the counts are summed.
-    errors = write_stage(metrics.error_counts(metrics.charges_by_kind(found, g, p), "kind", "whole"), "errors")
+    flags = [(merge, split) for merge in (True, False) for split in (True, False)]
+    items = _items(spark, sf_dir, *[Align(merge_credit=merge, split_credit=split) for merge, split in flags])
     out = None
-    for merge in (True, False):
-        for split in (True, False):
-            rules = Align(merge_credit=merge, split_credit=split)
-            one = metrics.corpus(metrics.per_file(found, g, p, files, rules, errors=errors)).select(F.lit(merge).alias("merge_credit"), F.lit(split).alias("split_credit"), "cer", "f1", "chunking_accuracy")
-            out = one if out is None else out.unionByName(one)
+    for (merge, split), rows in zip(flags, items):
+        one = metrics.corpus(rows).select(F.lit(merge).alias("merge_credit"), F.lit(split).alias("split_credit"), "cer", "f1", "chunking_accuracy")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

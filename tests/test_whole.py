@@ -298,3 +298,42 @@ def test_flags_share_one_count_of_errors(spark):
         rows.append(tuple(one))
         assert [rows[-1]] == [tuple(x) for x in metrics.error_counts(metrics.charges(found, g, p, rules)).collect()]
     assert rows[0][1] < rows[1][1]
+
+
+def test_errors_from_what_the_exact_pass_leaves(spark):
+    """Lengths of exact pairs come from sums; rates and counts are those of all matches charged one by one."""
+    from regionspark.config import Align
+    from regionspark.operators import metrics
+
+    r = random.Random(13)
+    word = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(2))
+    gt, pred = [], []
+    for f in ("a", "b", "c"):
+        texts = [word() for _ in range(20)]
+        changed = [texts[0] + texts[1], texts[2][:5], texts[2][5:], *[t[1:] for t in texts[3:9]], *texts[9:18], texts[9], word()]
+        gt += [(f, i, t, t) for i, t in enumerate(texts)]
+        pred += [(f, i, t, t) for i, t in enumerate(changed)]
+    gt += [("no prediction", 0, "abc", "abc")]
+    g, p = (spark.createDataFrame(x, "source_file string, ix long, raw string, norm string") for x in (gt, pred))
+    exact, left = align.exact_and_left(g, p)
+    found = align.resolved(left)
+    assert sorted(map(str, exact.unionByName(found).collect())) == sorted(map(str, align.matches(g, p).collect()))
+    files = g.select("source_file").distinct().join(p.select("source_file").distinct(), "source_file", "left_semi")
+    sized = metrics.sizes(g, p)
+    errors = metrics.errors_by_kind(found, left, sized)
+    for rules in (Align(), Align(merge_credit=False, split_credit=False)):
+        one = metrics.counts_per_file(sized, exact.unionByName(found), None, None, rules, errors=errors)
+        want = metrics.per_file(align.matches(g, p), g, p, files, rules)
+        assert sorted(map(str, one.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() == 3
+
+
+@pytest.mark.parametrize("name", ["chunking_accuracy", "credit_flag_variants"])
+def test_no_side_is_written(spark, monkeypatch, name):
+    """What is written is what the exact pass leaves and what comes of it, not the regions of both sides."""
+    from regionspark import queries
+
+    written, once = [], queries.write_stage
+    monkeypatch.setattr(queries, "write_stage", lambda df, stage="stage": written.append((stage, df.columns)) or once(df, stage))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written and not any("raw" in columns for _, columns in written)
+    assert not any("norm" in columns for stage, columns in written if stage != "left-over")

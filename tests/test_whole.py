@@ -327,7 +327,7 @@ def test_errors_from_what_the_exact_pass_leaves(spark):
         assert sorted(map(str, one.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() == 3
 
 
-@pytest.mark.parametrize("name", ["chunking_accuracy", "credit_flag_variants"])
+@pytest.mark.parametrize("name", ["group_listing", "rejected_listing", "chunking_accuracy", "credit_flag_variants"])
 def test_no_side_is_written(spark, monkeypatch, name):
     """What is written is what the exact pass leaves and what comes of it, not the regions of both sides."""
     from regionspark import queries

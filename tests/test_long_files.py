@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionspark.config import Align
+from regionspark.functions import text
 from regionspark.functions.text import infix_of, similarity_of
 from regionspark.operators import align, pairs
 
@@ -238,7 +239,7 @@ def test_the_exact_pass_is_one_shuffle(spark, tmp_path):
 def test_infixes_of_many_pairs(monkeypatch, lanes):
     r = random.Random(12)
     some = lambda n: "".join(r.choice("abcd漢🙂") for _ in range(n))
-    wanted = [(some(r.choice((0, 1, 5, 30, 63, 64, 65, 90))), some(r.choice((0, 1, 20, 21, 22, 50, 51, 400)))) for _ in range(400)]
+    wanted = [(some(r.choice((0, 1, 5, 30, 63, 64, 65, 90, 150, 600))), some(r.choice((0, 1, 20, 21, 22, 50, 51, 400)))) for _ in range(400)]
     monkeypatch.setattr(pairs, "LANES", lanes)
     assert pairs.infixes_of(wanted) == [infix_of(*x) for x in wanted]
     assert pairs.infixes_of([]) == []
@@ -253,3 +254,15 @@ def test_files_ask_for_infix_distances_together(monkeypatch):
     monkeypatch.setattr(pairs, "infix_of", infix_of)
     assert align.together([align.resolving(g, p, {}, Align(), "", None, "auto") for g, p in files]) == alone
     assert len(calls) <= 3 and sum(calls) > 0
+
+
+def test_ratio_is_that_of_difflib(monkeypatch):
+    """Of short texts without its table; those from which on it leaves out frequent characters go through it."""
+    r = random.Random(14)
+    some = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    cases = [(some(r.randrange(40), "ab漢"), some(r.randrange(40), "abc")) for _ in range(2000)]
+    cases += [(some(r.randrange(150, 260), "abcde fgh"), some(n, "abcde fgh")) for n in range(190, 210)]
+    want = [1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() for a, b in cases]
+    assert [text.ratio_of(a, b) for a, b in cases] == want
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert [text.ratio_of(a, b) for a, b in cases[:2000]] == want[:2000]
